@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalars import between
 from tidegauge.functions.segments import BLOCKS_PER_EFOLD, counted, running_total, value_block
 from tidegauge.functions.sizing import BROADCAST_ROWS, settle
 
@@ -50,7 +51,7 @@ def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     for i, prob in enumerate(probs):
         at = F.lit(prob) * (total - 1)
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append(low + (high - low) * (at - F.floor(at)))
+        results.append(between(low, high, at - F.floor(at)))
     return found.select(*keys, F.array(*results).alias("quantiles"), F.col("_total").cast("long").alias("samples"))
 
 

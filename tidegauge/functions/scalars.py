@@ -138,12 +138,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation."""
+    return low * (1.0 - share) + high * share
+
+
 def list_quantile(ordered: Column, prob: float) -> Column:
     """Exact quantile of one sorted array (linear between ranks)."""
     at = F.lit(prob) * (F.size(ordered) - 1)
     low = F.get(ordered, F.floor(at).cast("int"))
     high = F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+    return between(low, high, at - F.floor(at))
 
 
 def list_summary(values: Column) -> Column:
@@ -197,4 +202,4 @@ def canonical_json(text: Column) -> Column:
 
 def summary_cell(seconds: Column) -> Column:
     """Seconds shown as milliseconds with one decimal; a dash when absent."""
-    return F.coalesce(F.concat(F.format_string("%.1f", seconds * 1000.0), F.lit("ms")), F.lit("-"))
+    return F.when(seconds.isNull(), "-").otherwise(F.format_string("%.1fms", seconds * 1000.0))

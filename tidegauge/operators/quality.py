@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ def embed_texts(texts: DataFrame, text: str, load: Callable[[], Callable[[list[s
 
     No model comes with this package; the vectors usually exist already.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -92,8 +91,6 @@ def embed_texts(texts: DataFrame, text: str, load: Callable[[], Callable[[list[s
 
 def judge_texts(pairs: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list[str]]]) -> DataFrame:
     """Add the judge's reply `body` to `(expected, actual)` rows, scored natively afterwards."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
@@ -125,6 +122,19 @@ def _field(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
 
 
+def _shown(value: Column, path: str) -> Column:
+    """A JSON value as text: fractions as doubles, `True`, `False` and `None` as words; null if missing."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    fraction = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    text = _field(value, path)
+    return (
+        F.when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(fraction, F.try_variant_get(value, path, "double").cast("string"))
+        .otherwise(text)
+    )
+
+
 def _is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
@@ -143,7 +153,7 @@ def judge_score(content: Column) -> Column:
         number = F.when(
             _is_object(value), F.when(kind == "BOOLEAN", truth).otherwise(scalars.number_or_zero(raw))
         ).otherwise(scalars.number_or_zero(content))
-        reason = F.when(_is_object(value), F.coalesce(_field(value, "$.reason"), F.lit(""))).otherwise(content)
+        reason = F.when(_is_object(value), F.coalesce(_shown(value, "$.reason"), F.lit(""))).otherwise(content)
         return F.struct(scalars.clamp_unit(number).alias("score"), _strip(reason).alias("reason"))
 
     return parse(_lenient_json(content))
@@ -152,9 +162,9 @@ def judge_score(content: Column) -> Column:
 def judge_verdict(content: Column) -> Column:
     """Struct `{verdict, reason}` of a verdict reply; a reply that is no object is both."""
     value = _lenient_json(content)
-    whole = F.coalesce(_field(value, "$"), _strip(content))
-    verdict = _strip(F.coalesce(_field(value, "$.verdict"), F.lit("")))
-    reason = _strip(F.coalesce(_field(value, "$.reason"), verdict))
+    whole = F.coalesce(_shown(value, "$"), _strip(content))
+    verdict = _strip(F.coalesce(_shown(value, "$.verdict"), F.lit("")))
+    reason = _strip(F.coalesce(_shown(value, "$.reason"), verdict))
     parsed = _is_object(value)
     return F.struct(
         F.when(parsed, verdict).otherwise(whole).alias("verdict"), F.when(parsed, reason).otherwise(whole).alias("reason")

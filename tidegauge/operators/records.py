@@ -182,10 +182,10 @@ def usage_fold(chunks: DataFrame) -> DataFrame:
     in chunks with text and marked incomplete; a usage object without an output count
     leaves it at zero.
     """
-    return chunks.groupBy("request_id").agg(*_usage_aggregates()).select("request_id", *_usage_columns())
+    return chunks.groupBy("request_id").agg(*usage_aggregates()).select("request_id", *usage_columns())
 
 
-def _usage_aggregates() -> list[Column]:
+def usage_aggregates() -> list[Column]:
     return [
         F.count(F.when(has_text(), 1)).alias("_deltas"),
         F.count("usage").alias("_usages"),
@@ -193,7 +193,7 @@ def _usage_aggregates() -> list[Column]:
     ]
 
 
-def _usage_columns() -> list[Column]:
+def usage_columns() -> list[Column]:
     incomplete = F.col("_usages") == 0
     zero = F.lit(0).cast("long")
     return [
@@ -205,7 +205,7 @@ def _usage_columns() -> list[Column]:
     ]
 
 
-def _outcome_aggregates() -> list[Column]:
+def outcome_aggregates() -> list[Column]:
     # Numbers instead of names keep the aggregation in the hash path.
     kind = F.col("error_kind")
     rank = F.when(kind == "timeout", 3).when(kind == "protocol", 2).when(kind.isNotNull(), 1)
@@ -223,7 +223,7 @@ def _error_kind() -> Column:
     return F.when(rank == 3, "timeout").when(rank == 2, "protocol").when(rank == 1, "connection")
 
 
-def _outcome_column() -> Column:
+def outcome_column() -> Column:
     return scalars.outcome(_error_kind(), F.col("status_code"), F.col("_done"), F.col("_parse_ok"))
 
 
@@ -231,8 +231,8 @@ def classify_outcomes(chunks: DataFrame) -> DataFrame:
     """Outcome, status and end time of each request."""
     return (
         chunks.groupBy("request_id")
-        .agg(*_outcome_aggregates())
-        .select("request_id", _outcome_column().alias("outcome"), "status_code", "e2e")
+        .agg(*outcome_aggregates())
+        .select("request_id", outcome_column().alias("outcome"), "status_code", "e2e")
     )
 
 
@@ -242,11 +242,11 @@ def response_facts(chunks: DataFrame, long: LongResponses | None = None) -> Data
     raw = _with_long_flag(chunks, long).groupBy("request_id").agg(
         _arrivals(),
         F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"),
-        *_usage_aggregates(),
-        *_outcome_aggregates(),
+        *usage_aggregates(),
+        *outcome_aggregates(),
     )
     facts = _with_gap_facts(raw, chunks, long).select(
-        "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code", _outcome_column().alias("outcome"), *_usage_columns(),
+        "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code", outcome_column().alias("outcome"), *usage_columns(),
         _error_kind().alias("_error_kind"),
     )
     ok = F.col("outcome") == fixed.SUCCESS

@@ -154,6 +154,46 @@ class Fixtures:
             "'llm.outcome', case when o_orderkey % 97 = 0 then 'rate_limited' else 'success' end) as attributes",
         )
 
+    # -- streams: the same projections over a streaming read of the same files ----
+
+    def stream(self, name: str) -> DataFrame:
+        """Streaming read of one given table."""
+        schema = self.table(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+    def streamed(self) -> "Fixtures":
+        """These fixtures with every table read as a stream."""
+        return _StreamedFixtures(self.spark, self.folder)
+
+    def timed_chunks(self) -> DataFrame:
+        """Chunks with event time: request n starts n seconds after the epoch start."""
+        start = "1704067200000L + cast(request_id as bigint) * 1000L + cast(arrival_s * 1000 as bigint)"
+        return self.chunks().selectExpr("*", f"timestamp_millis({start}) as ts")
+
+    def timed_records(self) -> DataFrame:
+        """Finished requests with event time, from `orders` alone."""
+        return self.table("orders").selectExpr(
+            "cast(o_orderkey as string) as request_id",
+            "concat('run-', cast(case when o_custkey % 3 = 0 then 0 else o_custkey % 5 end as string)) as run_id",
+            "cast(pow(4, o_orderkey % 4) as double) as level_or_rate",
+            "case o_orderkey % 10 when 0 then 'warmup' when 9 then 'cooldown' else 'steady' end as phase",
+            "case when o_orderkey % 97 = 0 then 'rate_limited' when o_orderkey % 101 = 0 then 'timeout' "
+            "else 'success' end as outcome",
+            "2.0D + (o_custkey % 512) / 256.0D as e2e",
+            "o_orderkey % 7 <> 0 as eligible",
+            "timestamp_millis(1704067200000L + o_orderkey * 1000L) as ts",
+        )
+
+    def timed_results(self) -> DataFrame:
+        """Scores with event time, up to nine minutes after their request."""
+        return self.table("events").selectExpr(
+            "cast(event_id as string) as request_id",
+            "concat('run-', cast(user_id % 5 as string)) as run_id",
+            "case when event_type <> 'error' then 'judged' else 'eval_skipped' end as eval_status",
+            "case when event_type <> 'error' then cast(get_json_object(props, '$.k') as double) / 100.0D end as quality_score",
+            "timestamp_millis(1704067200000L + event_id * 1000L + (user_id % 10) * 60000L) as ts",
+        )
+
     # -- prompts -------------------------------------------------------------
 
     def raw_prompts(self) -> DataFrame:
@@ -226,12 +266,52 @@ class Fixtures:
         )
 
     def run_candidates(self) -> DataFrame:
-        """Run settings to be checked, some of them wrong."""
-        return self.table("nation").selectExpr(
-            "concat('candidate-', cast(n_nationkey as string)) as run_id",
-            "case when n_regionkey % 2 = 0 then 'open' else 'closed' end as mode",
-            "concat(cast(n_nationkey as string), 's') as duration",
-            "concat(cast(n_nationkey * 400 as string), 'ms') as warmup",
-            "case when n_nationkey = 7 then 'soon' else '5s' end as cooldown",
-            "array(cast(n_nationkey % 4 as double), 8.0D) as levels",
+        """Run settings to be checked, one per customer, some of them wrong."""
+        return self.table("customer").selectExpr(
+            "concat('candidate-', cast(c_custkey as string)) as run_id",
+            "case when c_nationkey % 2 = 0 then 'open' else 'closed' end as mode",
+            "concat(cast(c_custkey % 60 as string), 's') as duration",
+            "concat(cast(c_custkey % 45 * 400 as string), 'ms') as warmup",
+            "case when c_custkey % 37 = 7 then 'soon' when c_custkey % 5 = 1 then '0.1m' else '5s' end as cooldown",
+            "array(cast(c_custkey % 4 as double), 8.0D) as levels",
+        )
+
+    def registry(self) -> DataFrame:
+        """A model registry with one entry per supplier."""
+        return self.table("supplier").selectExpr(
+            "s_suppkey as position",
+            "s_name as name",
+            "concat('vendor-', cast(s_nationkey as string), '/', s_name) as model",
+            "s_suppkey % 2 = 0 as supports_tools",
+            "s_suppkey % 3 = 0 as supports_vision",
+            "case when s_suppkey % 4 <> 3 then s_acctbal / 1000.0D end as price_input",
+            "s_acctbal / 500.0D as price_output",
         )
+
+    def profile_config(self) -> DataFrame:
+        """Latency targets with one profile per customer; customer 0 replaces a built-in."""
+        return self.table("customer").selectExpr(
+            "case when c_custkey = 0 then 'relaxed' else concat('profile-', cast(c_custkey as string)) end as name",
+            "case when c_custkey % 3 <> 0 then 100.0D + c_custkey % 7 end as ttft_ms",
+            "case when c_custkey % 4 <> 0 then 10.0D + c_custkey % 5 end as tpot_ms",
+            "cast(null as double) as e2e_ms",
+        )
+
+    def call_lines(self) -> DataFrame:
+        """Event-stream lines as a client would log them: chunks, end markers, comments, broken JSON."""
+        return self.table("lineitem").selectExpr(
+            "cast(l_orderkey as string) as request_id",
+            "l_linenumber * 1000L + l_partkey % 1000 as seq",
+            "(l_linenumber * 1000L + l_partkey % 1000) / 4096.0D as arrival_s",
+            "case when l_suppkey % 11 = 0 then 'data: [DONE]' when l_suppkey % 11 = 1 then ': keep-alive' "
+            "when l_suppkey % 11 = 2 then 'data: {\"choices\": [' "
+            "when l_suppkey % 11 = 3 then concat('data: {\"choices\": [], \"usage\": {\"prompt_tokens\": ', "
+            "cast(l_partkey as string), ', \"completion_tokens\": ', cast(cast(l_quantity as bigint) as string), "
+            "', \"prompt_tokens_details\": {\"cached_tokens\": 3}}}') "
+            "else concat('data: {\"choices\": [{\"delta\": {\"content\": \"', l_returnflag, '\"}}]}') end as line",
+        )
+
+
+class _StreamedFixtures(Fixtures):
+    def table(self, name: str) -> DataFrame:
+        return Fixtures(self.spark, self.folder).stream(name)

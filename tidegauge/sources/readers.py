@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,16 +65,16 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
     return read_raw(spark, path, schema)
 
 
-def _run_of(path: Column) -> Column:
-    """Name of the folder that holds a file."""
-    return F.element_at(F.split(path, "/"), -2)
-
-
 def list_runs(spark: SparkSession, root: str, summary: str = "summary.json") -> DataFrame:
     """Names of the runs under `root` that have a summary (a file or a folder of files), newest first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    inside = F.regexp_extract("path", rf"([^/]+)/{summary.replace('.', '[.]')}(/|$)", 1)
-    return files.select(inside.alias("run")).where(F.col("run") != "").distinct().orderBy(F.desc("run"))
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*/{summary}").select("path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "run string")
+    run = F.regexp_extract("path", rf"([^/]+)/{summary.replace('.', '[.]')}(/|$)", 1)
+    return files.select(run.alias("run")).distinct().orderBy(F.desc("run"))
 
 
 def read_runs(spark: SparkSession, root: str, raw: str = "raw.jsonl") -> DataFrame:
