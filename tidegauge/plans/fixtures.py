@@ -3,8 +3,9 @@
 No request log is supplied, so `lineitem` rows serve as the content chunks of the
 request `l_orderkey` and `orders` as the dispatch log; the other tables give prompts,
 scores, vectors and tool calls. Every view is a projection (or a union of two) of whole
-tables: no shuffle, no subset. Arrival times are multiples of 1/4096 s, so sums of them
-are exact in binary and results do not depend on the order of addition.
+tables: no shuffle, no subset. Times are multiples of 1/4099 s and 1/257 s: with prime
+denominators hardly any derived value ends in a decimal five, so rounding to six places
+gives the same digits in every engine.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Fixtures:
         return self.table("lineitem").selectExpr(
             "cast(l_orderkey as string) as request_id",
             "((l_linenumber * 1000L + l_partkey % 1000) * 1000000L + l_suppkey) * 100L + cast(l_quantity as bigint) as seq",
-            "(l_linenumber * 1000L + l_partkey % 1000) / 4096.0D as arrival_s",
+            "(l_linenumber * 1000L + l_partkey % 1000) / 4099.0D as arrival_s",
             # A role-only first chunk has no text.
             "case when l_linenumber = 1 and l_returnflag = 'R' then '' "
             "else concat(l_returnflag, cast(l_suppkey as string), ' ') end as content",
@@ -54,7 +55,7 @@ class Fixtures:
         return self.table("orders").selectExpr(
             "cast(o_orderkey as string) as request_id",
             "1000000000000000L as seq",
-            "2.0D + (o_custkey % 512) / 256.0D as arrival_s",
+            "2.0D + (o_custkey % 512) / 257.0D as arrival_s",
             "cast(null as string) as content",
             "cast(null as string) as finish_reason",
             "cast(null as struct<prompt_tokens:bigint,completion_tokens:bigint,"
@@ -179,7 +180,7 @@ class Fixtures:
             "case o_orderkey % 10 when 0 then 'warmup' when 9 then 'cooldown' else 'steady' end as phase",
             "case when o_orderkey % 97 = 0 then 'rate_limited' when o_orderkey % 101 = 0 then 'timeout' "
             "else 'success' end as outcome",
-            "2.0D + (o_custkey % 512) / 256.0D as e2e",
+            "2.0D + (o_custkey % 512) / 257.0D as e2e",
             "o_orderkey % 7 <> 0 as eligible",
             "timestamp_millis(1704067200000L + o_orderkey * 1000L) as ts",
         )
@@ -302,7 +303,7 @@ class Fixtures:
         return self.table("lineitem").selectExpr(
             "cast(l_orderkey as string) as request_id",
             "l_linenumber * 1000L + l_partkey % 1000 as seq",
-            "(l_linenumber * 1000L + l_partkey % 1000) / 4096.0D as arrival_s",
+            "(l_linenumber * 1000L + l_partkey % 1000) / 4099.0D as arrival_s",
             "case when l_suppkey % 11 = 0 then 'data: [DONE]' when l_suppkey % 11 = 1 then ': keep-alive' "
             "when l_suppkey % 11 = 2 then 'data: {\"choices\": [' "
             "when l_suppkey % 11 = 3 then concat('data: {\"choices\": [], \"usage\": {\"prompt_tokens\": ', "

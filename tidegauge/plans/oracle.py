@@ -7,7 +7,7 @@ BASE = r"""
 with chunks as (
   select cast(l_orderkey as varchar) as request_id,
          ((l_linenumber * 1000 + l_partkey % 1000) * 1000000 + l_suppkey) * 100 + cast(l_quantity as bigint) as seq,
-         cast(l_linenumber * 1000 + l_partkey % 1000 as double) / 4096 as arrival_s,
+         cast(l_linenumber * 1000 + l_partkey % 1000 as double) / 4099 as arrival_s,
          case when l_linenumber = 1 and l_returnflag = 'R' then ''
               else l_returnflag || cast(l_suppkey as varchar) || ' ' end as content,
          l_returnflag = 'A' as has_usage,
@@ -19,7 +19,7 @@ with chunks as (
 texts as (select * from chunks where content <> ''),
 finals as (
   select cast(o_orderkey as varchar) as request_id,
-         2.0::double + cast(o_custkey % 512 as double) / 256 as e2e,
+         2.0::double + cast(o_custkey % 512 as double) / 257 as e2e,
          o_orderkey % 89 <> 0 as done,
          o_orderkey % 83 <> 0 as parse_ok,
          case when o_orderkey % 97 = 0 then 429 when o_orderkey % 101 = 0 then 503 else 200 end as status_code,
@@ -229,7 +229,7 @@ timed as (
          case o_orderkey % 10 when 0 then 'warmup' when 9 then 'cooldown' else 'steady' end as phase,
          case when o_orderkey % 97 = 0 then 'rate_limited' when o_orderkey % 101 = 0 then 'timeout' else 'success' end
            as outcome,
-         2.0::double + cast(o_custkey % 512 as double) / 256 as e2e,
+         2.0::double + cast(o_custkey % 512 as double) / 257 as e2e,
          o_orderkey % 7 <> 0 as eligible,
          timestamp '2024-01-01 00:00:00' + to_seconds(o_orderkey) as ts
   from orders),
@@ -394,7 +394,7 @@ ORACLES: dict[str, str] = {
         case when name = 'relaxed' then 9000 else e2e_ms end as e2e_ms from p
       union all select 'fresh', null, 7, null""",
     "scan_chunks": "with x as (select 1) " + LINES
-    + """select cast(l_orderkey as varchar) as request_id, s as seq, round(cast(s as double) / 4096, 6) as arrival_s,
+    + """select cast(l_orderkey as varchar) as request_id, s as seq, round(cast(s as double) / 4099, 6) as arrival_s,
       case when kind not in (0, 2, 3) then l_returnflag end as content, kind = 0 as done, kind <> 2 as parse_ok,
       case when kind = 3 then l_partkey end as prompt_tokens, case when kind = 3 then cast(l_quantity as bigint) end as completion_tokens,
       case when kind = 3 then cast(3 as bigint) end as cached_tokens from lines""",
