@@ -1,14 +1,15 @@
 """Exact percentiles (linear interpolation between ranks) over groups of any size.
 
 Spark's own `percentile` keeps every distinct value of a group in one task. Here a
-first pass counts values per logarithmic block - a few hundred rows per group, combined
-before the shuffle - and finds the blocks that hold a wanted rank. Only the values of
+first pass counts values per logarithmic cell - a few hundred rows per group, combined
+before the shuffle - and finds the cells that hold a wanted rank. Only the values of
 those blocks are counted and ordered in a second pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,58 +64,100 @@ def ordered_quantiles(
     return _interpolate(running_total(counts, keys, [value], "_n"), keys, value, probs)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    weight: str | None = None,
-    task_values: int = TASK_VALUES,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Exact quantiles per key: `(keys, quantiles ARRAY<DOUBLE>, samples BIGINT)`.
+@dataclass(frozen=True)
+class _Pass:
+    """First pass over the values: settled cell counts and the rows they came from."""
 
-    Keys must not be null; null values are ignored; groups without values are absent.
-    `df` is read twice, so pass a table or a settled DataFrame. The histogram is small
-    (groups x occupied blocks) and is settled; the blocks that hold a wanted rank are
-    broadcast only when their count is within `broadcast_rows`, else joined by shuffle.
-    """
-    keys = list(keys)
+    keys: list[str]
+    rows: DataFrame
+    cells: DataFrame
+
+
+def _count_cells(df: DataFrame, keys: Sequence[str], value: str, weight: str | None, moments: bool) -> _Pass:
     rows = df.select(
         *keys,
         F.col(value).cast("double").alias("_value"),
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).where(F.col("_value").isNotNull())
+    data = rows.withColumn("_cell", value_block(F.col("_value")))
+    spread = [F.avg("_value").alias("_mean"), F.stddev_pop("_value").alias("_std")] if moments else []
+    edges = [F.min("_value").alias("_min"), F.max("_value").alias("_max")] if moments else []
+    cells = settle(data.groupBy(*keys, "_cell").agg(F.sum("_w").alias("_n"), *spread, *edges))
+    return _Pass(list(keys), data, cells)
+
+
+def _quantiles(first: _Pass, probs: Sequence[float], task_values: int, broadcast_rows: int) -> DataFrame:
+    """Second pass: count and order only the values of cells that hold a wanted rank."""
+    keys, data = first.keys, first.rows
     per_efold = BLOCKS_PER_EFOLD
-    data = rows.withColumn("_cell", value_block(F.col("_value"), per_efold))
-    cells = data.groupBy(*keys, "_cell").agg(F.sum("_w").alias("_n"))
-    below = F.lit(0).cast("long")
+    running = Window.unboundedPreceding, Window.currentRow
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    cells = first.cells.select(*keys, "_cell", "_n", F.lit(0).cast("long").alias("_below"), total.alias("_total"))
     group = keys
-    across = Window.unboundedPreceding, Window.currentRow
     while True:
-        ordered = Window.partitionBy(*group).orderBy("_cell").rowsBetween(*across)
-        upto = F.sum("_n").over(ordered) + below
-        if group is keys:
-            cells = cells.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-        cells = cells.withColumn("_upto", upto)
-        wanted = settle(
-            cells.where(_any_rank(probs, F.col("_upto"), F.col("_n"), F.col("_total"))).select(
-                *keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"), "_total", "_n"
-            )
+        ordered = Window.partitionBy(*group).orderBy("_cell").rowsBetween(*running)
+        placed = cells.withColumn("_upto", F.col("_below") + F.sum("_n").over(ordered))
+        side = placed.where(_any_rank(probs, F.col("_upto"), F.col("_n"), F.col("_total"))).select(
+            *keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"), "_total", "_n"
         )
-        size, fullest = wanted.agg(F.count(F.lit(1)), F.max("_n")).first()
-        side = wanted.drop("_n")
-        side = F.broadcast(side) if size <= broadcast_rows else side
-        data = data.join(side, [*keys, "_cell"])
+        if group is not keys:
+            side = settle(side)
+        size, fullest = side.agg(F.count(F.lit(1)), F.max("_n")).first()
+        side = side.drop("_n")
+        data = data.join(F.broadcast(side) if size <= broadcast_rows else side, [*keys, "_cell"])
         if (fullest or 0) <= task_values or per_efold >= FINEST_PER_EFOLD:
             break
-        # A block is too full for one task: cut the wanted blocks finer and look again.
+        # A cell is too full for one task: cut the wanted cells finer and look again.
         per_efold *= FINER
         data = data.withColumnRenamed("_cell", "_outer").withColumn("_cell", value_block(F.col("_value"), per_efold))
         cells = data.groupBy(*keys, "_outer", "_below", "_total", "_cell").agg(F.sum("_w").alias("_n"))
         data = data.drop("_outer", "_below", "_total")
-        below, group = F.col("_below"), [*keys, "_outer"]
+        group = [*keys, "_outer"]
     counts = data.groupBy(*keys, "_cell", "_below", "_total", "_value").agg(F.sum("_w").alias("_n"))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(*across)
-    cum = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(inside))
-    return _interpolate(cum, keys, "_value", probs)
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(*running)
+    return _interpolate(counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(inside)), keys, "_value", probs)
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    weight: str | None = None,
+    task_values: int = TASK_VALUES,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Exact quantiles per key: `(keys, quantiles ARRAY<DOUBLE>, samples BIGINT)`.
+
+    Keys must not be null; null values are ignored; groups without values are absent.
+    `df` is read twice, so pass a table or a settled DataFrame. The histogram is small
+    (groups x occupied cells) and is settled; the cells that hold a wanted rank are
+    broadcast only when their count is within `broadcast_rows`, else joined by shuffle.
+    """
+    return _quantiles(_count_cells(df, keys, value, weight, False), probs, task_values, broadcast_rows)
+
+
+def exact_stats(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
+) -> DataFrame:
+    """`(keys, samples, mean, min, max, std, quantiles)` with the same two passes.
+
+    Count, mean, extremes and population spread come from the cells of the first pass.
+    With a `weight`, only zeros may stand for more than one value (gap rows do so); they
+    have a cell of their own.
+    """
+    first = _count_cells(df, keys, value, weight, True)
+    whole = Window.partitionBy(*keys)
+    n, mean, std = F.col("_n"), F.col("_mean"), F.col("_std")
+    centre = F.sum(mean * n).over(whole) / F.sum(n).over(whole)
+    simple = (
+        first.cells.withColumn("_centre", centre)
+        .groupBy(*keys)
+        .agg(
+            F.max("_centre").alias("mean"),
+            F.min("_min").alias("min"),
+            F.max("_max").alias("max"),
+            F.sqrt(F.sum(n * (std * std + (mean - F.col("_centre")) * (mean - F.col("_centre")))) / F.sum(n)).alias("std"),
+        )
+    )
+    return simple.join(_quantiles(first, probs, TASK_VALUES, BROADCAST_ROWS), list(keys))

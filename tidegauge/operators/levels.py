@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
-from tidegauge.functions.percentiles import exact_quantiles
-from tidegauge.functions.segments import gap_moments
+from tidegauge.functions.percentiles import exact_stats
 from tidegauge.functions.sizing import broadcast_if_small
 
 LEVEL = ("run_id", "level_or_rate")
@@ -77,10 +76,8 @@ def value_stats(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     samples of its own metric.
     """
     by = [*keys, "metric"]
-    mean, std = gap_moments(F.col("value"), F.col("n"))
-    simple = long.groupBy(*by).agg(mean.alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), std.alias("std"))
     q = F.col("quantiles")
-    return simple.join(exact_quantiles(long, by, "value", PROBS, weight="n"), by).select(
+    return exact_stats(long, by, "value", PROBS, weight="n").select(
         *by, "samples", "mean", "min", "max", "std",
         *[q[i].alias(name) for i, name in enumerate(("p50", "p90", "p95", "p99"))],
         F.when(F.col("samples") >= fixed.P999_SAMPLES, q[4]).alias("p999"),
@@ -110,12 +107,10 @@ def gap_pool(records: DataFrame, long_gaps: DataFrame | None = None, keys: Seque
 
 
 def _wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    cells = [
-        F.max(F.when(F.col("metric") == metric, F.col(stat))).alias(f"{metric}_{stat}")
-        for metric in metrics
-        for stat in STATS
-    ]
-    return stats.groupBy(*keys).agg(*cells)
+    """One row per key with a column per metric and statistic (a key has one row per metric)."""
+    objects = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*STATS)))).alias("_objects")
+    rows = stats.groupBy(*keys).agg(objects)
+    return rows.select(*keys, *[F.col("_objects")[m][s].alias(f"{m}_{s}") for m in metrics for s in STATS])
 
 
 # -- algebraic level aggregates --------------------------------------------------

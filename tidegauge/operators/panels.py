@@ -1,7 +1,6 @@
 """Dashboard panels: pivot steady successes of each run into chart series.
 
-All panels that share an x and a group dimension are computed by one aggregation and
-one percentile pass. Results are long rows `(panel, run_id, series, x, x_position,
+All panels of a dashboard are computed by one aggregation and one percentile pass. Results are long rows `(panel, run_id, series, x, x_position,
 value, chart)`; the grid of every x with every group is dense.
 """
 
@@ -10,13 +9,13 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
 from tidegauge.functions.percentiles import exact_quantiles
+from tidegauge.functions.sizing import settle
 from tidegauge.operators.levels import steady_success
 
 NO_GROUP = ""
@@ -103,30 +102,42 @@ def _simple(value: Value) -> bool:
     return value.metric in fixed.PANEL_RATES or value.agg not in fixed.PANEL_PERCENTILES
 
 
-def cells(records: DataFrame, x: str, group: str | None, values: Sequence[Value], key: str = "run_id") -> DataFrame:
-    """`(key, x, g, <metric>_<agg>...)` of the occupied cells; null x or g rows only mark axis values."""
-    by = [key, "x", "g"]
-    rows = steady_success(records).withColumns(
-        {"x": F.col(x).cast("string"), "g": F.col(group).cast("string") if group else F.lit(NO_GROUP)}
-    )
+def cells(records: DataFrame, axes: Sequence[tuple[str, str | None, Sequence[Value]]], key: str = "run_id") -> DataFrame:
+    """`(key, axes, x, g, <metric>_<agg>...)` of the occupied cells of several axis pairs.
+
+    `axes` lists `(x, group, values)`; the column `axes` is the place in that list. All
+    pairs share one aggregation and one percentile pass. Rows with a null x or g only
+    mark axis values. A column that a pair did not ask for may be null.
+    """
+    by = [key, "axes", "x", "g"]
+    rows = steady_success(records)
+
+    def place(i: int) -> list[Column]:
+        x, group, _ = axes[i]
+        g = F.col(group).cast("string") if group else F.lit(NO_GROUP)
+        return [F.lit(i).alias("axes"), F.col(x).cast("string").alias("x"), g.alias("g")]
+
+    values = list(dict.fromkeys(v for _, _, vs in axes for v in vs))
     simple = [
         (rate(v.metric) if v.metric in fixed.PANEL_RATES else reduce_values(_scaled(v.metric), v.agg)).alias(v.column)
         for v in values
         if _simple(v)
     ]
-    result = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *simple).drop("_rows")
+    placed = rows.select("*", F.inline(F.array(*[F.struct(*place(i)) for i in range(len(axes))])))
+    result = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *simple).drop("_rows")
     wanted = [v for v in values if not _simple(v)]
     if wanted:
-        metrics = sorted({v.metric for v in wanted})
         aggs = sorted({v.agg for v in wanted})
-        long = rows.where(F.col("x").isNotNull() & F.col("g").isNotNull()).select(
-            *by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), _scaled(m).alias("value")) for m in metrics]))
-        )
-        quantiles = exact_quantiles(long, [*by, "metric"], "value", [fixed.PANEL_PERCENTILES[a] for a in aggs])
-        picks = [
-            F.max(F.when(F.col("metric") == v.metric, F.col("quantiles")[aggs.index(v.agg)])).alias(v.column) for v in wanted
+        items = [
+            F.struct(*place(i), F.lit(m).alias("metric"), _scaled(m).alias("value"))
+            for i, (_, _, vs) in enumerate(axes)
+            for m in sorted({v.metric for v in vs if not _simple(v)})
         ]
-        result = result.join(quantiles.groupBy(*by).agg(*picks), by, "left")
+        long = rows.select(key, F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("g").isNotNull())
+        quantiles = exact_quantiles(long, [*by, "metric"], "value", [fixed.PANEL_PERCENTILES[a] for a in aggs])
+        found = quantiles.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("metric", "quantiles"))).alias("_q"))
+        picks = [F.col("_q")[v.metric][aggs.index(v.agg)].alias(v.column) for v in wanted]
+        result = result.join(found.select(*by, *picks), by, "left")
     return result
 
 
@@ -143,18 +154,18 @@ def distinct_axis(records: DataFrame, dimension: str, key: str = "run_id") -> Da
     )
 
 
-def order_axis(axis: DataFrame, key: str = "run_id") -> DataFrame:
+def order_axis(axis: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Add `x_position` (from 1) and `numeric` to the distinct axis values of each run.
 
     Numbers ascend when all values are numbers; otherwise buckets come by size and then
     text. The values are the distinct marks of one chart axis.
     """
-    whole = Window.partitionBy(key)
+    whole = Window.partitionBy(*keys)
     marked = axis.withColumn("numeric", F.min(scalars.is_number(F.col("x"))).over(whole))
     rank = F.lit(99)
     for position, name in enumerate(fixed.BUCKETS):
         rank = F.when(F.col("x") == name, position).otherwise(rank)
-    order = Window.partitionBy(key).orderBy(
+    order = Window.partitionBy(*keys).orderBy(
         F.when(F.col("numeric"), F.col("x").try_cast("double")), F.when(~F.col("numeric"), rank), "x"
     )
     return marked.withColumn("x_position", F.row_number().over(order))
@@ -162,9 +173,10 @@ def order_axis(axis: DataFrame, key: str = "run_id") -> DataFrame:
 
 def dense_grid(occupied: DataFrame, key: str = "run_id") -> DataFrame:
     """Every x of a run with every group of that run, the cells left-joined; absent counts are 0."""
-    xs = order_axis(occupied.where(F.col("x").isNotNull()).select(key, "x").distinct(), key)
-    groups = occupied.where(F.col("g").isNotNull()).select(key, "g").distinct()
-    grid = groups.join(xs, key).join(occupied, [key, "x", "g"], "left")
+    keys = [key, "axes"]
+    xs = order_axis(occupied.where(F.col("x").isNotNull()).select(*keys, "x").distinct(), keys)
+    groups = occupied.where(F.col("g").isNotNull()).select(*keys, "g").distinct()
+    grid = groups.join(xs, keys).join(occupied, [*keys, "x", "g"], "left")
     counts = [name for name in occupied.columns if name.endswith("_count")]
     return grid.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in counts})
 
@@ -186,22 +198,23 @@ def compute_panels(records: DataFrame, panels: Sequence[Panel], key: str = "run_
     shared: dict[tuple[str, str | None], list[Panel]] = defaultdict(list)
     for panel in panels:
         shared[(panel.x, panel.group)].append(panel)
-    parts = []
-    for (x, group), members in shared.items():
-        values = list(dict.fromkeys(v for panel in members for v in panel.values))
-        grid = dense_grid(cells(records, x, group, values, key), key)
-        rows = [
-            F.struct(
-                F.lit(panel.title).alias("panel"),
-                series_name(F.lit(value.label), F.col("g")).alias("series"),
-                F.col(value.column).alias("value"),
-                chart_kind(panel.chart).alias("chart"),
-            )
-            for panel in members
-            for value in panel.values
-        ]
-        parts.append(grid.select(key, "x", "x_position", F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
+    axes = [(x, g, list(dict.fromkeys(v for p in members for v in p.values))) for (x, g), members in shared.items()]
+    # Settled, because axes, groups and cells are all read from it; one row per chart point.
+    grid = dense_grid(settle(cells(records, axes, key)), key)
+    rows = [
+        F.struct(
+            F.lit(i).alias("_axes"),
+            F.lit(panel.title).alias("panel"),
+            series_name(F.lit(value.label), F.col("g")).alias("series"),
+            F.col(value.column).alias("value"),
+            chart_kind(panel.chart).alias("chart"),
+        )
+        for i, members in enumerate(shared.values())
+        for panel in members
+        for value in panel.values
+    ]
+    points = grid.select(key, "axes", "x", "x_position", F.inline(F.array(*rows)))
+    return points.where(F.col("axes") == F.col("_axes")).drop("axes", "_axes")
 
 
 def compute_panel(records: DataFrame, panel: Panel, key: str = "run_id") -> DataFrame:

@@ -607,14 +607,14 @@ CATEGORY_VALUES = tuple(panels.Value("e2e", agg) for agg in fixed.PANEL_AGGREGAT
 
 @query
 def panel_agg(wb: Workbench) -> DataFrame:
-    found = panels.cells(wb.scored, "category", None, CATEGORY_VALUES).drop("g")
+    found = panels.cells(wb.scored, [("category", None, CATEGORY_VALUES)]).drop("axes", "g")
     return found.withColumnRenamed("x", "category")
 
 
 @query
 def panel_rate(wb: Workbench) -> DataFrame:
     values = (panels.Value("rps"), panels.Value("system_tok_s"))
-    found = panels.cells(wb.scored, "category", "osl_bucket", values)
+    found = panels.cells(wb.scored, [("category", "osl_bucket", values)])
     return found.select("run_id", F.col("x").alias("category"), F.col("g").alias("osl_bucket"), "rps_p50", "system_tok_s_p50")
 
 
@@ -637,7 +637,7 @@ def panel_pivot(wb: Workbench) -> DataFrame:
 
 @query
 def panel_dense(wb: Workbench) -> DataFrame:
-    grid = panels.dense_grid(panels.cells(wb.scored, "prompt_id", "osl_bucket", (panels.Value("cost_usd", "count"),)))
+    grid = panels.dense_grid(panels.cells(wb.scored, [("prompt_id", "osl_bucket", (panels.Value("cost_usd", "count"),))]))
     return grid.select("run_id", "x", "g", "cost_usd_count")
 
 

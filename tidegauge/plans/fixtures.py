@@ -20,9 +20,12 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # -- facts ---------------------------------------------------------------
 
@@ -164,7 +167,7 @@ class Fixtures:
 
     def streamed(self) -> "Fixtures":
         """These fixtures with every table read as a stream."""
-        return _StreamedFixtures(self.spark, self.folder)
+        return _StreamedFixtures(self)
 
     def timed_chunks(self) -> DataFrame:
         """Chunks with event time: request n starts n seconds after the epoch start."""
@@ -314,5 +317,9 @@ class Fixtures:
 
 
 class _StreamedFixtures(Fixtures):
+    def __init__(self, source: Fixtures):
+        super().__init__(source.spark, source.folder)
+        self._source = source
+
     def table(self, name: str) -> DataFrame:
-        return Fixtures(self.spark, self.folder).stream(name)
+        return self._source.stream(name)
