@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import between
 from tidegauge.functions.segments import BLOCKS_PER_EFOLD, counted, running_total, value_block
 from tidegauge.functions.sizing import BROADCAST_ROWS, settle
 
@@ -25,35 +24,33 @@ FINER = 64
 FINEST_PER_EFOLD = BLOCKS_PER_EFOLD * FINER**5
 
 
-def _rank(prob: float, side: Column, total: Column) -> Column:
-    return side(F.lit(prob) * (total - 1)).cast("long")
+def _ranks(prob: float) -> tuple[str, str]:
+    """Ranks below and above a quantile, from 0, as SQL over `_total`."""
+    at = f"{prob!r}D * (_total - 1)"
+    return f"cast(floor({at}) as bigint)", f"cast(ceil({at}) as bigint)"
 
 
-def _holds(rank: Column, upto: Column, n: Column) -> Column:
-    return (rank >= upto - n) & (rank < upto)
+def _holds(rank: str) -> str:
+    """The row ends at `_upto` and stands for `_n` values; does it hold the rank?"""
+    return f"({rank} >= _upto - _n and {rank} < _upto)"
 
 
-def _any_rank(probs: Sequence[float], upto: Column, n: Column, total: Column) -> Column:
-    test = F.lit(False)
-    for prob in probs:
-        test = test | _holds(_rank(prob, F.floor, total), upto, n) | _holds(_rank(prob, F.ceil, total), upto, n)
-    return test
+def _any_rank(probs: Sequence[float]) -> str:
+    return " or ".join(_holds(rank) for prob in probs for rank in _ranks(prob))
 
 
 def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Read the values at the wanted ranks off rows with `_upto`, `_n`, `_total`."""
-    upto, n, total = F.col("_upto"), F.col("_n"), F.col("_total")
-    picks = []
-    for i, prob in enumerate(probs):
-        picks.append(F.max(F.when(_holds(_rank(prob, F.floor, total), upto, n), F.col(value))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when(_holds(_rank(prob, F.ceil, total), upto, n), F.col(value))).alias(f"_hi{i}"))
-    found = cum.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    picks = ["max(_total) as _total"]
     results = []
     for i, prob in enumerate(probs):
-        at = F.lit(prob) * (total - 1)
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append(between(low, high, at - F.floor(at)))
-    return found.select(*keys, F.array(*results).alias("quantiles"), F.col("_total").cast("long").alias("samples"))
+        for name, rank in zip(("low", "high"), _ranks(prob), strict=True):
+            picks.append(f"max(case when {_holds(rank)} then {value} end) as _{name}{i}")
+        at = f"({prob!r}D * (_total - 1))"
+        share = f"({at} - floor({at}))"
+        results.append(f"_low{i} * (1.0D - {share}) + _high{i} * {share}")
+    found = cum.groupBy(*keys).agg(*[F.expr(pick) for pick in picks])
+    return found.selectExpr(*keys, f"array({', '.join(results)}) as quantiles", "cast(_total as bigint) as samples")
 
 
 def ordered_quantiles(
@@ -97,7 +94,7 @@ def _quantiles(first: _Pass, probs: Sequence[float], task_values: int, broadcast
     while True:
         ordered = Window.partitionBy(*group).orderBy("_cell").rowsBetween(*running)
         placed = cells.withColumn("_upto", F.col("_below") + F.sum("_n").over(ordered))
-        side = placed.where(_any_rank(probs, F.col("_upto"), F.col("_n"), F.col("_total"))).select(
+        side = placed.where(_any_rank(probs)).select(
             *keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"), "_total", "_n"
         )
         if group is not keys:

@@ -110,7 +110,7 @@ def _wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Data
     """One row per key with a column per metric and statistic (a key has one row per metric)."""
     objects = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*STATS)))).alias("_objects")
     rows = stats.groupBy(*keys).agg(objects)
-    return rows.select(*keys, *[F.col("_objects")[m][s].alias(f"{m}_{s}") for m in metrics for s in STATS])
+    return rows.selectExpr(*keys, *[f"_objects['{m}'].{s} as {m}_{s}" for m in metrics for s in STATS])
 
 
 # -- algebraic level aggregates --------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegauge.functions.sizing import checkpoint_root, settle
 from tidegauge.operators import levels as lv
@@ -77,9 +76,9 @@ def workbench(spark: SparkSession, folder: str) -> Workbench:
 
 def rounded(df: DataFrame, digits: int = 6, cost_digits: int = 9) -> DataFrame:
     """Round doubles for comparison; costs have more places because they are small."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(name, cost_digits if "cost" in name else digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(name)
+            f"round({name}, {cost_digits if 'cost' in name else digits}) + 0.0D as {name}" if kind == "double" else name
             for name, kind in df.dtypes
         ]
     )
