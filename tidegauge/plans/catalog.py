@@ -761,14 +761,13 @@ def score_replies(wb: Workbench) -> DataFrame:
     return quality.score_replies(wb.fx.judge_replies()).drop("sim_score")
 
 
-def _length_model() -> Callable[[list[str]], list[list[float]]]:
-    """Stand-in for a model: three simple text statistics."""
-    return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
-
-
 @query
 def embed_texts(wb: Workbench) -> DataFrame:
-    texts = quality.embed_texts(wb.fx.table("documents").select("doc_id", "text"), "text", _length_model)
+    def load_model() -> Callable[[list[str]], list[list[float]]]:
+        # Stand-in for a model: three simple statistics of the whole text.
+        return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+    texts = quality.embed_texts(wb.fx.table("documents").select("doc_id", "text"), "text", load_model)
     return texts.select(
         "doc_id",
         *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(("chars", "spaces", "letters_e"))],

@@ -650,6 +650,8 @@ ORACLES: dict[str, str] = {
       case norm when 'pass' then 1.0 when 'correct' then 1.0 when 'partial' then 0.5 else 0.0 end end, 6) as quality_score,
       case when rubric <> 'score' then norm end as judge_verdict,
       case when rubric = 'score' then score_reason else verdict_reason end as judge_reason from normal""",
+    "embed_texts": "select doc_id, length(text)::double as chars, (length(text) - length(replace(text, ' ', '')))::double as spaces, "
+    "(length(text) - length(replace(text, 'e', '')))::double as letters_e from documents",
     # SQL
     "adhoc_sql": BASE
     + "select outcome, count(*) as n, cast(sum(output_tokens) as bigint) as tokens, round(avg(e2e), 6) as mean_e2e from records group by outcome",
