@@ -43,6 +43,14 @@ def test_long_responses_agree_with_short_ones(make_chunks):
     assert lists["r3"]["itl_list"] == pytest.approx(short["r3"]["itl_list"])
 
 
+def test_long_texts_come_in_parts(make_chunks):
+    chunks = make_chunks({"long": [(i / 10, f"{i};", None) for i in range(30)], "short": [(0.1, "a", None), (0.2, "", None), (0.3, "b", None)]})
+    rows = rec.output_text(chunks, rec.find_long_responses(chunks, 10)).collect()
+    text = "".join(r["output_text"] for r in sorted((r for r in rows if r["request_id"] == "long"), key=lambda r: r["part"]))
+    assert text == "".join(f"{i};" for i in range(30))
+    assert [(r["part"], r["output_text"]) for r in rows if r["request_id"] == "short"] == [(0, "ab")]
+
+
 def test_repeated_arrivals_are_zero_gaps(make_chunks):
     chunks = make_chunks({"a": [(0.5, "x", None), (0.5, "y", None), (2.0, "z", None)]})
     gaps = rec.inter_token_gaps(chunks)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegauge.functions.segments import consecutive_gaps, counted, gap_moments, positions, running_total, time_block, value_block
+from tidegauge.functions.segments import block_width, consecutive_gaps, counted, gap_moments, positions, running_total, time_block, value_block
 
 
 def brute_gaps(values):
@@ -65,3 +65,11 @@ def test_gap_moments(spark):
     row = frame.agg(mean.alias("m"), std.alias("s")).first()
     assert row["m"] == pytest.approx(np.mean(values))
     assert row["s"] == pytest.approx(np.std(values))
+
+
+def test_block_width_follows_the_densest_key(spark):
+    frame = spark.range(1000).selectExpr("case when id < 900 then 'dense' else 'thin' end as k", "id / 100.0D as v")
+    width = block_width(frame, ["k"], "v", rows=90)
+    blocks = frame.groupBy("k", time_block("v", width)).count().agg(F.max("count")).first()[0]
+    assert 80 <= blocks <= 100
+    assert block_width(frame.where("v = 1"), ["k"], "v") == 1.0

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of one key that one block should hold.
+BLOCK_ROWS = 500_000
+
 # Logarithmic value blocks per e-fold; a double then has at most about 91,000 blocks.
 BLOCKS_PER_EFOLD = 64
 
@@ -23,6 +26,18 @@ def time_block(value: str, width: float) -> Column:
     return F.floor(F.col(value) / F.lit(width)).cast("long")
 
 
+def block_width(df: DataFrame, keys: Sequence[str], value: str, rows: int = BLOCK_ROWS) -> float:
+    """Width that puts about `rows` rows of the densest key into one block.
+
+    One combined pass over the data; only the single widest and densest figures reach
+    the driver.
+    """
+    spans = df.groupBy(*keys).agg(F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("span"))
+    # A key without spread has one block whatever the width.
+    width = spans.where("span > 0").agg(F.min(F.col("span") * rows / F.col("n")).alias("width")).first()["width"]
+    return width if width is not None else 1.0
+
+
 def value_block(value: Column, per_efold: int = BLOCKS_PER_EFOLD) -> Column:
     """Order-preserving block of any finite double: logarithmic, signed, zero in the middle."""
     # ln() of a double lies within +-745, so the shift keeps positive blocks above zero.
@@ -44,13 +59,14 @@ def counted(df: DataFrame, keys: Sequence[str], order: str, block: Column, weigh
     )
 
 
-def consecutive_gaps(df: DataFrame, keys: Sequence[str], order: str, width: float) -> DataFrame:
+def consecutive_gaps(df: DataFrame, keys: Sequence[str], order: str, width: float | None = None) -> DataFrame:
     """Gaps between consecutive `order` values of each key: `(keys, since, gap, n)`.
 
     `since` is the value the gap starts from; `n` equal gaps from one start are one
     row (repeated values give zero gaps). The multiset of gaps is exactly that of
-    `order - lag(order)` over the whole key.
+    `order - lag(order)` over the whole key. Without a `width` it is measured.
     """
+    width = width or block_width(df, keys, order)
     values = counted(df, keys, order, time_block(order, width))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     value = F.col(order)

@@ -1,4 +1,8 @@
-"""Shape of the load: arrivals, requests in flight, overlap of levels, replayed order."""
+"""Shape of the load: arrivals, requests in flight, overlap of levels, replayed order.
+
+Everything ordered works in blocks of start time. Without a `width` (seconds) the block
+width is measured, so that the densest level or run fills blocks of moderate size.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed
-from tidegauge.functions.segments import consecutive_gaps, gap_moments, positions, running_total, time_block
+from tidegauge.functions.segments import block_width, consecutive_gaps, gap_moments, positions, running_total, time_block
 from tidegauge.operators.levels import LEVEL
 
-# Seconds per block of start times.
-START_BLOCK_S = 60.0
-
 
-def arrival_gaps(requests: DataFrame, runs: DataFrame, width: float = START_BLOCK_S) -> DataFrame:
+def arrival_gaps(requests: DataFrame, runs: DataFrame, width: float | None = None) -> DataFrame:
     """Mean and coefficient of variation of the gaps between starts, per run and level.
 
     For open runs `target_mean` is one over the rate; arrivals without burstiness have a
@@ -32,8 +33,9 @@ def arrival_gaps(requests: DataFrame, runs: DataFrame, width: float = START_BLOC
     )
 
 
-def _load_steps(records: DataFrame, width: float) -> DataFrame:
+def _load_steps(records: DataFrame, width: float | None) -> DataFrame:
     """Outstanding requests after each change, with the time of the next change."""
+    width = width or block_width(records, LEVEL, "t_start")
     start = records.select(*LEVEL, F.col("t_start").alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("delta"))
     end = records.select(
         *LEVEL, (F.col("t_start") + F.coalesce("e2e", F.lit(0.0))).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("delta")
@@ -47,7 +49,7 @@ def _load_steps(records: DataFrame, width: float) -> DataFrame:
     return running_total(changes, list(LEVEL), ["t", "kind"], "delta", with_next=True)
 
 
-def in_flight(records: DataFrame, width: float = START_BLOCK_S) -> DataFrame:
+def in_flight(records: DataFrame, width: float | None = None) -> DataFrame:
     """Requests outstanding after each instant: `(run_id, level_or_rate, t, in_flight)`.
 
     Ends count before starts at the same instant, so an instant shows the load after both.
@@ -56,7 +58,7 @@ def in_flight(records: DataFrame, width: float = START_BLOCK_S) -> DataFrame:
     return steps.groupBy(*LEVEL, "t").agg(F.max_by("_upto", "kind").alias("in_flight"))
 
 
-def load_peaks(records: DataFrame, runs: DataFrame, width: float = START_BLOCK_S) -> DataFrame:
+def load_peaks(records: DataFrame, runs: DataFrame, width: float | None = None) -> DataFrame:
     """Highest load per level and the seconds spent at or above the cap of the run."""
     caps = runs.select("run_id", "max_outstanding")
     held = F.coalesce(F.col("_next") - F.col("t"), F.lit(0.0))
@@ -86,13 +88,14 @@ def level_overlap(records: DataFrame) -> DataFrame:
     return spans.withColumn("earlier_end", F.max("span_end").over(earlier)).where(F.col("span_start") < F.col("earlier_end"))
 
 
-def sequence_positions(requests: DataFrame, width: float = START_BLOCK_S) -> DataFrame:
+def sequence_positions(requests: DataFrame, width: float | None = None) -> DataFrame:
     """Position of each request in its run, by start time and id."""
     rows = requests.select("run_id", "t_start", "request_id", "prompt_id")
+    width = width or block_width(rows, ["run_id"], "t_start")
     return positions(rows, ["run_id"], ["t_start", "request_id"], time_block("t_start", width))
 
 
-def replay_prefix(requests: DataFrame, baseline: str, width: float = START_BLOCK_S) -> DataFrame:
+def replay_prefix(requests: DataFrame, baseline: str, width: float | None = None) -> DataFrame:
     """How far each run sends the same prompts in the same order as the baseline run."""
     ordered = sequence_positions(requests, width).select("run_id", "position", "prompt_id")
     ours = ordered.where(F.col("run_id") != baseline)

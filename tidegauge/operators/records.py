@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
 from tidegauge.functions.percentiles import ordered_quantiles
-from tidegauge.functions.segments import consecutive_gaps, counted, running_total, time_block
+from tidegauge.functions.segments import block_width, consecutive_gaps, counted, running_total, time_block
 from tidegauge.functions.sizing import broadcast_if_small, settle
 
-# Seconds per arrival block.
-ARRIVAL_BLOCK_S = 1.0
-
 # Responses of more tokens than this are long. There are at most (all chunks) / (this
 # number) of them: 10**12 chunks hold no more than 10**6 long responses.
 LONG_RESPONSE_TOKENS = 1_000_000
@@ -47,7 +44,7 @@ def first_token(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("request_id").agg(F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"))
 
 
-def inter_token_gaps(chunks: DataFrame, width: float = ARRIVAL_BLOCK_S) -> DataFrame:
+def inter_token_gaps(chunks: DataFrame, width: float | None = None) -> DataFrame:
     """Gaps between token arrivals of each request: `(request_id, since, gap, n)`."""
     return consecutive_gaps(content_chunks(chunks), ["request_id"], "arrival_s", width)
 
@@ -359,17 +356,29 @@ def fill_long_lists(records: DataFrame, chunks: DataFrame, long: LongResponses)
     return records.join(lists, "request_id", "left").withColumn("itl_list", filled).drop("_list")
 
 
-def output_text(chunks: DataFrame) -> DataFrame:
-    """Text of each response in arrival order: one cell per request, never persisted."""
+def output_text(chunks: DataFrame, long: LongResponses | None = None) -> DataFrame:
+    """Text of each response in arrival order: `(request_id, part, output_text)`; never persisted.
+
+    An ordinary response is one row with part 0. A long one comes in parts, one per block
+    of arrivals, to be read in the order of `part`.
+    """
+    long = long or find_long_responses(chunks)
+    rows, part = content_chunks(chunks), F.lit(0).cast("long")
+    if long.count:
+        rows = _with_long_flag(rows, long)
+        width = block_width(long.chunks(chunks), ["request_id"], "arrival_s")
+        part = F.when(F.col("long_id").isNotNull(), time_block("arrival_s", width)).otherwise(part)
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda item: item["content"]), ""
     )
-    return content_chunks(chunks).groupBy("request_id").agg(text.alias("output_text"))
+    return rows.groupBy("request_id", part.alias("part")).agg(text.alias("output_text"))
 
 
-def chunk_order(chunks: DataFrame, width: float = ARRIVAL_BLOCK_S) -> DataFrame:
+def chunk_order(chunks: DataFrame, width: float | None = None) -> DataFrame:
     """Rank of each distinct token arrival inside its request and the number of tokens there."""
-    values = counted(content_chunks(chunks), ["request_id"], "arrival_s", time_block("arrival_s", width))
+    rows = content_chunks(chunks)
+    width = width or block_width(rows, ["request_id"], "arrival_s")
+    values = counted(rows, ["request_id"], "arrival_s", time_block("arrival_s", width))
     ranked = running_total(values, ["request_id"], ["arrival_s"], "_n")
     return ranked.select(
         "request_id",

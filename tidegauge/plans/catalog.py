@@ -383,7 +383,7 @@ def tool_args_parse(wb: Workbench) -> DataFrame:
 
 @query
 def output_text(wb: Workbench) -> DataFrame:
-    return rec.output_text(wb.fx.content_chunks())
+    return rec.output_text(wb.fx.content_chunks(), wb.long)
 
 
 @query
@@ -780,7 +780,8 @@ SQL_VIEWS = {
     "adhoc_sql": "select outcome, count(*) as n, sum(output_tokens) as tokens, avg(e2e) as mean_e2e from data group by outcome",
     "adhoc_p99": "select run_id, level_or_rate, percentile_cont(0.99) within group (order by ttft) as p99 from data "
     "where phase = 'steady' and outcome = 'success' group by run_id, level_or_rate",
-    "adhoc_self_join": "select a.run_id, count(*) as pairs from data a join data b "
+    "adhoc_self_join": "with c as (select run_id, prompt_id, level_or_rate, count(*) as n from data group by run_id, prompt_id, level_or_rate) "
+    "select a.run_id, sum(a.n * b.n) as pairs from c a join c b "
     "on a.prompt_id = b.prompt_id and a.run_id = b.run_id and a.level_or_rate = 1 and b.level_or_rate = 4 group by a.run_id",
     "adhoc_rollup": "select run_id, phase, count(*) as n from data group by rollup(run_id, phase)",
     "adhoc_cube": "select mode, outcome, count(*) as n from data group by cube(mode, outcome)",

@@ -478,7 +478,7 @@ ORACLES: dict[str, str] = {
     "tool_args_parse": """select l_orderkey * 100 + l_linenumber as seq, 'tool-' || cast(l_suppkey % 7 as varchar) as tool,
       case when (l_orderkey * 100 + l_linenumber) % 3 = 0 then '{"a":' || cast(l_suppkey % 5 as varchar) || ',"b":' ||
       cast(l_linenumber % 3 as varchar) || '}' else '{}' end as arguments from lineitem""",
-    "output_text": BASE + "select request_id, string_agg(content, '' order by seq) as output_text from texts group by request_id",
+    "output_text": BASE + "select request_id, cast(0 as bigint) as part, string_agg(content, '' order by seq) as output_text from texts group by request_id",
     "slug": "select page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '-'), ''), 'run') as slug from pages",
     "self_preference": "select s_name as name, 'vendor-' || cast(s_nationkey as varchar) as family, s_suppkey % 25 = s_nationkey as same_family from supplier",
     "summary_row": BASE
