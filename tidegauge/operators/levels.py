@@ -53,7 +53,8 @@ def slo_meeting(records: DataFrame, runs: DataFrame, slo: DataFrame) -> DataFram
     profile = slo.withColumnRenamed("name", "slo_profile")
     targets = runs.select("run_id", "slo_profile").join(profile, "slo_profile", "left").drop("slo_profile")
     test = scalars.meets_slo(*[F.col(name) for name in ("ttft", "tpot", "e2e", "ttft_ms", "tpot_ms", "e2e_ms")])
-    return records.join(targets, "run_id", "left").withColumn("meets_slo", test)
+    # One row per run: counted, so that records are not shuffled by run.
+    return records.join(broadcast_if_small(targets), "run_id", "left").withColumn("meets_slo", test)
 
 
 # -- percentile objects --------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed
 from tidegauge.functions.segments import block_width, consecutive_gaps, gap_moments, positions, running_total, time_block
+from tidegauge.functions.sizing import broadcast_if_small
 from tidegauge.operators.levels import LEVEL
 
 
@@ -64,7 +65,7 @@ def load_peaks(records: DataFrame, runs: DataFrame, width: float | None = None)
     held = F.coalesce(F.col("_next") - F.col("t"), F.lit(0.0))
     return (
         _load_steps(records, width)
-        .join(caps, "run_id", "left")
+        .join(broadcast_if_small(caps), "run_id", "left")
         .groupBy(*LEVEL)
         .agg(
             F.max("_upto").alias("peak"),

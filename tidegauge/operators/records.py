@@ -281,7 +281,7 @@ def tag_phases(requests: DataFrame, runs: DataFrame) -> DataFrame:
     windows = run_windows(runs).select("run_id", "warmup_s", "steady_end_s")
     offset = F.col("t_start") - F.col("level_start")
     return (
-        requests.join(windows, "run_id", "left")
+        requests.join(broadcast_if_small(windows), "run_id", "left")
         .withColumn("phase", scalars.phase(offset, F.col("warmup_s"), F.col("steady_end_s")))
         .drop("warmup_s", "steady_end_s")
     )
@@ -292,7 +292,7 @@ def enrich_prices(requests: DataFrame, runs: DataFrame, models: DataFrame) -> Da
     settings = runs.join(models.withColumnRenamed("name", "model_name"), "model_name", "left").select(
         "run_id", "mode", "model", "cache_busting", "price_input", "price_output"
     )
-    return requests.join(settings, "run_id", "left")
+    return requests.join(broadcast_if_small(settings), "run_id", "left")
 
 
 def enrich_prompts(requests: DataFrame, prompts: DataFrame) -> DataFrame:
