@@ -156,29 +156,34 @@ def judge_score(content: Column) -> Column:
         reason = F.when(_is_object(value), F.coalesce(_shown(value, "$.reason"), F.lit(""))).otherwise(content)
         return F.struct(scalars.clamp_unit(number).alias("score"), _strip(reason).alias("reason"))
 
-    return parse(_lenient_json(content))
+    return scalars.bind(_lenient_json(content), parse)
 
 
 def judge_verdict(content: Column) -> Column:
     """Struct `{verdict, reason}` of a verdict reply; a reply that is no object is both."""
-    value = _lenient_json(content)
-    whole = F.coalesce(_shown(value, "$"), _strip(content))
-    verdict = _strip(F.coalesce(_shown(value, "$.verdict"), F.lit("")))
-    reason = _strip(F.coalesce(_shown(value, "$.reason"), verdict))
-    parsed = _is_object(value)
-    return F.struct(
-        F.when(parsed, verdict).otherwise(whole).alias("verdict"), F.when(parsed, reason).otherwise(whole).alias("reason")
-    )
+
+    def parse(value: Column) -> Column:
+        whole = F.coalesce(_shown(value, "$"), _strip(content))
+        verdict = _strip(F.coalesce(_shown(value, "$.verdict"), F.lit("")))
+        reason = _strip(F.coalesce(_shown(value, "$.reason"), verdict))
+        parsed = _is_object(value)
+        return F.struct(
+            F.when(parsed, verdict).otherwise(whole).alias("verdict"), F.when(parsed, reason).otherwise(whole).alias("reason")
+        )
+
+    return scalars.bind(_lenient_json(content), parse)
 
 
 def normalize_verdict(verdict: Column, rubric: Column) -> Column:
     """Into the words of the rubric; what is outside becomes its negative pole."""
-    token = F.lower(_strip(verdict))
-    three = F.when(token.isin(*fixed.THREE_LEVEL_VERDICTS), token).otherwise("incorrect")
-    binary = (
-        F.when(token.isin(*fixed.BINARY_VERDICTS), token).when(token.isin(*fixed.PASS_SYNONYMS), "pass").otherwise("fail")
-    )
-    return F.when(rubric == "three_level", three).otherwise(binary)
+
+    def words(token: Column) -> Column:
+        three = F.when(token.isin(*fixed.THREE_LEVEL_VERDICTS), token).otherwise("incorrect")
+        passed = F.when(token.isin(*fixed.PASS_SYNONYMS), "pass").otherwise("fail")
+        binary = F.when(token.isin(*fixed.BINARY_VERDICTS), token).otherwise(passed)
+        return F.when(rubric == "three_level", three).otherwise(binary)
+
+    return scalars.bind(F.lower(_strip(verdict)), words)
 
 
 def verdict_score(verdict: Column) -> Column:
