@@ -28,9 +28,10 @@ BITS = 18
 # The bounds of the fitted sample: labelled rows, and bytes of a text in it.
 FIT_ROWS = 6000
 FIT_BYTES = 1 << 16
-ROUNDS = 150
-SHRINK = 2e-3
-LEAST_DOCS = 3
+ROUNDS = 200
+SHRINK = 0.1
+# Share of the strict (one false feature in all) threshold that a feature must pass.
+SCREEN = 0.6
 
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -78,52 +79,56 @@ def sentence_scores(found: Sentences, weights: np.ndarray, bias: float) -> np.nd
 
 
 def fit(texts: list[str], labels: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, shrink: float = SHRINK) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the documents' log loss through the noisy-or.
+    """Weights and bias that minimise the documents' log loss through the noisy-or (Adam).
 
-    Adam with a proximal L1 step: a feature must move more than about one positive document,
-    which clears the many words that are rare by chance.
-    Features in fewer than `LEAST_DOCS` texts keep weight 0. Without both labels nothing is
-    learnt and every document scores the share of label 1 that was seen (0.5 without rows).
+    Features are screened first: one stays if its association with label 1 over the documents
+    is stronger than chance would give any of them (`excess`), which leaves out the many words
+    that are rare by accident. Without both labels nothing is learnt and every document scores
+    the share of label 1 that was seen (0.5 without rows).
     """
     weights = np.zeros(1 << bits, dtype=np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return weights, np.nan
     found = sentences(pa.array(texts, type=pa.large_binary()), bits)
-    owners = found.words.owners()
-    pairs = np.unique(owners[:, None].astype(np.int64) << bits | found.features)
-    held = np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
-    kept = np.flatnonzero(held >= LEAST_DOCS)
+    share, count = labels.mean(), len(found.first)
+    pairs = np.unique(found.words.owners()[:, None].astype(np.int64) << bits | found.features)
+    feature = pairs & ((1 << bits) - 1)
+    held = np.bincount(feature, minlength=1 << bits)
+    toxic = np.bincount(feature, weights=labels[pairs >> bits], minlength=1 << bits)
+    kept = np.flatnonzero(excess(toxic, held, share) >= SCREEN * np.log(max((held > 0).sum(), 1)))
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    instance = np.repeat(np.arange(len(found.first)), np.diff([*found.first, len(found.words)]))
-    entry = place[found.features].ravel()
-    spot = np.repeat(instance, found.features.shape[1])[entry >= 0]
-    entry = entry[entry >= 0]
-    count = len(found.first)
-    share = labels.mean()
-    balance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
-    sparsity = max(shrink, 1 / max(labels.sum(), 1))
+    entry = place[found.features]
+    word, _ = at = np.nonzero(entry >= 0)
+    entry = entry[at]
+    spot = np.searchsorted(found.first, word, side="right") - 1
     theta = np.zeros(len(kept) + 1)
     theta[-1] = np.log(share) - np.log(max(count / len(labels), 1))
     mean, spread = np.zeros_like(theta), np.zeros_like(theta)
     for turn in range(1, rounds + 1):
         linear = np.bincount(spot, weights=theta[entry], minlength=count) + theta[-1]
         safe = np.bincount(found.owner, weights=np.logaddexp(0, linear), minlength=len(labels))
-        toxic = -np.expm1(-safe)
         # d loss / d safe: -(1 - P) / P for label 1, +1 for label 0
-        slope = balance * np.where(labels > 0, -np.exp(-safe) / np.maximum(toxic, 1e-9), 1.0) / len(labels)
+        slope = np.where(labels > 0, -np.exp(-safe) / np.maximum(-np.expm1(-safe), 1e-9), 1.0) / len(labels)
         pull = slope[found.owner] / (1 + np.exp(-np.clip(linear, -500, 500)))
         grad = np.append(np.bincount(entry, weights=pull[spot], minlength=len(kept)), pull.sum())
+        grad[:-1] += shrink * theta[:-1] / len(labels)
         mean = 0.9 * mean + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad**2
-        rate = 0.3 * min(1, 2 - 2 * turn / rounds)
-        scale = rate / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
-        theta -= scale * mean / (1 - 0.9**turn)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - scale[:-1] * sparsity, 0)
+        rate = 0.1 * min(1, 2 - 2 * turn / rounds)
+        theta -= rate * (mean / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
     weights[kept] = theta[:-1]
     return weights, float(theta[-1])
 
 
+def excess(positive: np.ndarray, held: np.ndarray, share: float) -> np.ndarray:
+    """Minus the log of a bound on the chance of so many positives among `held` documents."""
+    rate = positive / np.maximum(held, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = rate * np.log(rate / share) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0)
+    return np.where((held > 0) & (rate > share), held * gain, 0)
+
+
 @dataclass
 class ToxicityModel:
     """A fitted model: `1 << bits` weights, so its size has a bound whatever it was fitted on."""
