@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import labelled, quality, simhash, token_counts, toxicity
+from tidegauge.llm import labelled, quality, repeats, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(labelled.fold(F.col("doc_id"), 5) != 0)
@@ -55,8 +60,32 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_simhash": op6_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": r"""
+        with split as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as words
+            from documents
+        ),
+        starts as (select doc_id, words, unnest(generate_series(1, len(words) - 12)) as at from split where len(words) >= 13),
+        windows as (select doc_id, at, array_to_string(words[at:at + 12], ' ') as run from starts),
+        earliest as (select run, min(doc_id) as doc_id from windows group by run),
+        later as (select w.doc_id, w.at from windows w join earliest e on w.run = e.run and e.doc_id < w.doc_id),
+        gone as (select distinct doc_id, at + step as at from later, (select unnest(generate_series(0, 12)) as step)),
+        numbered as (
+            select doc_id, unnest(words) as word, unnest(generate_series(1, len(words))) as at from split
+        ),
+        kept as (
+            select n.doc_id, string_agg(n.word, ' ' order by n.at) as text, count(*) as n
+            from numbered n left join gone g on n.doc_id = g.doc_id and n.at = g.at
+            where g.at is null group by n.doc_id
+        )
+        select s.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(k.n, 0))::bigint as n_removed,
+            sha256(coalesce(k.text, '')) as kept_sha256
+        from split s left join kept k on s.doc_id = k.doc_id
+    """,
+}

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
@@ -126,7 +127,7 @@ def selected(hashes: np.ndarray, width: int) -> np.ndarray:
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in slices of about `size` bytes of `column`."""
     for batch in batches:
-        held = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        held = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         slot = np.cumsum(held) // size
         edges = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
