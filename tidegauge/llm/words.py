@@ -96,7 +96,7 @@ class Words:
 def chain(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of `size` neighbours; shorter than `hashes` by `size - 1`."""
     count = max(len(hashes) - size + 1, 0)
-    out = np.full(count, U(seed) * M1 + U(size), dtype=np.uint64)
+    out = np.full(count, (seed * int(M1) + size) & (2**64 - 1), dtype=np.uint64)
     for step in range(size):
         out ^= hashes[step : step + count]
         out *= M2
