@@ -18,6 +18,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+# ASCII punctuation.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
@@ -87,6 +91,12 @@ class Words:
             out[row] = xxhash.xxh64_intdigest(view[self.starts[row] : self.starts[row] + sizes[row]], 7)
         return out
 
+    def trim(self, marks: np.ndarray, most: int = 3) -> None:
+        """Take up to `most` bytes of kind `marks` off either end; at least one byte stays."""
+        for _ in range(most):
+            self.starts = self.starts + ((self.ends - self.starts > 1) & marks[self.data[self.starts]])
+            self.ends = self.ends - ((self.ends - self.starts > 1) & marks[self.data[self.ends - 1]])
+
     def windows(self, size: int) -> np.ndarray:
         """For each word, whether `size` words from it on lie in its own text."""
         last = np.repeat(self.firsts[1:], self.counts())
