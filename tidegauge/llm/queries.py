@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import contamination, labelled, quality, repeats, simhash, suffixes, token_counts, toxicity
+from tidegauge.llm import contamination, hilbert, labelled, quality, repeats, simhash, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_hilbert_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hilbert.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +72,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_search": op1_hilbert_search,
     "op3_token_counts": op3_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
