@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import contamination, hilbert, labelled, quality, repeats, simhash, suffixes, token_counts, toxicity
+from tidegauge.llm import contamination, hilbert, labelled, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_hilbert_search(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op2_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return piece_codec.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +80,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_search": op1_hilbert_search,
+    "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
