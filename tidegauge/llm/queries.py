@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import contamination, hilbert, labelled, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
+from tidegauge.llm import contamination, hilbert, katz, labelled, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op4_katz(spark: SparkSession, folder: str) -> DataFrame:
+    fold = labelled.fold(F.col("doc_id"), 5)
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", (fold != 1).alias("train"), F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    )
+    return katz.score_texts(docs)
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.shared_passages(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_search": op1_hilbert_search,
     "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
+    "op4_katz": op4_katz,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
