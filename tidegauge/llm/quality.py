@@ -28,6 +28,8 @@ SHAPES = 512
 # The bounds of the fitted sample: rows of either set, and bytes of a text in it.
 FIT_ROWS = 6000
 FIT_BYTES = 1 << 16
+# Bytes of text whose features are computed at once.
+STEP = 1 << 20
 ROUNDS = 400
 SHRINK = 1e-3
 
@@ -153,7 +155,7 @@ class QualityModel:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             middle, scale, theta = model.value
-            for batch in steps(batches, text):
+            for batch in steps(batches, text, STEP):
                 linear = np.clip((features(batch.column(text)) - middle) / scale, -8, 8) @ theta[:-1] + theta[-1]
                 yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(1 / (1 + np.exp(-linear)))], names=[*kept, "score"])
 
@@ -180,7 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longes
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pd.concat([*frames, pd.DataFrame({"doc_id": [], "text": [], "side": []})]).sort_values(["side", "doc_id"])
-        found = features(pa.array([text.encode() for text in table["text"]], type=pa.large_binary()))
+        texts = pa.RecordBatch.from_arrays([pa.array(table["text"], type=pa.string())], names=["text"])
+        found = np.concatenate([features(pa.array([], type=pa.string())), *(features(x.column(0)) for x in steps([texts], size=STEP))])
         side = table["side"].to_numpy(dtype=np.int64)
         if not (side == 1).any() or not (side == 0).any():
             middle, scale, theta = np.zeros(found.shape[1]), np.ones(found.shape[1]), np.zeros(found.shape[1] + 1)

@@ -28,6 +28,8 @@ BITS = 18
 # The bounds of the fitted sample: labelled rows, and bytes of a text in it.
 FIT_ROWS = 6000
 FIT_BYTES = 1 << 16
+# Bytes of text that are scored at once.
+STEP = 2 << 20
 ROUNDS = 200
 SHRINK = 0.1
 # Share of the strict (one false feature in all) threshold that a feature must pass.
@@ -151,7 +153,7 @@ class ToxicityModel:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, bias, base = model.value
-            for batch in steps(batches, text):
+            for batch in steps(batches, text, STEP):
                 arrays = [batch.column(name) for name in kept]
                 texts, count = batch.column(text), batch.num_rows
                 if np.isnan(bias):
@@ -182,7 +184,7 @@ class ToxicityModel:
 
         def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, bias = model.value
-            for batch in steps(batches, text):
+            for batch in steps(batches, text, STEP):
                 if np.isnan(bias):
                     continue
                 found = sentences(batch.column(text), int(np.log2(len(weights))))
