@@ -12,7 +12,8 @@ least `doc_id` that has it. Within a task everything that a smaller `doc_id` of
 already has is settled on the spot and leaves as a verdict; one row per batch and extension is
 compared over the shuffle, so a passage that a third of all documents share is a few rows there.
 
-Windows are compared by 96 bits of hash.
+A text that is an exact copy of a smaller `doc_id`'s is settled first: it loses all its words and
+shows nothing to others that the first one does not. Windows are compared by 80 bits of hash.
 """
 
 from __future__ import annotations
@@ -25,16 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.words import U, Words, chain, mix, selected, signed, steps
+from tidegauge.llm.copies import exact_copies, holds
+from tidegauge.llm.words import U, Words, chain, mix, selected, signed, sliding_least, steps
 
 LENGTH = 13
 SEED = 5
-# A place is one long: 21 bits of the text's hash tell rows of one id apart, 41 bits the word, 1 bit is a verdict.
-_WORD = 41
-
-
-def _tags(column: pa.Array) -> np.ndarray:
-    return (np.asarray(column).view(np.uint64) >> U(43)) << U(_WORD + 1)
+# A place is one long: 16 bits of a second hash, 40 bits the number of the word, 1 bit is a verdict.
+_WORD = 40
+_NUMBER = U((1 << _WORD) - 1)
 
 
 def _spread(places: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -55,6 +54,7 @@ def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
+            batch = batch.filter(batch.column("doc_id").is_valid())
             words = Words(batch.column("text"))
             if len(words) < length:
                 continue
@@ -67,18 +67,18 @@ def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
             long = words.counts()[owner] >= length
             spot, owner = spot[long], owner[long]
             ids = np.asarray(batch.column("doc_id"))[owner]
-            place = _tags(batch.column("tag"))[owner] | ((spot - words.firsts[owner]).astype(np.uint64) << U(1))
+            place = (spot - words.firsts[owner]).astype(np.uint64) << U(1)
             key = grams[spot]
             order = np.lexsort((ids, key))
-            key, ids, place = key[order], ids[order], place[order]
-            group = np.cumsum(_borders(key)) - 1
-            first = np.flatnonzero(_borders(key))
-            last = np.append(first[1:], len(key)) - 1
-            shared = (ids[first] != ids[last])[group] if len(key) else np.zeros(0, dtype=bool)
-            lead = np.zeros(len(key), dtype=bool)
-            lead[first] = True
-            place = place | shared.astype(np.uint64)
-            key = np.where(shared & ~lead, _spread(place, ids), key)
+            first, shared = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+            fresh = _borders(key[order])
+            group, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            sorted_ids = ids[order]
+            last = np.append(begin[1:], len(key)) - 1
+            shared[order] = (sorted_ids[begin] != sorted_ids[last])[group] if len(key) else shared
+            first[order] = fresh
+            place |= shared.astype(np.uint64)
+            key = np.where(shared & ~first, _spread(place, ids), key)
             yield pa.RecordBatch.from_arrays([signed(key), pa.array(ids), signed(place)], names=["k", "doc_id", "at"])
 
     return docs.mapInArrow(find, "k bigint, doc_id bigint, at bigint")
@@ -98,58 +98,59 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def extensions(matched: DataFrame, length: int, seed: int) -> DataFrame:
-    """`k`, `g`, `doc_id`, `at` of each window that holds a shared anchor.
+    """`k`, `doc_id`, `at` of each window whose anchor is shared.
 
     A window that a smaller `doc_id` of the batch has as well is known to be a repeat.
     """
-    span = length - seed
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(x.filter(x.column("places").is_valid()) for x in batches):
             words = Words(batch.column("text"))
-            tags = _tags(batch.column("tag"))
             places = batch.column("places")
-            size = np.asarray(pc.list_value_length(places))
-            owner = np.repeat(np.arange(batch.num_rows), size)
-            flat = np.asarray(places.flatten()).view(np.uint64)
-            mine = (flat >> U(_WORD)) == (tags[owner] >> U(_WORD + 1))
-            owner, word = owner[mine], (flat[mine] & U((1 << _WORD) - 1)).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(places)))
+            word = np.asarray(places.flatten())
+            inside = word + seed <= words.counts()[owner]
+            owner, word = owner[inside], word[inside]
             hashes = words.hashes()
             whole = chain(hashes, length)
             if not len(word) or not len(whole):
                 continue
-            wanted = np.zeros(len(words) + 1, dtype=np.int64)
-            begin = np.maximum(word - span, 0) + words.firsts[owner]
-            np.add.at(wanted, begin, 1)
-            np.add.at(wanted, word + words.firsts[owner] + 1, -1)
-            start = np.flatnonzero((np.cumsum(wanted)[: len(whole)] > 0) & words.windows(length)[: len(whole)])
+            # A repeated window's own anchor, its least seed, is shared; the others are not tried.
+            grams = chain(hashes, seed)
+            shared = np.isin(grams, np.unique(grams[word + words.firsts[owner]]))
+            least = sliding_least(grams, length - seed + 1)
+            own = np.arange(len(least)) + (((least & U(63)).astype(np.int64) - np.arange(len(least))) & 63)
+            start = np.flatnonzero(shared[own] & words.windows(length)[: len(own)])
             owner = np.searchsorted(words.firsts, start, side="right") - 1
             key, ids = whole[start], np.asarray(batch.column("doc_id"))[owner]
-            other = (chain(hashes, length, seed=1)[start] >> U(32)).astype(np.int64)
-            place = tags[owner] | ((start - words.firsts[owner]).astype(np.uint64) << U(1))
+            other = _second(hashes, length)[start]
+            place = (other << U(_WORD + 1)) | ((start - words.firsts[owner]).astype(np.uint64) << U(1))
             order = np.lexsort((ids, other, key))
-            key, other, ids, place = key[order], other[order], ids[order], place[order]
-            group = _borders(key, other)
-            known = ids > ids[np.flatnonzero(group)][np.cumsum(group) - 1]
-            place = place | known.astype(np.uint64)
+            group = _borders(key[order], other[order])
+            sorted_ids, known = ids[order], np.zeros(len(key), dtype=bool)
+            known[order] = sorted_ids > sorted_ids[np.flatnonzero(group)][np.cumsum(group) - 1]
+            place |= known.astype(np.uint64)
             key = np.where(known, _spread(place, ids), key)
-            yield pa.RecordBatch.from_arrays([signed(key), pa.array(other), pa.array(ids), signed(place)], names=["k", "g", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([signed(key), pa.array(ids), signed(place)], names=["k", "doc_id", "at"])
 
-    return matched.mapInArrow(extend, "k bigint, g bigint, doc_id bigint, at bigint")
+    return matched.mapInArrow(extend, "k bigint, doc_id bigint, at bigint")
 
 
-def repeated_windows(scan: DataFrame, dealt: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def _second(hashes: np.ndarray, length: int) -> np.ndarray:
+    """16 bits of another hash of each window."""
+    return chain(hashes, length, seed=1) >> U(48)
+
+
+def repeated_windows(originals: DataFrame, dealt: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """`doc_id`, `starts`: windows of `length` words that also start in a smaller `doc_id`.
 
-    Each entry is a place: 21 bits of the text's hash above 41 bits of the first word's number.
-    `scan` and `dealt` are the same rows (`doc_id`, `text`, `tag`), the second by `doc_id`.
+    Each entry has 16 bits of the window's second hash above the number of its first word.
+    `dealt` has `doc_id` and `text` of all rows, `originals` those that are no copies.
     """
-    ready = scan.filter("doc_id is not null and text is not null")
-    matched = dealt.join(shared_anchors(ready, length, seed), "doc_id", "left")
+    matched = dealt.join(shared_anchors(originals, length, seed), "doc_id", "left").select("doc_id", "text", "places")
+    met = extensions(matched, length, seed).repartition("k").withColumn("g", F.shiftrightunsigned("at", _WORD + 1))
     one = Window.partitionBy("k", "g")
-    found = extensions(matched.select("doc_id", "text", "tag", "places"), length, seed).select(
-        "doc_id", "at", (F.min("doc_id").over(one) < F.col("doc_id")).alias("later")
-    )
+    found = met.select("doc_id", "at", (F.min("doc_id").over(one) < F.col("doc_id")).alias("later"))
     kept = found.filter((F.col("at").bitwiseAND(F.lit(1)) == 1) | F.col("later")).groupBy("doc_id")
     return kept.agg(F.collect_list(F.shiftrightunsigned("at", 1)).alias("starts"))
 
@@ -166,30 +167,34 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     null `doc_id` lose nothing and remove nothing. Columns of the same names are replaced.
     """
     names = ("n_words", "n_removed", "removed", "kept_text")
-    rest = docs.drop(*names, "starts", "tag")
-    marked = rest.withColumn("tag", F.xxhash64(text))
-    # Both joins with the texts read this one exchange.
-    dealt = marked.repartition("doc_id")
-    needed = ["doc_id", F.col(text).alias("text"), "tag"]
-    starts = repeated_windows(marked.select(needed), dealt.select(needed), length, seed)
-    joined = dealt.join(starts, "doc_id", "left")
+    rest = docs.drop(*names, "starts", "copied", "later")
+    # All joins with the texts read this one exchange.
+    dealt = rest.repartition("doc_id")
+    marked = dealt.join(exact_copies(rest, text), "doc_id", "left").withColumn("later", holds("later", text))
+    needed = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")]
+    originals = marked.filter("not later").select(needed)
+    starts = repeated_windows(originals, dealt.select(needed), length, seed)
+    joined = marked.join(starts, "doc_id", "left")
     kept, out = rest.columns, "n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
             words = Words(batch.column(text))
-            tags = _tags(batch.column("tag"))
             places = batch.column("starts")
-            size = np.asarray(pc.fill_null(pc.list_value_length(places), 0))
-            owner = np.repeat(np.arange(batch.num_rows), size)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(places), 0)))
             flat = np.asarray(places.flatten()).view(np.uint64)
-            mine = (flat >> U(_WORD)) == (tags[owner] >> U(_WORD + 1))
-            begin = (flat[mine] & U((1 << _WORD) - 1)).astype(np.int64) + words.firsts[owner[mine]]
+            begin = (flat & _NUMBER).astype(np.int64)
+            # The second hash tells which of several texts under one id a window is of.
+            inside = begin + length <= words.counts()[owner]
+            begin = begin[inside] + words.firsts[owner[inside]]
+            if len(begin):
+                begin = begin[_second(words.hashes(), length)[begin] == flat[inside] >> U(_WORD)]
             cover = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + length, -1)
-            gone = np.cumsum(cover)[:-1] > 0
+            copied = np.asarray(batch.column("later").cast(pa.int8())) > 0
+            gone = (np.cumsum(cover)[:-1] > 0) | np.repeat(copied & (words.counts() >= length), words.counts())
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             # A run that crosses into the next text is two runs.
             inner = words.firsts[1:-1]

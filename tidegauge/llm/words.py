@@ -28,7 +28,7 @@ _MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.
 _LONG_WORD = 256
 
 # Bytes of text that one numpy step works on; more only for a single longer text.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -114,24 +114,28 @@ def chain(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def selected(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the least hash of any `width` (64 at most) neighbouring ones.
-
-    Whether a value is selected depends on the content around it alone: two texts that share
-    `width` values select an equal value in them. Of equal values in a window any may stand.
-    """
+def sliding_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The least of any `width` (64 at most) neighbours; its low 6 bits tell the place modulo 64."""
     if len(hashes) < width:
-        return np.zeros(0, dtype=np.int64)
-    at = np.arange(len(hashes), dtype=np.uint64)
-    least = (hashes & ~U(63)) | (at & U(63))
+        return np.zeros(0, dtype=np.uint64)
+    least = (hashes & ~U(63)) | (np.arange(len(hashes), dtype=np.uint64) & U(63))
     reach = 1
     while reach < width:
         step = min(reach, width - reach)
         least = np.minimum(least[: len(least) - step], least[step:])
         reach += step
+    return least
+
+
+def selected(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Positions that hold the least hash of any `width` (64 at most) neighbouring ones.
+
+    Whether a value is selected depends on the content around it alone: two texts that share
+    `width` values select an equal value in them. Of equal values in a window any may stand.
+    """
+    least = sliding_least(hashes, width)
     base = np.arange(len(least), dtype=np.int64)
-    found = base + (((least & U(63)).astype(np.int64) - base) & 63)
-    return np.unique(found)
+    return np.unique(base + (((least & U(63)).astype(np.int64) - base) & 63))
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
