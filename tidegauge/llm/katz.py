@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,12 @@ from tidegauge.llm.words import M1, U, Words, mix
 
 ORDER = 2
 DISCOUNTED = 5
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 # Training tokens of a context from which on it is cut into parts.
 PART_TOKENS = 1 << 20
 _END, _START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
-_REQUEST = "batch int, bucket int, ctx binary, per binary, key binary, seen binary, code binary, value binary"
-_REPLY = "batch int, n int, bucket int, seen binary, low binary, few binary, mass binary, stats binary"
+_REQUEST = "batch int, bucket int, ctx binary, per binary, key binary, seen binary, code binary, lower binary"
+_REPLY = "batch int, n int, bucket int, seen binary, few binary, mass binary, stats binary"
 
 
 def discounts(stats: np.ndarray) -> np.ndarray:
@@ -72,6 +73,19 @@ def _factor(discount: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return discount[np.minimum(counts, len(discount) - 1)]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """An array as compressed bytes; whole numbers in as few bytes as they need."""
+    if values.dtype.kind == "i":
+        most = int(values.max(initial=0))
+        values = values.astype(next(kind for kind in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(kind).max))
+    return values.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), dtype=blob[:2].decode())
+    return values.astype(np.int64) if values.dtype.itemsize < 8 else values
+
+
 @dataclass
 class Tokens:
     """Tokens of a batch's texts, each text's end included: word numbers, owners, training rows."""
@@ -171,10 +185,12 @@ class Grams:
         for bucket in range(buckets):
             a, b = edges[bucket], edges[bucket + 1]
             x, y = (a, b) if n == 1 else (at[a], at[b])
-            value, code = np.unique(self.lower[x:y], return_inverse=True) if n > 1 else (np.zeros(0), np.zeros(0))
-            key = self.key[x:y].tobytes() if n == 1 else _narrow(self.key[x:y])
-            kind = np.uint16 if len(value) < 1 << 16 else np.uint32
-            rows.append((batch, bucket, self.contexts[a:b].tobytes(), self.per[a:b].astype(np.int32).tobytes(), key, self.seen[x:y].tobytes(), code.astype(kind).tobytes(), value.tobytes()))
+            key, lower, code = self.key[x:y], np.zeros(0), np.zeros(0, dtype=np.int64)
+            if n > 1:  # next words, with what is known of them, once per row
+                mark = mix(key ^ mix(self.lower[x:y].view(np.uint64)))
+                _, spot, code = np.unique(mark, return_index=True, return_inverse=True)
+                key, lower = key[spot], self.lower[x:y][spot]
+            rows.append((batch, bucket, self.contexts[a:b].tobytes(), _pack(self.per[a:b]), key.tobytes() if n == 1 else _narrow(key), _pack(self.seen[x:y]), _pack(code), _pack(lower)))
         names = [part.split()[0] for part in _REQUEST.split(", ")]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         return pa.table({name: pa.array(column, type=kind) for name, column, kind in zip(names, zip(*rows), kinds)})
@@ -186,23 +202,19 @@ def _serve(n: int) -> Callable[[pa.Table], pa.Table]:
     def serve(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         names = [part.split()[0] for part in _REPLY.split(", ")]
-        keys = [np.frombuffer(r["key"], dtype=np.uint64) if n == 1 else _wide(r["key"]) for r in rows]
-        seen = np.concatenate([np.frombuffer(r["seen"], dtype=np.int64) for r in rows])
+        codes = [_unpack(r["code"]) for r in rows]
+        keys = [np.frombuffer(r["key"], dtype=np.uint64) if n == 1 else _wide(r["key"])[code] for r, code in zip(rows, codes)]
+        seen = np.concatenate([_unpack(r["seen"]) for r in rows]).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         key = np.concatenate(keys)
         if n > 1:
             contexts = [np.frombuffer(r["ctx"], dtype=np.uint64) for r in rows]
-            pers = [np.frombuffer(r["per"], dtype=np.int32) for r in rows]
+            pers = [_unpack(r["per"]) for r in rows]
             known, number = np.unique(np.concatenate(contexts), return_inverse=True)
             context_edges = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-            of = np.repeat(number, np.concatenate(pers))
+            of = np.repeat(number, np.concatenate(pers).astype(np.int64))
             key = mix(mix(key + U(1)) ^ known[of]) if len(key) else key
-            lower = []
-            for r, k in zip(rows, keys):
-                value = np.frombuffer(r["value"], dtype=np.float64)
-                kind = np.uint16 if len(value) < 1 << 16 else np.uint32
-                lower.append(value[np.frombuffer(r["code"], dtype=kind)] if len(k) else np.zeros(0))
-            lower = np.concatenate(lower)
+            lower = np.concatenate([_unpack(r["lower"])[code] for r, code in zip(rows, codes)])
         _, spot, gram = np.unique(key, return_index=True, return_inverse=True)
         count = np.bincount(gram, weights=seen, minlength=len(spot)).astype(np.int64)
         stats = np.array([(count == r).sum() for r in range(1, DISCOUNTED + 2)] + [(count > 0).sum(), count.sum()], dtype=np.int64)
@@ -213,14 +225,14 @@ def _serve(n: int) -> Callable[[pa.Table], pa.Table]:
             few = np.stack([np.bincount(home[count == r], minlength=len(known)) for r in range(1, DISCOUNTED + 1)], axis=1).astype(np.int32)
         out = []
         for i, r in enumerate(rows):
-            answer = [r["batch"], n, r["bucket"], count[gram[edges[i] : edges[i + 1]]].tobytes()]
+            answer = [r["batch"], n, r["bucket"], _pack(count[gram[edges[i] : edges[i + 1]]])]
             if n > 1:
                 mine = number[context_edges[i] : context_edges[i + 1]]
-                answer += [b"", few[mine].T.tobytes(), mass[mine].tobytes()]
+                answer += [_pack(few[mine].T.ravel().astype(np.int64)), _pack(mass[mine])]
             else:
-                answer += [b"", b"", b""]
+                answer += [b"", b""]
             out.append((*answer, stats.tobytes()))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.table({name: pa.array(column, type=kind) for name, column, kind in zip(names, zip(*out), kinds)})
 
     return serve
@@ -248,7 +260,7 @@ def resolve(docs: pa.Table, replies: pa.Table, upto: int, part_tokens: int) -> S
     """Evaluate order by order: each token's probability from the tables' answers so far."""
     tokens = Tokens.of(docs)
     rows, stats = _replies(replies, 1)
-    count = np.concatenate([np.frombuffer(r["seen"], dtype=np.int64) for r in rows])
+    count = np.concatenate([_unpack(r["seen"]) for r in rows]).astype(np.int64)
     kinds, total = int(stats[-2]), int(stats[-1])
     discount = discounts(stats[: DISCOUNTED + 1])
     r = np.arange(1, DISCOUNTED + 1)
@@ -269,9 +281,9 @@ def resolve(docs: pa.Table, replies: pa.Table, upto: int, part_tokens: int) -> S
         grams = Grams.of(tokens, n, held, state.probability, part_tokens)
         rows, stats = _replies(replies, n)
         discount = discounts(stats[: DISCOUNTED + 1])
-        count = np.concatenate([np.frombuffer(x["seen"], dtype=np.int64) for x in rows])
-        few = np.concatenate([np.frombuffer(x["few"], dtype=np.int32).reshape(DISCOUNTED, -1) for x in rows], axis=1)
-        mass = np.concatenate([np.frombuffer(x["mass"], dtype=np.float64) for x in rows])
+        count = np.concatenate([_unpack(x["seen"]) for x in rows]).astype(np.int64)
+        few = np.concatenate([_unpack(x["few"]).reshape(DISCOUNTED, -1) for x in rows], axis=1).astype(np.int64)
+        mass = np.concatenate([_unpack(x["mass"]) for x in rows])
         size = int(grams.whole.max()) + 1 if len(grams.whole) else 0
         lost = np.bincount(grams.whole_of, weights=(few * (r * (1 - discount[1 : DISCOUNTED + 1]))[:, None]).sum(axis=0), minlength=size)
         covered = np.bincount(grams.whole_of, weights=mass, minlength=size)
@@ -304,9 +316,10 @@ def score_texts(
     probability is 1. An empty table gives an empty result; other columns play no part.
     """
     volume = docs.agg(F.sum(F.octet_length(text) + 1).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-volume // batch_bytes))
+    batches = max(1, -(-volume // batch_bytes))
+    buckets = -(-batches // 2)
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int").alias("batch"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch"),
         "doc_id",
         "held_out",
         F.coalesce(F.col(train), F.lit(False)).alias("train"),
