@@ -41,7 +41,10 @@ _UNIGRAM, _BPE = 1, 2
 
 @dataclass
 class Pieces:
-    """A model's vocabulary as arrays: code points per piece, lengths, ids, scores, bytes."""
+    """A model's vocabulary as arrays: code points per piece, lengths, ids, scores, bytes.
+
+    `letters` numbers the characters of longer pieces; `together` tells which stand side by side.
+    """
 
     processor: object
     kind: int
@@ -52,7 +55,8 @@ class Pieces:
     score: np.ndarray
     bytes_of: list[bytes]
     byte_ids: np.ndarray
-    pairs: np.ndarray
+    letters: np.ndarray
+    together: np.ndarray
     blob: np.ndarray
     blob_at: np.ndarray
     dropped: np.ndarray
@@ -83,6 +87,12 @@ def load(path: str) -> Pieces:
     rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
     left, right = codes[:, :-1].astype(np.uint64), codes[:, 1:].astype(np.uint64)
     pairs = np.unique((left << U(32) | right)[(left > 0) & (right > 0)])
+    first, second = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
+    known = np.unique(np.concatenate([first, second]))
+    letters = np.zeros(0x110000, dtype=np.int32)
+    letters[known] = np.arange(1, len(known) + 1)
+    together = np.zeros((len(known) + 1, len(known) + 1), dtype=bool)
+    together[letters[first], letters[second]] = True
     bytes_of = []
     for piece in model.pieces:
         if piece.type == _BYTE:
@@ -97,23 +107,31 @@ def load(path: str) -> Pieces:
     blob_at = np.concatenate([[0], np.cumsum([len(x) for x in bytes_of])])
     blob = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
     starts_marked = np.array([p.type == _NORMAL and p.piece.startswith(chr(MARK)) for p in model.pieces])
-    return Pieces(processor, kind, codes, sizes, ids.astype(np.int32), rank, score, bytes_of, byte_ids, pairs, blob, blob_at, starts_marked, model.normalizer_spec.add_dummy_prefix)
+    return Pieces(processor, kind, codes, sizes, ids.astype(np.int32), rank, score, bytes_of, byte_ids, letters, together, blob, blob_at, starts_marked, model.normalizer_spec.add_dummy_prefix)
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes of `codes` in the order of their first `depth` values (or more)."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    reach = 1
+    seen = np.bincount(codes)
+    letter = np.cumsum(seen > 0)[codes].astype(np.uint64)
+    bits = int(letter.max()).bit_length()
+    # The first key has as many letters as fit a number; ranks of it are doubled from there.
+    reach = min(63 // bits, depth)
+    key = np.zeros(len(codes), dtype=np.uint64)
+    for step in range(reach):
+        key <<= U(bits)
+        key[: len(codes) - step] |= letter[step:]
+    order = np.argsort(key)
     while reach < depth:
-        ahead = np.zeros_like(rank)
-        ahead[:-reach] = rank[reach:]
-        key = rank * (rank.max() + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(len(key), dtype=np.int64)
+        fresh = np.ones(len(key), dtype=np.uint64)
         fresh[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty_like(key)
         rank[order] = np.cumsum(fresh)
+        key = rank << U(32)
+        key[:-reach] |= rank[reach:]
+        order = np.argsort(key)
         reach *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -285,16 +303,20 @@ def encode(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     if not len(codes):
         return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
     # Parts between safe cuts, and the distinct ones among them.
-    pair = codes[:-1].astype(np.uint64) << U(32) | codes[1:].astype(np.uint64)
-    kinds, which = np.unique(pair, return_inverse=True)
+    letter = pieces.letters[codes]
     cut = np.ones(len(codes), dtype=bool)
-    cut[1:] = ~np.isin(kinds, pieces.pairs)[which]
+    cut[1:] = ~pieces.together[letter[:-1], letter[1:]]
     cut[text_at[:-1][text_at[:-1] < len(codes)]] = True
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, len(codes)))
     place = np.arange(len(codes)) - np.repeat(begin, size)
     sums = np.add.reduceat(mix(codes.astype(np.uint64) + (place.astype(np.uint64) << U(32))), begin)
-    _, lead, same = np.unique(mix(sums ^ size.astype(np.uint64)), return_index=True, return_inverse=True)
+    sums = mix(sums ^ size.astype(np.uint64))
+    order = np.argsort(sums)
+    fresh = np.ones(len(sums), dtype=bool)
+    fresh[1:] = sums[order[1:]] != sums[order[:-1]]
+    lead, same = order[fresh], np.empty(len(sums), dtype=np.int64)
+    same[order] = np.cumsum(fresh) - 1
     if (size[lead][same] != size).any() or (codes[np.repeat(begin[lead][same], size) + place] != codes).any():
         lead, same = np.arange(len(begin)), np.arange(len(begin))  # two parts share a hash
     parts, part_size = begin[lead], size[lead]
