@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.segments import BLOCKS_PER_EFOLD, counted, running_total, value_block
+from tidegauge.functions.segments import BLOCKS_PER_EFOLD, INFINITE_BLOCK, NAN_BLOCK, counted, running_total, value_block
 from tidegauge.functions.sizing import BROADCAST_ROWS, settle
 
 # Values one task should order at most; a fuller block is cut finer first.
@@ -48,7 +48,10 @@ def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
             picks.append(f"max(case when {_holds(rank)} then {value} end) as _{name}{i}")
         at = f"({prob!r}D * (_total - 1))"
         share = f"({at} - floor({at}))"
-        results.append(f"_low{i} * (1.0D - {share}) + _high{i} * {share}")
+        # A value is not multiplied by a share of 0, which would lose an infinity.
+        between = f"case when {share} = 0 then _low{i} else _low{i} * (1.0D - {share}) + _high{i} * {share} end"
+        results.append(f"case when _nan then double('NaN') else {between} end")
+    picks.append(f"coalesce(bool_or(isnan({value})), false) as _nan")
     found = cum.groupBy(*keys).agg(*[F.expr(pick) for pick in picks])
     return found.selectExpr(*keys, f"array({', '.join(results)}) as quantiles", "cast(_total as bigint) as samples")
 
@@ -77,7 +80,13 @@ def _count_cells(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"),
     ).where(F.col("_value").isNotNull())
     data = rows.withColumn("_cell", value_block(F.col("_value")))
-    spread = [F.avg("_value").alias("_mean"), F.stddev_pop("_value").alias("_std")] if moments else []
+    # Weighted moments around the edge of the cell, from which a value is off by a small share.
+    edge = F.signum(F.col("_cell").cast("double")) * F.exp(F.abs("_cell") / BLOCKS_PER_EFOLD - 1000)
+    edge = F.when(F.col("_cell") == 0, 0.0).when(F.abs("_cell") < INFINITE_BLOCK, edge)
+    off = F.coalesce(F.col("_value") - edge, F.col("_value"))
+    shift, square = F.sum(off * F.col("_w")) / F.sum("_w"), F.sum(off * off * F.col("_w")) / F.sum("_w")
+    deviation = F.sqrt(F.greatest(square - shift * shift, F.lit(0.0)))
+    spread = [(F.coalesce(F.first(edge), F.lit(0.0)) + shift).alias("_mean"), deviation.alias("_std")] if moments else []
     edges = [F.min("_value").alias("_min"), F.max("_value").alias("_max")] if moments else []
     cells = settle(data.groupBy(*keys, "_cell").agg(F.sum("_w").alias("_n"), *spread, *edges))
     return _Pass(list(keys), data, cells)
@@ -94,7 +103,8 @@ def _quantiles(first: _Pass, probs: Sequence[float], task_values: int, broadcast
     while True:
         ordered = Window.partitionBy(*group).orderBy("_cell").rowsBetween(*running)
         placed = cells.withColumn("_upto", F.col("_below") + F.sum("_n").over(ordered))
-        side = placed.where(_any_rank(probs)).select(
+        # Not-a-number is read wherever it stands: one makes every percentile of its group one.
+        side = placed.where(f"{_any_rank(probs)} or _cell = {NAN_BLOCK}").select(
             *keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"), "_total", "_n"
         )
         if group is not keys:
@@ -140,8 +150,7 @@ def exact_stats(
     """`(keys, samples, mean, min, max, std, quantiles)` with the same two passes.
 
     Count, mean, extremes and population spread come from the cells of the first pass.
-    With a `weight`, only zeros may stand for more than one value (gap rows do so); they
-    have a cell of their own.
+    A `weight` is how many equal values a row stands for.
     """
     first = _count_cells(df, keys, value, weight, True)
     whole = Window.partitionBy(*keys)

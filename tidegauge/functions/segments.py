@@ -19,6 +19,7 @@ BLOCK_ROWS = 500_000
 
 # Logarithmic value blocks per e-fold; a double then has at most about 91,000 blocks.
 BLOCKS_PER_EFOLD = 64
+INFINITE_BLOCK, NAN_BLOCK = 2**61, 2**62
 
 
 def time_block(value: str, width: float) -> Column:
@@ -39,10 +40,22 @@ def block_width(df: DataFrame, keys: Sequence[str], value: str, rows: int = BLOC
 
 
 def value_block(value: Column, per_efold: int = BLOCKS_PER_EFOLD) -> Column:
-    """Order-preserving block of any finite double: logarithmic, signed, zero in the middle."""
+    """Order-preserving block of any double: logarithmic, signed, zero in the middle.
+
+    The infinities and not-a-number have blocks of their own; not-a-number comes last.
+    """
     # ln() of a double lies within +-745, so the shift keeps positive blocks above zero.
     size = F.floor(F.ln(F.abs(value)) * per_efold) + 1000 * per_efold
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    infinite = F.abs(value) == float("inf")
+    sign = F.when(value > 0, 1).otherwise(-1)
+    return (
+        F.when(F.isnan(value), F.lit(NAN_BLOCK))
+        .when(infinite, sign * F.lit(INFINITE_BLOCK))
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
 
 
 def counted(df: DataFrame, keys: Sequence[str], order: str, block: Column, weight: str | None = None) -> DataFrame:

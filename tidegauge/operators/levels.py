@@ -205,13 +205,14 @@ def goodput(records: DataFrame, runs: DataFrame, slo: DataFrame, keys: Sequence[
 
 
 def level_cost(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataFrame:
-    """Cost of steady successes; null for a model without prices."""
+    """Cost of steady successes; null for a model without prices, 0 for a priced level without any."""
     chosen = is_steady() & is_success()
-    total = F.sum(F.when(chosen, F.col("cost_usd")))
     count = _count_if(chosen)
-    return records.groupBy(*keys).agg(
-        count.alias("completed"), total.alias("total_cost_usd"), (total / count * 1000.0).alias("cost_per_1k_requests")
-    )
+    # A priced request has a cost whether it succeeds or not.
+    priced = F.count("cost_usd") > 0
+    total = F.when(priced, F.coalesce(F.sum(F.when(chosen, F.col("cost_usd"))), F.lit(0.0)))
+    per_1k = F.when(priced, F.when(count > 0, total / count * 1000.0).otherwise(0.0))
+    return records.groupBy(*keys).agg(count.alias("completed"), total.alias("total_cost_usd"), per_1k.alias("cost_per_1k_requests"))
 
 
 def counters(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataFrame:

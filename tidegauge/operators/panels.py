@@ -7,7 +7,7 @@ value, chart)`; the grid of every x with every group is dense.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,14 +171,18 @@ def order_axis(axis: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     return marked.withColumn("x_position", F.row_number().over(order))
 
 
-def dense_grid(occupied: DataFrame, key: str = "run_id") -> DataFrame:
-    """Every x of a run with every group of that run, the cells left-joined; absent counts are 0."""
+def dense_grid(occupied: DataFrame, key: str = "run_id", zero: Sequence[str] = ()) -> DataFrame:
+    """Every x of a run with every group of that run, the cells left-joined; absent `zero` columns are 0."""
     keys = [key, "axes"]
     xs = order_axis(occupied.where(F.col("x").isNotNull()).select(*keys, "x").distinct(), keys)
     groups = occupied.where(F.col("g").isNotNull()).select(*keys, "g").distinct()
     grid = groups.join(xs, keys).join(occupied, [*keys, "x", "g"], "left")
-    counts = [name for name in occupied.columns if name.endswith("_count")]
-    return grid.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in counts})
+    return grid.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in zero})
+
+
+def counted_values(values: Iterable[Value]) -> list[str]:
+    """Columns in which an empty cell counts 0: counts of metrics, not rates."""
+    return list(dict.fromkeys(v.column for v in values if v.agg == "count" and v.metric not in fixed.PANEL_RATES))
 
 
 def series_name(label: Column, group: Column) -> Column:
@@ -200,7 +204,7 @@ def compute_panels(records: DataFrame, panels: Sequence[Panel], key: str = "run_
         shared[(panel.x, panel.group)].append(panel)
     axes = [(x, g, list(dict.fromkeys(v for p in members for v in p.values))) for (x, g), members in shared.items()]
     # Settled, because axes, groups and cells are all read from it; one row per chart point.
-    grid = dense_grid(settle(cells(records, axes, key)), key)
+    grid = dense_grid(settle(cells(records, axes, key)), key, counted_values(v for _, _, values in axes for v in values))
     rows = [
         F.struct(
             F.lit(i).alias("_axes"),

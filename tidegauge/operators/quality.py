@@ -30,10 +30,21 @@ def eval_status(eligible: Column, result_status: Column) -> Column:
     )
 
 
-def backfill(records: DataFrame, results: DataFrame) -> DataFrame:
-    """Left-join scores by request. Only eligible requests take scores."""
+def one_result(results: DataFrame, newest: str | None = None) -> DataFrame:
+    """One result per request: the newest by `newest`, else (and among equals) the greatest values."""
+    values = [name for name in results.columns if name != "request_id"]
+    order = ([newest] if newest else []) + [name for name in values if name != newest]
+    best = results.groupBy("request_id").agg(F.max(F.struct(*order)).alias("_best"))
+    return best.select("request_id", *[F.col("_best")[name].alias(name) for name in values])
+
+
+def backfill(records: DataFrame, results: DataFrame, newest: str | None = None) -> DataFrame:
+    """Left-join scores by request. Only eligible requests take scores.
+
+    A request with several results takes one (see `one_result`), so records never multiply.
+    """
     ours = records.drop(*SCORES, "eval_status")
-    theirs = results.select("request_id", F.col("eval_status").alias("_status"), *SCORES)
+    theirs = one_result(results, newest).select("request_id", F.col("eval_status").alias("_status"), *SCORES)
     eligible = scalars.eval_eligible(F.col("outcome"), F.col("expected_output"))
     joined = ours.join(theirs, "request_id", "left")
     return joined.withColumns(

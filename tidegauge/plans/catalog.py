@@ -637,7 +637,8 @@ def panel_pivot(wb: Workbench) -> DataFrame:
 
 @query
 def panel_dense(wb: Workbench) -> DataFrame:
-    grid = panels.dense_grid(panels.cells(wb.scored, [("prompt_id", "osl_bucket", (panels.Value("cost_usd", "count"),))]))
+    values = (panels.Value("cost_usd", "count"),)
+    grid = panels.dense_grid(panels.cells(wb.scored, [("prompt_id", "osl_bucket", values)]), zero=panels.counted_values(values))
     return grid.select("run_id", "x", "g", "cost_usd_count")
 
 
@@ -856,32 +857,40 @@ def compare_models(wb: Workbench) -> DataFrame:
 # -- streams ----------------------------------------------------------------------------------------------------
 
 DELAY = "30 seconds"
+# What an end row must hold to pass the filters before the watermark.
+STEADY_MARK = {"phase": "steady", "outcome": "success", "e2e": 0.0}
+DELIVERY_FILES = 8
 
 
 @query
 def stream_assemble(wb: Workbench) -> DataFrame:
-    return jobs.run_to_table(jobs.assemble(wb.fx.streamed().timed_chunks(), "20 seconds", DELAY)).drop("closed_at")
+    return jobs.run_whole(lambda chunks: jobs.assemble(chunks, "20 seconds", DELAY), [wb.fx.streamed().timed_chunks()]).drop("closed_at")
 
 
 @query
 def stream_backfill(wb: Workbench) -> DataFrame:
     fx = wb.fx.streamed()
-    return jobs.run_to_table(jobs.backfill(fx.timed_records(), fx.timed_results(), DELAY, "5 minutes"))
+    results = fx.timed_results().unionAll(fx.timed_results())  # every score is delivered twice
+    return jobs.run_whole(lambda ours, theirs: jobs.backfill(ours, theirs, DELAY, "5 minutes"), [fx.timed_records(), results])
 
 
 @query
 def stream_levels(wb: Workbench) -> DataFrame:
-    return jobs.run_to_table(jobs.level_reliability(wb.fx.streamed().timed_records(), "10 minutes", DELAY))
+    return jobs.run_whole(lambda r: jobs.level_reliability(r, "10 minutes", DELAY), [wb.fx.streamed().timed_records()], STEADY_MARK)
 
 
 @query
 def stream_levels_sliding(wb: Workbench) -> DataFrame:
-    return jobs.run_to_table(jobs.level_reliability(wb.fx.streamed().timed_records(), "20 minutes", DELAY, "10 minutes"))
+    return jobs.run_whole(
+        lambda r: jobs.level_reliability(r, "20 minutes", DELAY, "10 minutes"), [wb.fx.streamed().timed_records()], STEADY_MARK
+    )
 
 
 @query
 def stream_level_percentiles(wb: Workbench) -> DataFrame:
-    counts = jobs.run_to_table(jobs.level_value_counts(wb.fx.streamed().timed_records(), "e2e", "30 minutes", DELAY))
+    counts = jobs.run_whole(
+        lambda r: jobs.level_value_counts(r, "e2e", "30 minutes", DELAY), [wb.fx.streamed().timed_records()], STEADY_MARK
+    )
     found = jobs.level_percentiles(counts, (0.5, 0.99))
     return found.select(
         "window_start", *LEVEL, "samples", F.col("quantiles")[0].alias("e2e_p50"), F.col("quantiles")[1].alias("e2e_p99")
@@ -896,21 +905,26 @@ def stream_progress(wb: Workbench) -> DataFrame:
 
 @query
 def stream_alerts(wb: Workbench) -> DataFrame:
-    levels = jobs.level_reliability(wb.fx.streamed().timed_records(), "10 minutes", DELAY)
-    return jobs.run_to_table(jobs.alerts(levels, 20))
+    return jobs.run_whole(
+        lambda r: jobs.alerts(jobs.level_reliability(r, "10 minutes", DELAY), 20), [wb.fx.streamed().timed_records()], STEADY_MARK
+    )
 
 
 @query
 def stream_late(wb: Workbench) -> DataFrame:
-    """All requests, then the newest again, then all again: by then the watermark drops the late ones."""
+    """All requests, then the newest again, then all again: by then the watermark drops the late ones.
+
+    Windows that it has not passed count every delivery.
+    """
     folder = wb.folder("arrivals")
     rows = wb.fx.timed_records().select("request_id", "ts")
     newest = rows.agg((F.max("ts") - F.expr(f"interval {DELAY}")).alias("from_ts"))
     again = rows.join(F.broadcast(newest), F.col("ts") >= F.col("from_ts"), "left_semi")
     for number, delivery in enumerate((rows, again, rows)):
-        delivery.coalesce(1).write.parquet(f"{folder}/delivery={number}")
-    stream = wb.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/delivery=*")
-    return jobs.run_to_table(jobs.arrivals_per_window(stream, "10 minutes", DELAY))
+        delivery.repartition(DELIVERY_FILES, "request_id").write.parquet(f"{folder}/delivery={number}")
+    # One delivery per batch: as many files as each has.
+    stream = wb.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", DELIVERY_FILES).parquet(f"{folder}/delivery=*")
+    return jobs.run_whole(lambda requests: jobs.arrivals_per_window(requests, "10 minutes", DELAY), [stream])
 
 
 @query

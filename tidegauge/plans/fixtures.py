@@ -87,10 +87,12 @@ class Fixtures:
         )
 
     def eval_results(self) -> DataFrame:
-        """Scores by request; some requests have none."""
+        """Scores by request; some requests have none, some are delivered two or three times."""
         score = "cast(get_json_object(props, '$.k') as double) / 100.0D"
         judged = "event_type <> 'error'"
-        return self.table("events").selectExpr(
+        events = self.table("events")
+        again = events.where("event_id % 7 = 0").unionAll(events.where("event_id % 14 = 0"))
+        return events.unionAll(again).selectExpr(
             "cast(event_id as string) as request_id",
             f"case when {judged} then 'judged' else 'eval_skipped' end as eval_status",
             f"case when {judged} and event_type = 'view' then {score} end as sim_score",

@@ -558,8 +558,10 @@ ORACLES: dict[str, str] = {
       round(case when w > 0 then coalesce(goodput_count, 0) / w else 0 end, 6) as goodput_rps
       from rel left join thr using (run_id, level_or_rate) left join good using (run_id, level_or_rate)""",
     "level_cost": BASE
-    + """select run_id, level_or_rate, rel.completed, round(cost, 9) as total_cost_usd,
-      round(cost / rel.completed * 1000, 9) as cost_per_1k_requests from rel left join thr using (run_id, level_or_rate)""",
+    + """select run_id, level_or_rate, rel.completed, round(case when priced then coalesce(cost, 0) end, 9) as total_cost_usd,
+      round(case when priced then case when rel.completed > 0 then cost / rel.completed * 1000 else 0 end end, 9) as cost_per_1k_requests
+      from rel left join thr using (run_id, level_or_rate)
+      left join (select run_id, level_or_rate, count(cost_usd) > 0 as priced from records group by all) using (run_id, level_or_rate)""",
     "run_cost": BASE
     + """select run_id, round(sum(case when priced then cost end), 9) as total_cost_usd, cast(sum(completed) as bigint) as completed,
       round(case when bool_or(priced) then sum(cost) / sum(completed) * 1000 end, 9) as cost_per_1k_requests from levels group by run_id""",
@@ -712,28 +714,27 @@ ORACLES: dict[str, str] = {
           union all select request_id, cast(request_id as bigint) * 1000 + cast(floor(e2e * 1000) as bigint) from finals) group by request_id)
       select request_id, outcome, round(ttft, 6) as ttft, round(e2e, 6) as e2e, prompt_tokens, output_tokens, cached_tokens, reasoning_tokens,
         usage_incomplete, round(tpot, 6) as tpot, round(normalized_latency, 6) as normalized_latency
-      from records join ends using (request_id) where last_ms + 20000 <= (select max(last_ms) from ends) - 30000""",
+      from records join ends using (request_id)""",
     "stream_backfill": BASE
     + """, res as (select cast(event_id as varchar) as request_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id + (user_id % 10) * 60) as scored_at,
           case when event_type <> 'error' then 'judged' else 'eval_skipped' end as status,
           case when event_type <> 'error' then cast(json_extract_string(props, '$.k') as double) / 100 end as quality_score from events),
-      wm as (select least((select max(ts) from timed), (select max(scored_at) from res)) - interval 30 seconds as wm),
       j as (select t.*, status, quality_score from timed t left join res r on r.request_id = t.request_id and scored_at >= ts and scored_at <= ts + interval 5 minutes)
       select request_id, ts, case when not eligible then 'skipped_no_expected' when status is not null then status else 'eval_skipped' end as eval_status,
         round(case when eligible then quality_score end, 6) as quality_score
-      from j where status is not null or ts + interval 5 minutes < (select wm from wm)""",
+      from j""",
     "stream_levels": BASE
     + _stream_levels("time_bucket(interval 10 minutes, ts)", "10 minutes")
     + f"select *, {WINDOW_RATE}, rate_limited / greatest(steady_samples, 1) > 0.01 as rate_limited_flagged from c "
-    "where window_end <= (select wm from steady_mark)",
+    "",
     "stream_levels_sliding": BASE
     + _stream_levels("unnest([time_bucket(interval 10 minutes, ts), time_bucket(interval 10 minutes, ts) - interval 10 minutes])", "20 minutes")
     + f"select *, {WINDOW_RATE}, rate_limited / greatest(steady_samples, 1) > 0.01 as rate_limited_flagged from c "
-    "where window_end <= (select wm from steady_mark)",
+    "",
     "stream_level_percentiles": BASE
     + """select time_bucket(interval 30 minutes, ts) as window_start, run_id, level_or_rate, count(*) as samples,
       round(quantile_cont(e2e, 0.5), 6) as e2e_p50, round(quantile_cont(e2e, 0.99), 6) as e2e_p99 from timed_steady
-      where outcome = 'success' and time_bucket(interval 30 minutes, ts) + interval 30 minutes <= (select wm from steady_mark) group by all""",
+      where outcome = 'success' group by all""",
     "stream_progress": BASE
     + """, e as (select run_id, count(*) as enqueued from timed where eligible group by run_id),
       s as (select 'run-' || cast(user_id % 5 as varchar) as run_id, count(*) as scored from events group by all)
@@ -742,10 +743,12 @@ ORACLES: dict[str, str] = {
     "stream_alerts": BASE
     + _stream_levels("time_bucket(interval 10 minutes, ts)", "10 minutes")
     + f"select window_start, run_id, level_or_rate, steady_samples, {WINDOW_RATE}, case when rate_limited / greatest(steady_samples, 1) > 0.01 "
-    "then 'rate_limited' else 'min_samples' end as alert from c where window_end <= (select wm from steady_mark) "
-    "and (rate_limited / greatest(steady_samples, 1) > 0.01 or steady_samples < 20)",
+    "then 'rate_limited' else 'min_samples' end as alert from c where "
+    "(rate_limited / greatest(steady_samples, 1) > 0.01 or steady_samples < 20)",
     "stream_late": BASE
-    + "select time_bucket(interval 10 minutes, ts) as window_start, count(*) as requests from timed "
-    "where time_bucket(interval 10 minutes, ts) + interval 10 minutes <= (select wm from mark) group by all",
+    # What came again into a window that the watermark had not passed counts again; the rest was late.
+    + """select time_bucket(interval 10 minutes, ts) as window_start,
+        count(*) + coalesce(sum(case when time_bucket(interval 10 minutes, ts) + interval 10 minutes > wm
+          then 1 + cast(ts >= wm as int) end), 0)::bigint as requests from timed, mark group by window_start""",
     "stream_dedup": BASE + "select run_id, request_id from timed",
 }

@@ -21,7 +21,14 @@ def _typed(value: Column, field: T.StructField) -> Column:
         number = F.lit(False)
         for name in _NUMBER_KINDS:
             number = number | kind.startswith(name)
-        result = F.when(number, F.try_variant_get(value, path, "double")).cast(field.dataType)
+        if isinstance(field.dataType, T.IntegralType):
+            # Whole numbers are read exactly; a fraction is cut; what does not fit is null.
+            exact = F.try_variant_get(value, path, "bigint")
+            cut = F.try_variant_get(value, path, "double")
+            whole = F.coalesce(F.when(kind.startswith("BIGINT"), exact), cut.try_cast("bigint"))
+            result = F.when(number, whole).try_cast(field.dataType)
+        else:
+            result = F.when(number, F.try_variant_get(value, path, "double")).cast(field.dataType)
     elif isinstance(field.dataType, T.BooleanType):
         result = F.when(kind == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
     else:

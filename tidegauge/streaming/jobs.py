@@ -7,7 +7,7 @@ value, never a list of rows. Event time is the column `ts`.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,43 @@ def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+# Event time of the rows that tell a stream its input has ended.
+END = "9999-01-01 00:00:00"
+
+
+def run_whole(
+    build: Callable[..., DataFrame], inputs: Sequence[DataFrame], marks: dict[str, object] | None = None, folder: str | None = None
+) -> DataFrame:
+    """Run an append-mode stream over inputs that end, and return its whole result.
+
+    A watermark holds the newest windows and requests back. When all input is processed, every
+    input gets one row with event time `END` (its other columns null, or as in `marks`, so that
+    filters before the watermark let it through). The next batch moves the watermark there and
+    closes everything that real rows opened; what the end rows opened themselves stays open.
+    """
+    spark = inputs[0].sparkSession
+    folder = folder or stream_folder(inputs[0])
+    ends = [f"{folder}/end-{number}" for number in range(len(inputs))]
+    rows = [
+        spark.range(1).select(
+            *[
+                (F.lit(END).cast(f.dataType) if f.name == "ts" else F.lit((marks or {}).get(f.name)).cast(f.dataType)).alias(f.name)
+                for f in each.schema.fields
+            ]
+        )
+        for each in inputs
+    ]
+    for row, path in zip(rows, ends, strict=True):
+        row.limit(0).write.parquet(path)
+    ended = [each.unionAll(spark.readStream.schema(each.schema).parquet(path)) for each, path in zip(inputs, ends, strict=True)]
+    stream = build(*ended)
+    start_to_files(stream, folder).awaitTermination()
+    for row, path in zip(rows, ends, strict=True):
+        row.write.mode("append").parquet(path)
+    start_to_files(stream, folder).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_updates(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
     """Run an update-mode stream; the result holds the newest row of each key.
 
@@ -125,12 +162,16 @@ def backfill(records: DataFrame, results: DataFrame, delay: str, timeout: str) -
     """Left-join scores that arrive within `timeout` of their record.
 
     An eligible record without a score in time is `eval_skipped`; it is emitted when the
-    watermark has passed its time limit.
+    watermark has passed its time limit. Of several deliveries of a score the first counts.
     """
     ours = records.withWatermark("ts", delay)
-    theirs = results.select(
-        F.col("request_id").alias("scored_id"), F.col("ts").alias("scored_at"), F.col("eval_status").alias("_status"), "quality_score"
-    ).withWatermark("scored_at", delay)
+    theirs = (
+        results.select(
+            F.col("request_id").alias("scored_id"), F.col("ts").alias("scored_at"), F.col("eval_status").alias("_status"), "quality_score"
+        )
+        .withWatermark("scored_at", delay)
+        .dropDuplicatesWithinWatermark(["scored_id"])
+    )
     in_time = (
         (F.col("request_id") == F.col("scored_id"))
         & (F.col("scored_at") >= F.col("ts"))
