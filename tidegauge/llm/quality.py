@@ -182,7 +182,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, longes
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pd.concat([*frames, pd.DataFrame({"doc_id": [], "text": [], "side": []})]).sort_values(["side", "doc_id"])
-        texts = pa.RecordBatch.from_arrays([pa.array(table["text"], type=pa.string())], names=["text"])
+        texts = pa.RecordBatch.from_arrays([pa.array(table["text"].tolist(), type=pa.string())], names=["text"])
         found = np.concatenate([features(pa.array([], type=pa.string())), *(features(x.column(0)) for x in steps([texts], size=STEP))])
         side = table["side"].to_numpy(dtype=np.int64)
         if not (side == 1).any() or not (side == 0).any():
