@@ -87,7 +87,7 @@ def test_written_records_hold_no_text(wb):
 
 def test_streamed_records_equal_the_batch(wb):
     out = jobs.run_to_table(jobs.assemble(wb.fx.streamed().timed_chunks(), "20 seconds", "30 seconds"))
-    batch = rec.response_facts(wb.fx.chunks(), wb.long).select("request_id", "outcome", "ttft", "e2e", "output_tokens", "usage_incomplete")
+    batch = rec.response_facts(wb.fx.chunks()).select("request_id", "outcome", "ttft", "e2e", "output_tokens", "usage_incomplete")
     streamed = out.select(*batch.columns)
     assert streamed.count() > 1000
     assert streamed.exceptAll(batch).count() == 0

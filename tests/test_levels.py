@@ -126,16 +126,21 @@ def test_levels_that_follow_each_other_do_not_overlap(make_records):
     assert [r["level_or_rate"] for r in load.level_overlap(rows).collect()] == [2.0]
 
 
-def test_gap_pool_takes_long_responses_as_rows(spark, make_records):
-    rows = make_records({"request_id": "short", "itl_list": [0.1, 0.3]}, {"request_id": "long", "itl_summary": (1.0, 1.0, 1.0, 1.0, 1.0)})
-    gaps = spark.createDataFrame([("long", 0.0, 0.0, 5), ("long", 0.0, 2.0, 1), ("other", 0.0, 9.0, 1)], "request_id string, since double, gap double, n bigint")
-    row = lv.value_stats(lv.gap_pool(rows, gaps), lv.LEVEL).first()
+def test_gap_pool_weights_tokens(make_records):
+    rows = make_records({"itl_list": [0.1, 0.3]}, {"itl_list": [0.0, 0.0, 0.0, 0.0, 0.0, 2.0]}, {"itl_list": None})
+    row = lv.value_stats(lv.gap_pool(rows), lv.LEVEL).first()
     values = np.array([0.1, 0.3, 0, 0, 0, 0, 0, 2.0])
     assert row["samples"] == 8 and row["max"] == 2.0
     assert row["mean"] == pytest.approx(values.mean()) and row["std"] == pytest.approx(values.std())
     assert row["p90"] == pytest.approx(np.percentile(values, 90))
 
 
+def test_priced_level_without_success_costs_nothing(make_records):
+    rows = make_records({"outcome": "server_error", "cost_usd": 0.0}, {"level_or_rate": 2.0, "outcome": "server_error"})
+    found = {r["level_or_rate"]: (r["total_cost_usd"], r["cost_per_1k_requests"]) for r in lv.level_cost(rows).collect()}
+    assert found == {1.0: (0.0, 0.0), 2.0: (None, None)}
+
+
 def test_slo_overrides(spark):
     configured = spark.createDataFrame([("relaxed", 1.0, None, None)], "name string, ttft_ms double, tpot_ms double, e2e_ms double")
     found = {r["name"]: tuple(r)[1:] for r in dims.slo_profiles(configured, {"interactive": {"ttft_ms": 300.0}}).collect()}

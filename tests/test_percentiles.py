@@ -78,3 +78,15 @@ def test_a_hot_group_is_not_ordered_in_one_task(spark):
     data = rows.toPandas()
     for name, part in data.groupby("k"):
         assert found[name] == pytest.approx(np.percentile(part.v, 99), rel=1e-12)
+
+
+def test_weights_infinities_and_nan(spark):
+    rows = [("w", 2.0, 3), ("w", 2.01, 2), ("w", -7.0, 4), ("w", 0.0, 1), ("i", 1.0, 1), ("i", float("inf"), 1), ("i", float("-inf"), 1)]
+    rows += [("n", 10.0, 1), ("n", float("nan"), 1), ("n", 20.0, 1), ("n", 30.0, 1)]
+    frame = spark.createDataFrame(rows, "k string, v double, n long")
+    found = {r["k"]: r for r in exact_stats(frame, ["k"], "v", (0.0, 0.5, 1.0), weight="n").collect()}
+    values = np.array([2.0] * 3 + [2.01] * 2 + [-7.0] * 4 + [0.0])
+    assert found["w"]["mean"] == pytest.approx(values.mean()) and found["w"]["std"] == pytest.approx(values.std())
+    assert found["w"]["quantiles"] == pytest.approx(np.percentile(values, [0, 50, 100]))
+    assert found["i"]["quantiles"] == [float("-inf"), 1.0, float("inf")]
+    assert all(np.isnan(q) for q in found["n"]["quantiles"]) and found["n"]["samples"] == 4

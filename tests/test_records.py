@@ -28,27 +28,20 @@ def test_first_tokens_and_gaps(make_chunks):
     assert by_id(rec.first_token(chunks))["none"]["ttft"] is None
 
 
-def test_long_responses_agree_with_short_ones(make_chunks):
+def test_lists_and_gap_rows_agree_at_every_length(make_chunks):
     rng = np.random.default_rng(1)
     chunks = make_chunks({f"r{i}": [(float(t), "w", None) for t in np.sort(rng.random(n) * 5).round(3)] for i, n in enumerate((2, 5, 40, 400))})
-    short = by_id(rec.itl_summary(chunks))
-    long = rec.find_long_responses(chunks, 10)
-    assert long.count == 2
-    mixed = by_id(rec.itl_summary(chunks, long))
-    for name, row in short.items():
-        assert mixed[name]["tt2t"] == pytest.approx(row["tt2t"])
-        assert list(mixed[name]["itl_summary"]) == pytest.approx(list(row["itl_summary"]))
-    assert mixed["r3"]["itl_list"] is None and mixed["r0"]["itl_list"] is not None
-    lists = by_id(rec.itl_lists(long.gaps(chunks)))
-    assert lists["r3"]["itl_list"] == pytest.approx(short["r3"]["itl_list"])
-
-
-def test_long_texts_come_in_parts(make_chunks):
+    facts = by_id(rec.itl_summary(chunks))
+    lists = by_id(rec.itl_lists(rec.inter_token_gaps(chunks, 0.1)))
+    for name, row in facts.items():
+        assert lists[name]["itl_list"] == pytest.approx(row["itl_list"])
+        assert row["tt2t"] == row["itl_list"][0] and row["itl_summary"]["max"] == max(row["itl_list"])
+
+
+def test_texts_are_one_row_each(make_chunks):
     chunks = make_chunks({"long": [(i / 10, f"{i};", None) for i in range(30)], "short": [(0.1, "a", None), (0.2, "", None), (0.3, "b", None)]})
-    rows = rec.output_text(chunks, rec.find_long_responses(chunks, 10)).collect()
-    text = "".join(r["output_text"] for r in sorted((r for r in rows if r["request_id"] == "long"), key=lambda r: r["part"]))
-    assert text == "".join(f"{i};" for i in range(30))
-    assert [(r["part"], r["output_text"]) for r in rows if r["request_id"] == "short"] == [(0, "ab")]
+    rows = {r["request_id"]: r["output_text"] for r in rec.output_text(chunks).collect()}
+    assert rows == {"long": "".join(f"{i};" for i in range(30)), "short": "ab"}
 
 
 def test_repeated_arrivals_are_zero_gaps(make_chunks):

@@ -90,21 +90,11 @@ def percentile_objects(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataF
     return value_stats(_long(steady_success(records), keys, METRICS), keys)
 
 
-def gap_pool(records: DataFrame, long_gaps: DataFrame | None = None, keys: Sequence[str] = LEVEL) -> DataFrame:
-    """All token gaps of steady successes: `(keys, metric='itl', value, n)`, token-weighted.
-
-    Gap arrays of the records are unfolded in place. Long responses have no array; their
-    gap rows are joined through the few records that own them.
-    """
-    chosen = steady_success(records)
-    shape = [F.lit("itl").alias("metric"), F.col("value"), F.col("n")]
-    pool = chosen.select(*keys, F.explode("itl_list").alias("value"), F.lit(1).cast("long").alias("n")).select(*keys, *shape)
-    if long_gaps is None:
-        return pool
-    owners = chosen.where(F.col("itl_list").isNull() & F.col("itl_summary").isNotNull()).select("request_id", *keys)
-    owners = broadcast_if_small(owners)
-    rows = long_gaps.join(owners, "request_id").withColumnRenamed("gap", "value")
-    return pool.unionByName(rows.select(*keys, *shape))
+def gap_pool(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataFrame:
+    """All token gaps of steady successes: `(keys, metric='itl', value, n)`, token-weighted."""
+    gaps = F.explode("itl_list").alias("value")
+    pool = steady_success(records).select(*keys, gaps, F.lit(1).cast("long").alias("n"))
+    return pool.select(*keys, F.lit("itl").alias("metric"), "value", "n")
 
 
 def _wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -236,7 +226,6 @@ def level_summary(
     runs: DataFrame,
     models: DataFrame,
     slo: DataFrame,
-    long_gaps: DataFrame | None = None,
 ) -> DataFrame:
     """One row per configured level: reliability, percentiles, throughput, goodput, cost.
 
@@ -254,7 +243,7 @@ def level_summary(
         _count_if(chosen & F.col("cache_violation")).alias("cache_busting_violations"),
         F.sum(F.when(chosen, F.col("cost_usd"))).alias("_cost"),
     )
-    values = _long(steady_success(records), keys, METRICS).unionByName(gap_pool(records, long_gaps))
+    values = _long(steady_success(records), keys, METRICS).unionByName(gap_pool(records))
     metrics = [*METRICS, "itl"]
     wide = _wide(value_stats(values, keys), keys, metrics)
     return _finish(configured_levels(run_levels), facts, wide, runs, models)

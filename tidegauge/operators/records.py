@@ -1,28 +1,19 @@
 """From response chunks to one record per request.
 
 The facts of a request are algebraic aggregates (min, max, count, last by position) plus
-its token arrivals, in one aggregation with one shuffle by request. Responses with very
-many tokens never collect their arrivals: they are found by a counting pass, are few by
-arithmetic, and get their gaps from blocks of arrival time instead.
+its token arrivals, in one aggregation with one scan and one shuffle by request. Every
+response has the same shape whatever its length: a record carries the list of its gaps, so
+one response's arrivals (8 bytes a token) are one cell, never those of several responses.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
-from tidegauge.functions.percentiles import ordered_quantiles
 from tidegauge.functions.segments import block_width, consecutive_gaps, counted, running_total, time_block
-from tidegauge.functions.sizing import broadcast_if_small, settle
-
-# Responses of more tokens than this are long. There are at most (all chunks) / (this
-# number) of them: 10**12 chunks hold no more than 10**6 long responses.
-LONG_RESPONSE_TOKENS = 1_000_000
-
-ITL_PROBS = (0.5, 0.95, 0.99)
+from tidegauge.functions.sizing import broadcast_if_small
 
 USAGE_KEYS = ("prompt_tokens", "completion_tokens", "cached_tokens", "reasoning_tokens")
 
@@ -61,32 +52,6 @@ def second_token_gap(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("request_id").agg(_second_token().alias("tt2t"))
 
 
-@dataclass(frozen=True)
-class LongResponses:
-    """Ids of the long responses of a chunk table, written once and counted."""
-
-    ids: DataFrame
-    count: int
-
-    def side(self) -> DataFrame:
-        return broadcast_if_small(self.ids, self.count)
-
-    def chunks(self, chunks: DataFrame) -> DataFrame:
-        """The chunks of long responses only."""
-        return chunks.join(self.side(), F.col("request_id") == F.col("long_id"), "left_semi")
-
-    def gaps(self, chunks: DataFrame) -> DataFrame | None:
-        """Gap rows of long responses; None when there are none."""
-        return inter_token_gaps(self.chunks(chunks)) if self.count else None
-
-
-def find_long_responses(chunks: DataFrame, long_tokens: int = LONG_RESPONSE_TOKENS) -> LongResponses:
-    """Count tokens per response in one combined pass and keep the ids of the long ones."""
-    counts = content_chunks(chunks).groupBy(F.col("request_id").alias("long_id")).agg(F.count(F.lit(1)).alias("_tokens"))
-    ids = settle(counts.where(F.col("_tokens") > long_tokens).select("long_id"))
-    return LongResponses(ids, ids.count())
-
-
 def _gaps_of(arrivals: Column) -> Column:
     """Differences of neighbours in a sorted array."""
     later = F.slice(arrivals, F.lit(2), F.greatest(F.size(arrivals) - 1, F.lit(0)))
@@ -94,29 +59,9 @@ def _gaps_of(arrivals: Column) -> Column:
     return F.zip_with(later, earlier, lambda x, y: x - y)
 
 
-def _long_summary(gaps: DataFrame) -> DataFrame:
-    q = F.col("quantiles")
-    simple = gaps.groupBy("request_id").agg(
-        _second_token().alias("long_tt2t"),
-        (F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.max("gap").alias("max"),
-    )
-    return simple.join(ordered_quantiles(gaps, ["request_id"], "gap", ITL_PROBS, "n"), "request_id").select(
-        "request_id",
-        "long_tt2t",
-        F.struct("mean", q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"), "max").alias("long_summary"),
-    )
-
-
-def _with_long_flag(chunks: DataFrame, long: LongResponses) -> DataFrame:
-    if not long.count:
-        return chunks.withColumn("long_id", F.lit(None).cast("string"))
-    return chunks.join(long.side(), F.col("request_id") == F.col("long_id"), "left")
-
-
 def _arrivals() -> Column:
-    """Aggregate: token arrivals; none are collected for a long response."""
-    return F.collect_list(F.when(has_text() & F.col("long_id").isNull(), F.col("arrival_s"))).alias("_arrivals")
+    """Aggregate: token arrivals of a response."""
+    return F.collect_list(F.when(has_text(), F.col("arrival_s"))).alias("_arrivals")
 
 
 def _gap_struct() -> Column:
@@ -130,29 +75,17 @@ def _gap_struct() -> Column:
     )
 
 
-def _with_gap_facts(facts: DataFrame, chunks: DataFrame, long: LongResponses) -> DataFrame:
-    """Turn `_arrivals` into `tt2t`, `itl_list`, `itl_summary`, from gap rows where the response is long."""
-    short = facts.withColumn("_gaps", _gap_struct()).drop("_arrivals")
-    first, summary, gaps = F.get("_gaps.itl_list", F.lit(0)), F.col("_gaps.itl_summary"), F.col("_gaps.itl_list")
-    if long.count:
-        side = broadcast_if_small(_long_summary(long.gaps(chunks)), long.count)
-        short = short.join(side, "request_id", "left")
-        first = F.coalesce(first, F.col("long_tt2t"))
-        summary = F.coalesce(summary, F.col("long_summary"))
-        gaps = F.when(F.col("long_summary").isNull(), gaps)
-    return short.withColumns({"tt2t": first, "itl_summary": summary, "itl_list": gaps}).drop(
-        "_gaps", "long_tt2t", "long_summary"
-    )
-
+def _with_gap_facts(facts: DataFrame) -> DataFrame:
+    """Turn `_arrivals` into `tt2t`, `itl_list`, `itl_summary`."""
+    made = facts.withColumn("_gaps", _gap_struct()).drop("_arrivals")
+    gaps = F.col("_gaps.itl_list")
+    return made.withColumns({"tt2t": F.get(gaps, F.lit(0)), "itl_summary": F.col("_gaps.itl_summary"), "itl_list": gaps}).drop("_gaps")
 
-def itl_summary(chunks: DataFrame, long: LongResponses | None = None) -> DataFrame:
-    """`(request_id, tt2t, itl_list, itl_summary)`; null summary without gaps.
 
-    The list is null for long responses, whose gaps are rows (`LongResponses.gaps`).
-    """
-    long = long or find_long_responses(chunks)
-    facts = _with_long_flag(content_chunks(chunks), long).groupBy("request_id").agg(_arrivals())
-    return _with_gap_facts(facts, chunks, long).select("request_id", "tt2t", "itl_list", "itl_summary")
+def itl_summary(chunks: DataFrame) -> DataFrame:
+    """`(request_id, tt2t, itl_list, itl_summary)`; null summary without gaps."""
+    facts = content_chunks(chunks).groupBy("request_id").agg(_arrivals())
+    return _with_gap_facts(facts).select("request_id", "tt2t", "itl_list", "itl_summary")
 
 
 def itl_lists(gaps: DataFrame) -> DataFrame:
@@ -233,16 +166,15 @@ def classify_outcomes(chunks: DataFrame) -> DataFrame:
     )
 
 
-def response_facts(chunks: DataFrame, long: LongResponses | None = None) -> DataFrame:
+def response_facts(chunks: DataFrame) -> DataFrame:
     """Outcome, latencies, gaps and tokens. A failed request keeps no stream data."""
-    long = long or find_long_responses(chunks)
-    raw = _with_long_flag(chunks, long).groupBy("request_id").agg(
+    raw = chunks.groupBy("request_id").agg(
         _arrivals(),
         F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"),
         *usage_aggregates(),
         *outcome_aggregates(),
     )
-    facts = _with_gap_facts(raw, chunks, long).select(
+    facts = _with_gap_facts(raw).select(
         "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code", outcome_column().alias("outcome"), *usage_columns(),
         _error_kind().alias("_error_kind"),
     )
@@ -312,15 +244,13 @@ def build_records(
     runs: DataFrame,
     models: DataFrame,
     prompts: DataFrame,
-    long: LongResponses | None = None,
 ) -> DataFrame:
     """The request record.
 
     `itl_list` and `expected_output` are carried for the gap pool and the evaluation
-    join; writers drop them unless told otherwise. The list of a long response stays
-    null here (`fill_long_lists` adds it for a raw export).
+    join; writers drop them unless told otherwise.
     """
-    joined = requests.join(response_facts(chunks, long), "request_id", "left")
+    joined = requests.join(response_facts(chunks), "request_id", "left")
     joined = enrich_prompts(enrich_prices(tag_phases(joined, runs), runs, models), prompts)
     ok = F.col("outcome") == fixed.SUCCESS
     e2e, ttft, out = F.col("e2e"), F.col("ttft"), F.col("output_tokens")
@@ -347,31 +277,12 @@ def build_records(
     return joined.select(*columns)
 
 
-def fill_long_lists(records: DataFrame, chunks: DataFrame, long: LongResponses) -> DataFrame:
-    """Add the gap arrays of long responses, one cell each, for an export that asks for them."""
-    if not long.count:
-        return records
-    lists = itl_lists(long.gaps(chunks)).withColumnRenamed("itl_list", "_list")
-    filled = F.when(F.col("outcome") == fixed.SUCCESS, F.coalesce("itl_list", "_list"))
-    return records.join(lists, "request_id", "left").withColumn("itl_list", filled).drop("_list")
-
-
-def output_text(chunks: DataFrame, long: LongResponses | None = None) -> DataFrame:
-    """Text of each response in arrival order: `(request_id, part, output_text)`; never persisted.
-
-    An ordinary response is one row with part 0. A long one comes in parts, one per block
-    of arrivals, to be read in the order of `part`.
-    """
-    long = long or find_long_responses(chunks)
-    rows, part = content_chunks(chunks), F.lit(0).cast("long")
-    if long.count:
-        rows = _with_long_flag(rows, long)
-        width = block_width(long.chunks(chunks), ["request_id"], "arrival_s")
-        part = F.when(F.col("long_id").isNotNull(), time_block("arrival_s", width)).otherwise(part)
+def output_text(chunks: DataFrame) -> DataFrame:
+    """Text of each response in arrival order: `(request_id, output_text)`; never persisted."""
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda item: item["content"]), ""
     )
-    return rows.groupBy("request_id", part.alias("part")).agg(text.alias("output_text"))
+    return content_chunks(chunks).groupBy("request_id").agg(text.alias("output_text"))
 
 
 def chunk_order(chunks: DataFrame, width: float | None = None) -> DataFrame:

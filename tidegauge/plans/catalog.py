@@ -262,7 +262,7 @@ def _flat_summary(df: DataFrame) -> DataFrame:
 
 @query
 def itl_summary(wb: Workbench) -> DataFrame:
-    return _flat_summary(rec.itl_summary(wb.fx.content_chunks(), wb.long))
+    return _flat_summary(rec.itl_summary(wb.fx.content_chunks()))
 
 
 @query
@@ -383,7 +383,7 @@ def tool_args_parse(wb: Workbench) -> DataFrame:
 
 @query
 def output_text(wb: Workbench) -> DataFrame:
-    return rec.output_text(wb.fx.content_chunks(), wb.long)
+    return rec.output_text(wb.fx.content_chunks())
 
 
 @query
@@ -409,7 +409,7 @@ def _flat_record(records: DataFrame) -> DataFrame:
 
 @query
 def record_build(wb: Workbench) -> DataFrame:
-    return _flat_record(wb.build_records(wb.long))
+    return _flat_record(wb.build_records())
 
 
 # -- filters ------------------------------------------------------------------------------
@@ -534,7 +534,7 @@ def pct_object(wb: Workbench) -> DataFrame:
 
 @query
 def itl_pool(wb: Workbench) -> DataFrame:
-    return lv.value_stats(lv.gap_pool(wb.records, wb.long.gaps(wb.fx.chunks())), LEVEL)
+    return lv.value_stats(lv.gap_pool(wb.records), LEVEL)
 
 
 @query

@@ -21,24 +21,20 @@ class Workbench:
         self.spark = spark
         self.fx = Fixtures(spark, folder)
 
-    @cached_property
-    def long(self) -> rec.LongResponses:
-        return rec.find_long_responses(self.fx.chunks())
-
     def prompts(self) -> DataFrame:
         return dims.validate_prompts(self.fx.raw_prompts())[0]
 
     def slo(self) -> DataFrame:
         return dims.slo_profiles(self.fx.slo_config())
 
-    def build_records(self, long: rec.LongResponses | None = None) -> DataFrame:
+    def build_records(self) -> DataFrame:
         fx = self.fx
-        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts(), long)
+        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts())
 
     @cached_property
     def records(self) -> DataFrame:
         """Request records, written once."""
-        return settle(self.build_records(self.long))
+        return settle(self.build_records())
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -47,9 +43,7 @@ class Workbench:
 
     def build_levels(self, records: DataFrame) -> DataFrame:
         fx = self.fx
-        return lv.level_summary(
-            records, fx.run_levels(), fx.runs(), fx.models(), self.slo(), self.long.gaps(fx.chunks())
-        )
+        return lv.level_summary(records, fx.run_levels(), fx.runs(), fx.models(), self.slo())
 
     @cached_property
     def levels(self) -> DataFrame:
