@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidegauge.sources.readers import read_by_suffix
+from tidegauge.sources.readers import read_by_suffix, read_own_columns
 
 
 class QueryError(ValueError):
@@ -27,9 +27,12 @@ def query_frame(data: DataFrame, sql: str) -> DataFrame:
 
 
 def query_file(spark: SparkSession, path: str, sql: str, schema: T.StructType | None = None) -> DataFrame:
-    """Run `sql` over a `.parquet` file or JSON lines; the result is a lazy DataFrame."""
+    """Run `sql` over a `.parquet` file or JSON lines; the result is a lazy DataFrame.
+
+    JSON lines have their own columns, or those of `schema` when it is given.
+    """
     try:
-        data = read_by_suffix(spark, path, schema)
+        data = read_by_suffix(spark, path, schema) if schema else read_own_columns(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise QueryError(f"data file not found: {path}") from error

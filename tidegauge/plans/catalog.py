@@ -794,8 +794,8 @@ SQL_VIEWS = {
     "select prompt_id from data where run_id = 'run-2' and outcome <> 'success'",
     "adhoc_intersect": "select prompt_id from data where run_id = 'run-0' and outcome = 'success' intersect "
     "select prompt_id from data where run_id = 'run-0' and outcome <> 'success'",
-    "adhoc_except": "select prompt_id from data where run_id = 'run-0' and outcome <> 'success' except "
-    "select prompt_id from data where run_id = 'run-0' and outcome = 'success'",
+    "adhoc_except": "select prompt_id from data where outcome = 'success' except "
+    "select prompt_id from data where outcome <> 'success'",
     "adhoc_distinct": "select distinct run_id, model, category from data",
 }
 
@@ -811,6 +811,15 @@ for _name, _sql in SQL_VIEWS.items():
     _register_sql(_name, _sql)
 
 
+@query
+def adhoc_tool_log(wb: Workbench) -> DataFrame:
+    """SQL over a log whose columns are its own."""
+    path = wb.folder("tool-log")
+    writers.write_tool_calls(tools.distinct_tool_calls(wb.fx.tool_calls()), path)
+    sql = "select tool, count(*) as calls, count(distinct arguments) as kinds, min(first_seq) as first_seq from data group by tool"
+    return adhoc.query_file(wb.spark, path, sql)
+
+
 # -- report series ------------------------------------------------------------------------------------------
 
 

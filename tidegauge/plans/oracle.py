@@ -675,8 +675,12 @@ ORACLES: dict[str, str] = {
     + "select prompt_id from records where run_id = 'run-0' and outcome = 'success' intersect "
     "select prompt_id from records where run_id = 'run-0' and outcome <> 'success'",
     "adhoc_except": BASE
-    + "select prompt_id from records where run_id = 'run-0' and outcome <> 'success' except "
-    "select prompt_id from records where run_id = 'run-0' and outcome = 'success'",
+    + "select prompt_id from records where outcome = 'success' except select prompt_id from records where outcome <> 'success'",
+    "adhoc_tool_log": """select tool, count(*) as calls, count(distinct arguments) as kinds, min(first_seq) as first_seq from (
+        select 'run-' || cast(l_suppkey % 5 as varchar) as run_id, 'tool-' || cast(l_suppkey % 7 as varchar) as tool,
+          '{"a":' || cast(l_suppkey % 5 as varchar) || ',"b":' || cast(l_linenumber % 3 as varchar) || '}' as arguments,
+          '{"r":' || cast(l_suppkey % 7 as varchar) || '}' as result, min(l_orderkey * 100 + l_linenumber) as first_seq
+        from lineitem group by all) group by tool""",
     "adhoc_distinct": BASE + "select distinct run_id, model, category from records",
     # report series
     "sys_tput_vs_level": BASE + "select run_id, level_or_rate, round(case when w > 0 then so / w else 0 end, 6) as system_tok_s from levels",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,24 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
     return read_raw(spark, path, schema)
 
 
+def read_own_columns(spark: SparkSession, path: str) -> DataFrame:
+    """`.parquet` files as they are; JSON lines with the columns the lines have.
+
+    One distributed pass over all lines finds the columns and the widest type of each; broken
+    lines and lines that are no object are left out. Without any object the columns are those of
+    request records.
+    """
+    if path.lower().rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    objects = spark.read.text(path).select(scalars.json_object(F.col("value")).alias("_object")).where(F.col("_object").isNotNull())
+    found = objects.agg(F.schema_of_variant_agg("_object")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return read_raw(spark, path)
+    ddl = re.sub(r"DECIMAL\([^)]*\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
+    fields = T.DataType.fromDDL(ddl).fields
+    return objects.select(*[F.try_variant_get("_object", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in fields])
+
+
 def list_runs(spark: SparkSession, root: str, summary: str = "summary.json") -> DataFrame:
     """Names of the runs under `root` that have a summary (a file or a folder of files), newest first."""
     try:
