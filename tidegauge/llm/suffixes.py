@@ -4,9 +4,8 @@ Of all word suffixes only those are retained that start at a minimiser: the leas
 hash of `width` neighbouring ones. The choice depends on the words alone, so two documents that
 share a passage retain the same suffixes of it; with the defaults one word in ten starts one.
 
-The retained suffixes are ordered by their first `gram` words and then by the words after them,
-up to `depth` in all (hashed blocks serve as letters, which is a lexicographic order too, just
-not the alphabet's). Each is compared with its neighbours in that order: suffixes that agree in
+The retained suffixes are ordered by their first `depth` words (the block's hash serves as the
+letter, which is a lexicographic order too, just not the alphabet's). Each is compared with its neighbours in that order: suffixes that agree in
 `depth` words stand side by side, and those that agree with one of another document are
 matches. `depth + width + gram - 2 <= length`, so every shared passage of `length` words holds
 a retained suffix that agrees in `depth` words within it.
@@ -29,16 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.copies import exact_copies, holds
 from tidegauge.llm.words import U, Words, chain, mix, selected, signed, steps
 
 LENGTH, DEPTH, GRAM, WIDTH = 50, 25, 8, 18
-# A place is one long: 20 bits of the text's hash, 41 bits of word number, "repeats", "has an earlier copy".
-_FLAGS, _WORD = 2, 41
-_ROWS = "k bigint, g bigint, doc_id bigint, at bigint"
+# A place is one long: 16 bits of a second hash, 40 bits of word number, "repeats", "has an earlier copy".
+_FLAGS, _WORD = 2, 40
+_NUMBER = U((1 << _WORD) - 1)
+_ROWS = "k bigint, doc_id bigint, at bigint"
 
 
-def _tags(column: pa.Array) -> np.ndarray:
-    return (np.asarray(column).view(np.uint64) >> U(44)) << U(_WORD + _FLAGS)
+def _numbers(flat: np.ndarray) -> np.ndarray:
+    return ((flat >> U(_FLAGS)) & _NUMBER).astype(np.int64)
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -48,28 +49,29 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def _decided(key: np.ndarray, other: np.ndarray, ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _decided(key: np.ndarray, other: np.ndarray, ids: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
     """Rows of one batch; what it decides alone gets its flags and a key of its own.
 
     The first row of a text stays under the text's key, for the other batches.
     """
     order = np.lexsort((ids, other, key))
-    key, other, ids, place = key[order], other[order], ids[order], place[order]
-    fresh = _changes(key, other)
-    first = np.flatnonzero(fresh)
-    group = np.cumsum(fresh) - 1
-    shared = (ids[first] != ids[np.append(first[1:], len(ids)) - 1])[group] if len(ids) else np.zeros(0, dtype=bool)
-    later = ids > ids[first][group] if len(ids) else shared
-    place = place | shared.astype(np.uint64) | (later.astype(np.uint64) << U(1))
+    fresh = _changes(key[order], other[order])
+    begin, group, in_order = np.flatnonzero(fresh), np.cumsum(fresh) - 1, ids[order]
+    shared, later = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    if len(key):
+        shared[order] = (in_order[begin] != in_order[np.append(begin[1:], len(key)) - 1])[group]
+        later[order] = in_order > in_order[begin][group]
+    place = (other << U(_WORD + _FLAGS)) | (word.astype(np.uint64) << U(_FLAGS)) | (later.astype(np.uint64) << U(1)) | shared
     key = np.where(later, mix(place ^ mix(ids.view(np.uint64))), key)
-    return pa.RecordBatch.from_arrays([signed(key), pa.array(other), pa.array(ids), signed(place)], names=["k", "g", "doc_id", "at"])
+    return pa.RecordBatch.from_arrays([signed(key), pa.array(ids), signed(place)], names=["k", "doc_id", "at"])
 
 
 def retained(docs: DataFrame, length: int, depth: int, gram: int, width: int) -> DataFrame:
-    """The sparse suffixes: hash of the first `gram` words (`k`), of the rest of `depth` (`g`), place."""
+    """The sparse suffixes: the hash of their first `depth` words, document and place."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
+            batch = batch.filter(batch.column("doc_id").is_valid())
             words = Words(batch.column("text"))
             if len(words) < length:
                 continue
@@ -82,9 +84,8 @@ def retained(docs: DataFrame, length: int, depth: int, gram: int, width: int) ->
             owner = np.searchsorted(words.firsts, spot, side="right") - 1
             long = words.counts()[owner] >= length
             spot, owner = spot[long], owner[long]
-            rest = (chain(hashes, depth - gram, seed=2)[spot + gram] >> U(24)).astype(np.int64)
-            place = _tags(batch.column("tag"))[owner] | ((spot - words.firsts[owner]).astype(np.uint64) << U(_FLAGS))
-            yield _decided(grams[spot], rest, np.asarray(batch.column("doc_id"))[owner], place)
+            ids, word = np.asarray(batch.column("doc_id"))[owner], spot - words.firsts[owner]
+            yield _decided(chain(hashes, depth)[spot], _second(hashes, depth)[spot], ids, word)
 
     return docs.mapInArrow(find, _ROWS)
 
@@ -95,12 +96,11 @@ def windows(matched: DataFrame, length: int, depth: int) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(x.filter(x.column("places").is_valid()) for x in batches):
             words = Words(batch.column("text"))
-            tags, places = _tags(batch.column("tag")), batch.column("places")
+            places = batch.column("places")
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(places)))
-            flat = np.asarray(places.flatten()).view(np.uint64)
-            mine = (flat >> U(_WORD + _FLAGS)) == (tags[owner] >> U(_WORD + _FLAGS))
-            owner, flat = owner[mine], flat[mine]
-            word = ((flat >> U(_FLAGS)) & U((1 << _WORD) - 1)).astype(np.int64)
+            word = _numbers(np.asarray(places.flatten()).view(np.uint64))
+            inside = word + depth <= words.counts()[owner]
+            owner, word = owner[inside], word[inside]
             hashes = words.hashes()
             whole = chain(hashes, length)
             if not len(word) or not len(whole):
@@ -110,13 +110,17 @@ def windows(matched: DataFrame, length: int, depth: int) -> DataFrame:
             np.add.at(wanted, word + words.firsts[owner] + 1, -1)
             start = np.flatnonzero((np.cumsum(wanted)[: len(whole)] > 0) & words.windows(length)[: len(whole)])
             owner = np.searchsorted(words.firsts, start, side="right") - 1
-            place = tags[owner] | ((start - words.firsts[owner]).astype(np.uint64) << U(_FLAGS))
-            other = (chain(hashes, length, seed=1)[start] >> U(32)).astype(np.int64)
-            yield _decided(whole[start], other, np.asarray(batch.column("doc_id"))[owner], place)
+            ids, word = np.asarray(batch.column("doc_id"))[owner], start - words.firsts[owner]
+            yield _decided(whole[start], _second(hashes, length)[start], ids, word)
 
     return matched.mapInArrow(extend, _ROWS)
 
 
+def _second(hashes: np.ndarray, length: int) -> np.ndarray:
+    """16 bits of another hash of each run of `length` words."""
+    return chain(hashes, length, seed=1) >> U(48)
+
+
 def agreeing(rows: DataFrame) -> DataFrame:
     """Sort by text and keep what agrees with a neighbour of another document.
 
@@ -148,7 +152,8 @@ def agreeing(rows: DataFrame) -> DataFrame:
             found = place[keep] | 1 | ((ids[keep] > lead[group[keep]]).astype(np.int64) << 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(found)], names=["doc_id", "at"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "g", "doc_id").mapInArrow(compare, "doc_id bigint, at bigint")
+    ordered = rows.repartition("k").select("k", F.shiftrightunsigned("at", _WORD + _FLAGS).alias("g"), "doc_id", "at")
+    return ordered.sortWithinPartitions("k", "g", "doc_id").mapInArrow(compare, "doc_id bigint, at bigint")
 
 
 def shared_passages(
@@ -166,15 +171,15 @@ def shared_passages(
     if depth + width + gram - 2 > length or depth <= gram or width > 64:
         raise ValueError("a passage of `length` words must hold a suffix that agrees in `depth` words")
     names = ("n_words", "n_shared", "n_later", "passages")
-    rest = docs.drop(*names, "places", "starts", "tag")
-    marked = rest.withColumn("tag", F.xxhash64(text))
-    # Both joins with the texts read this one exchange.
-    dealt = marked.repartition("doc_id")
-    needed = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), "tag"]
-    ready = marked.select(needed).filter("doc_id is not null and text is not null")
-    matches = agreeing(retained(ready, length, depth, gram, width))
+    rest = docs.drop(*names, "places", "starts", "copied", "later")
+    # All joins with the texts read this one exchange.
+    dealt = rest.repartition("doc_id")
+    marked = dealt.join(exact_copies(rest, text), "doc_id", "left")
+    marked = marked.withColumns({"copied": holds("copied", text), "later": holds("later", text)})
+    needed = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")]
+    matches = agreeing(retained(marked.filter("not later").select(needed), length, depth, gram, width))
     places = matches.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    matched = dealt.select(needed).join(places, "doc_id", "left").select("doc_id", "text", "tag", "places")
+    matched = dealt.select(needed).join(places, "doc_id", "left").select("doc_id", "text", "places")
     found = agreeing(windows(matched, length, depth))
     starts = found.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     kept = rest.columns
@@ -183,16 +188,22 @@ def shared_passages(
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
             words = Words(batch.column(text))
-            tags, starts = _tags(batch.column("tag")), batch.column("starts")
+            starts = batch.column("starts")
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(starts), 0)))
             flat = np.asarray(starts.flatten()).view(np.uint64)
-            mine = (flat >> U(_WORD + _FLAGS)) == (tags[owner] >> U(_WORD + _FLAGS))
-            owner, flat = owner[mine], flat[mine]
-            begin = ((flat >> U(_FLAGS)) & U((1 << _WORD) - 1)).astype(np.int64) + words.firsts[owner]
+            begin = _numbers(flat)
+            # The second hash tells which of several texts under one id a window is of.
+            inside = begin + length <= words.counts()[owner]
+            begin, flat = begin[inside] + words.firsts[owner[inside]], flat[inside]
+            if len(begin):
+                mine = _second(words.hashes(), length)[begin] == flat >> U(_WORD + _FLAGS)
+                begin, flat = begin[mine], flat[mine]
+            long = words.counts() >= length
             masks = []
-            for spots in (begin, begin[(flat & U(2)) > 0]):
+            for spots, whole in ((begin, "copied"), (begin[(flat & U(2)) > 0], "later")):
                 edges = np.bincount(spots, minlength=len(words) + 1) - np.bincount(spots + length, minlength=len(words) + 1)
-                masks.append(np.cumsum(edges)[: len(words)] > 0)
+                all_of = (np.asarray(batch.column(whole).cast(pa.int8())) > 0) & long
+                masks.append((np.cumsum(edges)[: len(words)] > 0) | np.repeat(all_of, words.counts()))
             owners = words.owners()
             fresh = masks[0] & np.concatenate([[True], ~masks[0][:-1] | (owners[1:] != owners[:-1])])[: len(words)]
             froms = np.flatnonzero(fresh)
@@ -209,4 +220,4 @@ def shared_passages(
 
     out = "n_words bigint, n_shared bigint, n_later bigint, passages array<struct<start:bigint,end:bigint,later:bigint>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), out])
-    return dealt.join(starts, "doc_id", "left").mapInArrow(cover, schema)
+    return marked.join(starts, "doc_id", "left").mapInArrow(cover, schema)
