@@ -317,6 +317,22 @@ def run_summary(records: DataFrame, runs: DataFrame, models: DataFrame) -> DataF
     )
 
 
+def run_report(summary: DataFrame, levels: DataFrame, coverage: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The run block of a summary: counters, cost, judged share, skipped prompts and the levels.
+
+    `summary` is `run_summary`; the other tables have one row per run or level. Runs without an
+    evaluation or without levels have zeros and an empty list.
+    """
+    counts = ("judged", "total_eligible", "dropped", "tools_unsupported", "vision_unsupported")
+    joined = summary.join(run_cost(levels).drop("completed"), "run_id", "left")
+    for part in (coverage, skipped, nested_summary(levels).select("run_id", "levels")):
+        joined = joined.join(part, "run_id", "left")
+    filled = {name: F.coalesce(F.col(name), F.lit(0).cast("long")) for name in counts}
+    return joined.withColumns(
+        filled | {"coverage": F.coalesce("coverage", F.lit(0.0)), "levels": F.coalesce("levels", F.array().cast(joined.schema["levels"].dataType))}
+    )
+
+
 def summary_rows(levels: DataFrame) -> DataFrame:
     """Display rows of the summary: milliseconds, percentages, a dash for what is absent."""
     samples = F.col("steady_samples")

@@ -199,15 +199,19 @@ def flatten_rollup(wb: Workbench) -> DataFrame:
     return _check_columns(flat)
 
 
+def run_reports(wb: Workbench) -> DataFrame:
+    summary = lv.run_summary(wb.records, wb.fx.runs(), wb.fx.models())
+    return rounded(lv.run_report(summary, wb.levels, quality.coverage(wb.scored), tools.skip_counts(wb.prompts(), wb.fx.runs(), wb.fx.models())))
+
+
 @query
 def sink_summary(wb: Workbench) -> DataFrame:
-    path = wb.folder("summary")
-    writers.write_summary(wb.levels, path)
-    shape = lv.nested_summary(wb.levels).schema
-    rows = wb.spark.read.schema(shape).json(path)
-    return rows.select("run_id", F.explode("levels").alias("level")).select(
-        "run_id", F.col("level.level_or_rate").alias("level_or_rate"), F.col("level.completed").alias("completed"),
-        F.col("level.e2e_p99").alias("e2e_p99"),
+    path, report = wb.folder("summary"), run_reports(wb)
+    writers.write_summary(wb.levels, path, report)
+    rows = wb.spark.read.schema(report.schema).json(path)
+    return rows.select("run_id", "requests", "tools_unsupported", "judged", F.explode("levels").alias("level")).select(
+        "run_id", "requests", "tools_unsupported", "judged", F.col("level.level_or_rate").alias("level_or_rate"),
+        F.col("level.completed").alias("completed"), F.col("level.e2e_p99").alias("e2e_p99"),
     )
 
 
@@ -579,7 +583,7 @@ def level_summary(wb: Workbench) -> DataFrame:
 
 @query
 def run_summary(wb: Workbench) -> DataFrame:
-    return lv.run_summary(wb.records, wb.fx.runs(), wb.fx.models())
+    return run_reports(wb).withColumn("levels", F.size("levels"))
 
 
 @query

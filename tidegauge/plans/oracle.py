@@ -756,3 +756,22 @@ ORACLES: dict[str, str] = {
           then 1 + cast(ts >= wm as int) end), 0)::bigint as requests from timed, mark group by window_start""",
     "stream_dedup": BASE + "select run_id, request_id from timed",
 }
+
+# The run block: the single queries joined by run.
+_PARTS = {name: ORACLES[name][len(BASE) :] for name in ("run_cost", "eval_coverage", "skip_counts", "sink_summary")}
+_RUN_PARTS = f""", counted as ({ORACLES["run_summary"][len(BASE):]}), costs as ({_PARTS["run_cost"]}), judging as ({_PARTS["eval_coverage"]}),
+  skipping as ({_PARTS["skip_counts"]})"""
+ORACLES["run_summary"] = (
+    BASE
+    + _RUN_PARTS
+    + """ select c.*, k.total_cost_usd, k.cost_per_1k_requests, coalesce(j.judged, 0) as judged, coalesce(j.total_eligible, 0) as total_eligible,
+      coalesce(j.dropped, 0) as dropped, coalesce(j.coverage, 0.0) as coverage, coalesce(s.tools_unsupported, 0) as tools_unsupported,
+      coalesce(s.vision_unsupported, 0) as vision_unsupported, (select count(*) from levels l where l.run_id = c.run_id) as levels
+      from counted c left join costs k using (run_id) left join judging j using (run_id) left join skipping s using (run_id)"""
+)
+ORACLES["sink_summary"] = (
+    BASE
+    + _RUN_PARTS
+    + f""", listed as ({_PARTS["sink_summary"]}) select l.*, requests, coalesce(tools_unsupported, 0) as tools_unsupported, coalesce(judged, 0) as judged
+      from listed l join counted using (run_id) left join judging using (run_id) left join skipping using (run_id)"""
+)

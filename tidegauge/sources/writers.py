@@ -58,9 +58,9 @@ def write_rollup(records: DataFrame, path: str, flat: bool = True, raw_itl: bool
     (flatten(rows) if flat else rows).write.parquet(path)
 
 
-def write_summary(levels: DataFrame, path: str) -> None:
-    """One JSON object per run with its levels nested."""
-    nested_summary(levels).write.json(path)
+def write_summary(levels: DataFrame, path: str, report: DataFrame | None = None) -> None:
+    """One JSON object per run with its levels nested, and the run block when a report is given."""
+    (nested_summary(levels) if report is None else report).write.json(path)
 
 
 def write_tool_calls(calls: DataFrame, path: str) -> None:
