@@ -101,22 +101,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": r"""
-        with split as (
-            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as words
-            from documents
+        with trimmed as (
+            select doc_id, regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line from documents
         ),
-        starts as (select doc_id, words, unnest(generate_series(1, len(words) - 12)) as at from split where len(words) >= 13),
-        windows as (select doc_id, at, array_to_string(words[at:at + 12], ' ') as run from starts),
+        split as (
+            select doc_id, case when line = '' then [] else regexp_split_to_array(line, '[\x20\x09-\x0D]+') end as words from trimmed
+        ),
+        starts as (select doc_id, words, unnest(generate_series(1, len(words) - 12)) as pos from split where len(words) >= 13),
+        windows as (select doc_id, pos, array_to_string(words[pos:pos + 12], ' ') as run from starts),
         earliest as (select run, min(doc_id) as doc_id from windows group by run),
-        later as (select w.doc_id, w.at from windows w join earliest e on w.run = e.run and e.doc_id < w.doc_id),
-        gone as (select distinct doc_id, at + step as at from later, (select unnest(generate_series(0, 12)) as step)),
+        later as (select w.doc_id, w.pos from windows w join earliest e on w.run = e.run and e.doc_id < w.doc_id),
+        gone as (select distinct doc_id, pos + step as pos from later, (select unnest(generate_series(0, 12)) as step)),
         numbered as (
-            select doc_id, unnest(words) as word, unnest(generate_series(1, len(words))) as at from split
+            select doc_id, unnest(words) as word, unnest(generate_series(1, len(words))) as pos from split
         ),
         kept as (
-            select n.doc_id, string_agg(n.word, ' ' order by n.at) as text, count(*) as n
-            from numbered n left join gone g on n.doc_id = g.doc_id and n.at = g.at
-            where g.at is null group by n.doc_id
+            select n.doc_id, string_agg(n.word, ' ' order by n.pos) as text, count(*) as n
+            from numbered n left join gone g on n.doc_id = g.doc_id and n.pos = g.pos
+            where g.pos is null group by n.doc_id
         )
         select s.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(k.n, 0))::bigint as n_removed,
             sha256(coalesce(k.text, '')) as kept_sha256
