@@ -49,13 +49,17 @@ def _borders(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("doc_id").cast(pa.int64()))
+
+
+def anchors(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
     """`k` (anchor hash), `doc_id`, `at`: one row per anchor, those known to repeat spread out."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, text):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            words = Words(batch.column("text"))
+            words = Words(batch.column(text))
             if len(words) < length:
                 continue
             grams = chain(words.hashes(), seed)
@@ -66,7 +70,7 @@ def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
             owner = np.searchsorted(words.firsts, spot, side="right") - 1
             long = words.counts()[owner] >= length
             spot, owner = spot[long], owner[long]
-            ids = np.asarray(batch.column("doc_id"))[owner]
+            ids = _ids(batch)[owner]
             place = (spot - words.firsts[owner]).astype(np.uint64) << U(1)
             key = grams[spot]
             order = np.lexsort((ids, key))
@@ -84,10 +88,10 @@ def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.mapInArrow(find, "k bigint, doc_id bigint, at bigint")
 
 
-def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
     """`doc_id`, `places`: the anchors of a document that another one has too."""
     one = Window.partitionBy("k")
-    found = anchors(docs, length, seed).select(
+    found = anchors(docs, text, length, seed).select(
         "doc_id",
         "at",
         (F.max(F.col("at").bitwiseAND(F.lit(1))).over(one) == 1).alias("settled"),
@@ -97,15 +101,15 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return kept.agg(F.collect_list(F.shiftrightunsigned("at", 1)).alias("places"))
 
 
-def extensions(matched: DataFrame, length: int, seed: int) -> DataFrame:
+def extensions(matched: DataFrame, text: str, length: int, seed: int) -> DataFrame:
     """`k`, `doc_id`, `at` of each window whose anchor is shared.
 
     A window that a smaller `doc_id` of the batch has as well is known to be a repeat.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(x.filter(x.column("places").is_valid()) for x in batches):
-            words = Words(batch.column("text"))
+        for batch in steps((x.filter(x.column("places").is_valid()) for x in batches), text):
+            words = Words(batch.column(text))
             places = batch.column("places")
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(places)))
             word = np.asarray(places.flatten())
@@ -122,7 +126,7 @@ def extensions(matched: DataFrame, length: int, seed: int) -> DataFrame:
             own = np.arange(len(least)) + (((least & U(63)).astype(np.int64) - np.arange(len(least))) & 63)
             start = np.flatnonzero(shared[own] & words.windows(length)[: len(own)])
             owner = np.searchsorted(words.firsts, start, side="right") - 1
-            key, ids = whole[start], np.asarray(batch.column("doc_id"))[owner]
+            key, ids = whole[start], _ids(batch)[owner]
             other = _second(hashes, length)[start]
             place = (other << U(_WORD + 1)) | ((start - words.firsts[owner]).astype(np.uint64) << U(1))
             order = np.lexsort((ids, other, key))
@@ -141,14 +145,15 @@ def _second(hashes: np.ndarray, length: int) -> np.ndarray:
     return chain(hashes, length, seed=1) >> U(48)
 
 
-def repeated_windows(originals: DataFrame, dealt: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def repeated_windows(originals: DataFrame, dealt: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """`doc_id`, `starts`: windows of `length` words that also start in a smaller `doc_id`.
 
     Each entry has 16 bits of the window's second hash above the number of its first word.
-    `dealt` has `doc_id` and `text` of all rows, `originals` those that are no copies.
+    `dealt` has all rows, `originals` those that are no copies. Both go to Python with all their
+    columns, so that they and the last join can read one exchange of the texts.
     """
-    matched = dealt.join(shared_anchors(originals, length, seed), "doc_id", "left").select("doc_id", "text", "places")
-    met = extensions(matched, length, seed).repartition("k").withColumn("g", F.shiftrightunsigned("at", _WORD + 1))
+    matched = dealt.join(shared_anchors(originals, text, length, seed), "doc_id", "left")
+    met = extensions(matched, text, length, seed).repartition("k").withColumn("g", F.shiftrightunsigned("at", _WORD + 1))
     one = Window.partitionBy("k", "g")
     found = met.select("doc_id", "at", (F.min("doc_id").over(one) < F.col("doc_id")).alias("later"))
     kept = found.filter((F.col("at").bitwiseAND(F.lit(1)) == 1) | F.col("later")).groupBy("doc_id")
@@ -167,13 +172,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     null `doc_id` lose nothing and remove nothing. Columns of the same names are replaced.
     """
     names = ("n_words", "n_removed", "removed", "kept_text")
-    rest = docs.drop(*names, "starts", "copied", "later")
+    rest = docs.drop(*names, "starts", "places", "copied", "later")
     # All joins with the texts read this one exchange.
     dealt = rest.repartition("doc_id")
     marked = dealt.join(exact_copies(rest, text), "doc_id", "left").withColumn("later", holds("later", text))
-    needed = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")]
-    originals = marked.filter("not later").select(needed)
-    starts = repeated_windows(originals, dealt.select(needed), length, seed)
+    starts = repeated_windows(marked.filter("not later"), dealt, text, length, seed)
     joined = marked.join(starts, "doc_id", "left")
     kept, out = rest.columns, "n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
