@@ -125,3 +125,18 @@ def test_sliding_windows_are_sums_of_their_halves(wb):
     for row in whole.itertuples():
         starts = (row.window_start, row.window_start + timedelta(minutes=10))
         assert row.steady_samples == sum(parts.get((row.run_id, row.level_or_rate, s.to_pydatetime()), 0) for s in starts)
+
+
+def test_raw_numbers_are_read_as_they_are(spark, tmp_path):
+    lines = [
+        '{"request_id": "a", "seed": 9007199254740993, "sim_score": NaN, "status_code": 200}',
+        '{"request_id": "b", "e2e": Infinity, "ttft": -Infinity, "status_code": 3000000000}',
+        '{"request_id": "c", "e2e": "NaN", "output_tokens": 1.5, "tpot": 0.25}',
+        '{"request_id": "d", "e2e": NaN',
+    ]
+    (tmp_path / "raw.jsonl").write_text("\n".join(lines))
+    found = {r["request_id"]: r for r in readers.read_raw(spark, str(tmp_path / "raw.jsonl")).collect()}
+    assert sorted(found) == ["a", "b", "c"]
+    assert found["a"]["seed"] == 9007199254740993 and found["a"]["sim_score"] != found["a"]["sim_score"] and found["a"]["status_code"] == 200
+    assert found["b"]["e2e"] == float("inf") and found["b"]["ttft"] == float("-inf") and found["b"]["status_code"] is None
+    assert found["c"]["e2e"] is None and found["c"]["output_tokens"] == 1 and found["c"]["tpot"] == 0.25

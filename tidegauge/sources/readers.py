@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from tidegauge import schemas
 from tidegauge.functions import scalars
 
+# Marks a bare not-a-number or infinity; no text of a log begins with it.
+_BARE = "\0"
+
 _NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
@@ -30,7 +33,9 @@ def _typed(value: Column, field: T.StructField) -> Column:
             whole = F.coalesce(F.when(kind.startswith("BIGINT"), exact), cut.try_cast("bigint"))
             result = F.when(number, whole).try_cast(field.dataType)
         else:
-            result = F.when(number, F.try_variant_get(value, path, "double")).cast(field.dataType)
+            word = F.when(kind == "STRING", F.try_variant_get(value, path, "string"))
+            bare = F.when(word.startswith(_BARE), F.substring(word, 2, 9).cast("double"))
+            result = F.coalesce(F.when(number, F.try_variant_get(value, path, "double")), bare).cast(field.dataType)
     elif isinstance(field.dataType, T.BooleanType):
         result = F.when(kind == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
     else:
@@ -38,12 +43,18 @@ def _typed(value: Column, field: T.StructField) -> Column:
     return result.alias(field.name)
 
 
+def _object(text: Column) -> Column:
+    """Variant of a JSON object; bare NaN and Infinity values, which are no JSON, are kept as marked text."""
+    quoted = F.regexp_replace(text, r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])", r'$1"\\u0000$2"')
+    return F.coalesce(scalars.json_object(text), scalars.json_object(quoted))
+
+
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Typed rows of JSON-lines text `value`; blank, broken and non-object lines are left out.
 
     A field of the wrong type is null and its row stays.
     """
-    objects = lines.withColumn("_object", scalars.json_object(F.col("value"))).where(F.col("_object").isNotNull())
+    objects = lines.withColumn("_object", _object(F.col("value"))).where(F.col("_object").isNotNull())
     extra = [name for name in lines.columns if name != "value"]
     return objects.select(*extra, *[_typed(F.col("_object"), field) for field in schema.fields if field.name not in extra])
 
