@@ -234,12 +234,12 @@ class Fixtures:
         )
 
     def slo_config(self) -> DataFrame:
-        """Configured targets: one overrides a built-in, one is new, one bounds nothing but TTFT."""
-        return self.table("region").where("r_regionkey < 3").selectExpr(
-            "case r_regionkey when 0 then 'relaxed' when 1 then 'strict' else 'first-token' end as name",
-            "case r_regionkey when 0 then 1500.0D when 1 then 300.0D else 400.0D end as ttft_ms",
-            "case r_regionkey when 0 then 40.0D when 1 then 5.0D end as tpot_ms",
-            "case r_regionkey when 0 then 3500.0D when 1 then 2500.0D end as e2e_ms",
+        """Configured targets: one overrides a built-in, others are new, one bounds nothing but TTFT."""
+        return self.table("region").selectExpr(
+            "case r_regionkey when 0 then 'relaxed' when 1 then 'strict' when 2 then 'first-token' when 3 then 'batch' else 'bulk' end as name",
+            "case r_regionkey when 0 then 1500.0D when 1 then 300.0D when 2 then 400.0D when 3 then 900.0D else 1000.0D end as ttft_ms",
+            "case r_regionkey when 0 then 40.0D when 1 then 5.0D when 3 then 60.0D end as tpot_ms",
+            "case r_regionkey when 0 then 3500.0D when 1 then 2500.0D when 4 then 9000.0D end as e2e_ms",
         )
 
     def runs(self) -> DataFrame:

@@ -63,7 +63,8 @@ run_levels as (
 configured as (select * from run_levels where not (run_id = 'run-1' and level_or_rate = 64)),
 slo as (
   select * from (values ('relaxed', 1500.0::double, 40.0::double, 3500.0::double), ('strict', 300.0, 5.0, 2500.0),
-                        ('first-token', 400.0, null, null), ('interactive', 500.0, 50.0, 5000.0))
+                        ('first-token', 400.0, null, null), ('batch', 900.0, 60.0, null), ('bulk', 1000.0, null, 9000.0),
+                        ('interactive', 500.0, 50.0, 5000.0))
            as t(slo_profile, ttft_ms, tpot_ms, e2e_ms)),
 prompts as (
   select 'prompt-' || cast(p_partkey as varchar) as id, p_partkey, p_size, p_name, p_brand,
