@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.words import U, mix, steps
 
 MARK = 0x2581
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 # Longer parts are relaxed one by one, so that rounds over all parts stay few.
 LONG_PART = 200
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -325,6 +325,7 @@ def encode(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     held = np.zeros(int(spaced[-1]), dtype=np.uint32)
     target = np.repeat(spaced[:-1] - np.concatenate([[0], np.cumsum(part_size)[:-1]]), part_size) + np.arange(part_size.sum())
     held[target] = codes[np.repeat(parts - np.concatenate([[0], np.cumsum(part_size)[:-1]]), part_size) + np.arange(part_size.sum())]
+    del normal, letter, cut, place, sums, order, fresh
     edges = edge_table(held, pieces)[target]
     packed, part_at = held[target], np.concatenate([[0], np.cumsum(part_size)])
     start, end = (_join if pieces.kind == _BPE else _best_path)(part_at, edges, pieces)
