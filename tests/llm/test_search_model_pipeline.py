@@ -209,6 +209,55 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def plain_near_copies(rows):
+    """Ids and texts that stay: one row of each component of a Jaccard similarity of 0.8 or more."""
+
+    def shingled(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingled(text) for _, text in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for row, r in zip(rows, root):
+        least[r] = min(least.get(r, row), row)
+    return sorted(least.values())
+
+
+def test_near_copies_of_four_fifths_leave_one_row(spark, tmp_path):
+    noise = random.Random(3)
+    words = lambda n: [f"Word{noise.randrange(10**6)}" for _ in range(n)]
+
+    def edited(line, edits):
+        line = list(line)
+        for at in noise.sample(range(len(line)), edits):
+            line[at] = f"edit{noise.randrange(10**6)}"
+        return " ".join(line)
+
+    rows = []
+    for number in range(40):
+        line = words(noise.randint(60, 200))
+        rows += [(10 * number + 1, " ".join(line)), (10 * number + 2, edited(line, noise.randint(1, len(line) // 30)))]
+    base = words(150)
+    rows += [(1000 + i, edited(base, noise.randint(0, 4))) for i in range(60)]
+    chain = words(100)
+    for i in range(6):
+        rows.append((2000 - i, " ".join(chain[4 * i :] + words(4 * i))))
+    # Rows of one id: one is a copy of a smaller id, another is on its own.
+    rows += [(5000, rows[0][1].upper()), (5000, " ".join(words(70))), (5001, "one two"), (5002, "ONE  two"), (5003, "one three")]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect())
+    assert kept == plain_near_copies(rows)
+    assert len(kept) < len(rows) - 60 and sum(i == 5000 for i, _ in kept) == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.filter("doc_id = 5003"), folder).count() == 1
+
+
 def test_registered_queries():
     names = entry.queries()
     for number, name in enumerate(
