@@ -44,6 +44,22 @@ def test_texts_are_one_row_each(make_chunks):
     assert rows == {"long": "".join(f"{i};" for i in range(30)), "short": "ab"}
 
 
+def test_long_responses_need_no_list(make_chunks):
+    rng = np.random.default_rng(2)
+    times = np.sort(rng.random(3000)).round(4)
+    chunks = make_chunks({"long": [(float(t), "w", None) for t in times]}, {"long": OK})
+    gaps = rec.inter_token_gaps(chunks, 0.01)
+    facts = rec.response_facts(chunks, gaps).drop("itl_list")
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    row, want = by_id(facts)["long"], np.diff(times)
+    found = [row["itl_summary"][name] for name in ("mean", "p50", "p95", "p99", "max")]
+    assert found == pytest.approx([want.mean(), *np.percentile(want, [50, 95, 99]), want.max()])
+    assert row["tt2t"] == pytest.approx(want[0])
+    parts = {r["part"]: r["text"] for r in rec.output_parts(chunks, 1000).collect()}
+    assert parts == {0: "w" * 1000, 1: "w" * 1000, 2: "w" * 1000}
+
+
 def test_repeated_arrivals_are_zero_gaps(make_chunks):
     chunks = make_chunks({"a": [(0.5, "x", None), (0.5, "y", None), (2.0, "z", None)]})
     gaps = rec.inter_token_gaps(chunks)

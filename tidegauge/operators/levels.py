@@ -90,10 +90,16 @@ def percentile_objects(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataF
     return value_stats(_long(steady_success(records), keys, METRICS), keys)
 
 
-def gap_pool(records: DataFrame, keys: Sequence[str] = LEVEL) -> DataFrame:
-    """All token gaps of steady successes: `(keys, metric='itl', value, n)`, token-weighted."""
-    gaps = F.explode("itl_list").alias("value")
-    pool = steady_success(records).select(*keys, gaps, F.lit(1).cast("long").alias("n"))
+def gap_pool(records: DataFrame, keys: Sequence[str] = LEVEL, gaps: DataFrame | None = None) -> DataFrame:
+    """All token gaps of steady successes: `(keys, metric='itl', value, n)`, token-weighted.
+
+    With `gaps` (rows of `records.inter_token_gaps`) no record's list is read.
+    """
+    chosen = steady_success(records)
+    if gaps is None:
+        pool = chosen.select(*keys, F.explode("itl_list").alias("value"), F.lit(1).cast("long").alias("n"))
+    else:
+        pool = chosen.select("request_id", *keys).join(gaps.select("request_id", F.col("gap").alias("value"), "n"), "request_id")
     return pool.select(*keys, F.lit("itl").alias("metric"), "value", "n")
 
 
@@ -226,6 +232,7 @@ def level_summary(
     runs: DataFrame,
     models: DataFrame,
     slo: DataFrame,
+    gaps: DataFrame | None = None,
 ) -> DataFrame:
     """One row per configured level: reliability, percentiles, throughput, goodput, cost.
 
@@ -243,7 +250,7 @@ def level_summary(
         _count_if(chosen & F.col("cache_violation")).alias("cache_busting_violations"),
         F.sum(F.when(chosen, F.col("cost_usd"))).alias("_cost"),
     )
-    values = _long(steady_success(records), keys, METRICS).unionByName(gap_pool(records))
+    values = _long(steady_success(records), keys, METRICS).unionByName(gap_pool(records, keys, gaps))
     metrics = [*METRICS, "itl"]
     wide = _wide(value_stats(values, keys), keys, metrics)
     return _finish(configured_levels(run_levels), facts, wide, runs, models)

@@ -1,9 +1,10 @@
 """From response chunks to one record per request.
 
-The facts of a request are algebraic aggregates (min, max, count, last by position) plus
-its token arrivals, in one aggregation with one scan and one shuffle by request. Every
-response has the same shape whatever its length: a record carries the list of its gaps, so
-one response's arrivals (8 bytes a token) are one cell, never those of several responses.
+The facts of a request are algebraic aggregates (min, max, count, last by position) in one
+aggregation with one scan and one shuffle by request. Its gaps are rows in blocks, and their
+summary comes from the exact-percentile passes, so a response of any length is spread over
+tasks. Only `itl_list` is one cell per response (8 bytes a token); it hangs on the records by an
+outer join that Spark leaves out where nothing reads the column.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
+from tidegauge.functions.percentiles import exact_stats
 from tidegauge.functions.segments import block_width, consecutive_gaps, counted, running_total, time_block
-from tidegauge.functions.sizing import broadcast_if_small
+from tidegauge.functions.sizing import broadcast_if_small, settle
+
+# Positions of a response that one part of its text covers.
+PART_CHUNKS = 10_000
 
 USAGE_KEYS = ("prompt_tokens", "completion_tokens", "cached_tokens", "reasoning_tokens")
 
@@ -52,40 +57,30 @@ def second_token_gap(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("request_id").agg(_second_token().alias("tt2t"))
 
 
-def _gaps_of(arrivals: Column) -> Column:
-    """Differences of neighbours in a sorted array."""
-    later = F.slice(arrivals, F.lit(2), F.greatest(F.size(arrivals) - 1, F.lit(0)))
-    earlier = F.slice(arrivals, F.lit(1), F.greatest(F.size(arrivals) - 1, F.lit(0)))
-    return F.zip_with(later, earlier, lambda x, y: x - y)
-
-
-def _arrivals() -> Column:
-    """Aggregate: token arrivals of a response."""
-    return F.collect_list(F.when(has_text(), F.col("arrival_s"))).alias("_arrivals")
-
+def gap_facts(gaps: DataFrame) -> DataFrame:
+    """`(request_id, tt2t, itl_summary)` of requests with gaps, from gap rows."""
+    stats = exact_stats(gaps, ["request_id"], "gap", (0.5, 0.95, 0.99), weight="n")
+    q = F.col("quantiles")
+    summary = F.struct("mean", q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"), "max").alias("itl_summary")
+    return second_token_gap(gaps).join(stats.select("request_id", summary), "request_id")
 
-def _gap_struct() -> Column:
-    """Gaps of `_arrivals` as `{itl_list, itl_summary}`, each part evaluated once."""
-    return scalars.bind(
-        F.array_sort("_arrivals"),
-        lambda arrivals: scalars.bind(
-            _gaps_of(arrivals),
-            lambda gaps: F.struct(gaps.alias("itl_list"), scalars.list_summary(gaps).alias("itl_summary")),
-        ),
-    )
 
+def with_lists(frame: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Add `itl_list`: empty without gaps, null where `outcome` is there and no success.
 
-def _with_gap_facts(facts: DataFrame) -> DataFrame:
-    """Turn `_arrivals` into `tt2t`, `itl_list`, `itl_summary`."""
-    made = facts.withColumn("_gaps", _gap_struct()).drop("_arrivals")
-    gaps = F.col("_gaps.itl_list")
-    return made.withColumns({"tt2t": F.get(gaps, F.lit(0)), "itl_summary": F.col("_gaps.itl_summary"), "itl_list": gaps}).drop("_gaps")
+    The join is left out of plans that do not read the column.
+    """
+    found = F.coalesce("itl_list", F.array().cast("array<double>"))
+    if "outcome" in frame.columns:
+        found = F.when(F.col("outcome") == fixed.SUCCESS, found)
+    return frame.join(itl_lists(gaps), "request_id", "left").withColumn("itl_list", found)
 
 
 def itl_summary(chunks: DataFrame) -> DataFrame:
     """`(request_id, tt2t, itl_list, itl_summary)`; null summary without gaps."""
-    facts = content_chunks(chunks).groupBy("request_id").agg(_arrivals())
-    return _with_gap_facts(facts).select("request_id", "tt2t", "itl_list", "itl_summary")
+    gaps = settle(inter_token_gaps(chunks))
+    facts = content_chunks(chunks).select("request_id").distinct().join(gap_facts(gaps), "request_id", "left")
+    return with_lists(facts, gaps).select("request_id", "tt2t", "itl_list", "itl_summary")
 
 
 def itl_lists(gaps: DataFrame) -> DataFrame:
@@ -166,17 +161,20 @@ def classify_outcomes(chunks: DataFrame) -> DataFrame:
     )
 
 
-def response_facts(chunks: DataFrame) -> DataFrame:
-    """Outcome, latencies, gaps and tokens. A failed request keeps no stream data."""
+def response_facts(chunks: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """Outcome, latencies, gaps and tokens. A failed request keeps no stream data.
+
+    `gaps` are the settled rows of `inter_token_gaps`; without them they are made here.
+    """
+    gaps = settle(inter_token_gaps(chunks)) if gaps is None else gaps
     raw = chunks.groupBy("request_id").agg(
-        _arrivals(),
         F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"),
         *usage_aggregates(),
         *outcome_aggregates(),
     )
-    facts = _with_gap_facts(raw).select(
-        "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code", outcome_column().alias("outcome"), *usage_columns(),
-        _error_kind().alias("_error_kind"),
+    facts = with_lists(raw.join(gap_facts(gaps), "request_id", "left"), gaps).select(
+        "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code",
+        outcome_column().alias("outcome"), *usage_columns(), _error_kind().alias("_error_kind"),
     )
     ok = F.col("outcome") == fixed.SUCCESS
     zero = F.lit(0).cast("long")
@@ -244,13 +242,14 @@ def build_records(
     runs: DataFrame,
     models: DataFrame,
     prompts: DataFrame,
+    gaps: DataFrame | None = None,
 ) -> DataFrame:
-    """The request record.
+    """The request record; `gaps` as in `response_facts`.
 
     `itl_list` and `expected_output` are carried for the gap pool and the evaluation
     join; writers drop them unless told otherwise.
     """
-    joined = requests.join(response_facts(chunks), "request_id", "left")
+    joined = requests.join(response_facts(chunks, gaps), "request_id", "left")
     joined = enrich_prompts(enrich_prices(tag_phases(joined, runs), runs, models), prompts)
     ok = F.col("outcome") == fixed.SUCCESS
     e2e, ttft, out = F.col("e2e"), F.col("ttft"), F.col("output_tokens")
@@ -277,12 +276,25 @@ def build_records(
     return joined.select(*columns)
 
 
-def output_text(chunks: DataFrame) -> DataFrame:
-    """Text of each response in arrival order: `(request_id, output_text)`; never persisted."""
+def output_parts(chunks: DataFrame, size: int = PART_CHUNKS) -> DataFrame:
+    """Text of each response in parts of `size` positions: `(request_id, part, text)`; never persisted."""
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda item: item["content"]), ""
     )
-    return content_chunks(chunks).groupBy("request_id").agg(text.alias("output_text"))
+    part = F.floor(F.col("seq") / size).alias("part")
+    return content_chunks(chunks).groupBy("request_id", part).agg(text.alias("text"))
+
+
+def output_text(chunks: DataFrame) -> DataFrame:
+    """Text of each response in arrival order: `(request_id, output_text)`; never persisted.
+
+    Chunks are put in order part by part; the whole text is one cell. Use `output_parts` for
+    texts that no cell holds.
+    """
+    text = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda item: item["text"]), ""
+    )
+    return output_parts(chunks).groupBy("request_id").agg(text.alias("output_text"))
 
 
 def chunk_order(chunks: DataFrame, width: float | None = None) -> DataFrame:

@@ -538,7 +538,7 @@ def pct_object(wb: Workbench) -> DataFrame:
 
 @query
 def itl_pool(wb: Workbench) -> DataFrame:
-    return lv.value_stats(lv.gap_pool(wb.records), LEVEL)
+    return lv.value_stats(lv.gap_pool(wb.slim_records, LEVEL, wb.gaps), LEVEL)
 
 
 @query

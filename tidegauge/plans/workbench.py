@@ -29,21 +29,31 @@ class Workbench:
 
     def build_records(self) -> DataFrame:
         fx = self.fx
-        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts())
+        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts(), self.gaps)
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        """Gap rows of all responses, written once."""
+        return settle(rec.inter_token_gaps(self.fx.chunks()))
+
+    @cached_property
+    def slim_records(self) -> DataFrame:
+        """Request records without the lists of their gaps, written once."""
+        return settle(self.build_records().drop("itl_list"))
 
     @cached_property
     def records(self) -> DataFrame:
-        """Request records, written once."""
-        return settle(self.build_records())
+        """Request records; a list of gaps is built only where a plan reads it."""
+        return rec.with_lists(self.slim_records, self.gaps)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Request records with their evaluation, written once."""
-        return settle(quality.backfill(self.records, self.fx.eval_results()))
+        return settle(quality.backfill(self.slim_records, self.fx.eval_results()))
 
     def build_levels(self, records: DataFrame) -> DataFrame:
         fx = self.fx
-        return lv.level_summary(records, fx.run_levels(), fx.runs(), fx.models(), self.slo())
+        return lv.level_summary(records, fx.run_levels(), fx.runs(), fx.models(), self.slo(), self.gaps)
 
     @cached_property
     def levels(self) -> DataFrame:
