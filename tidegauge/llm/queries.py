@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import contamination, hilbert, katz, labelled, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
+from tidegauge.llm import contamination, hilbert, katz, labelled, merkle, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.prove(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_search": op1_hilbert_search,
     "op2_piece_codec": op2_piece_codec,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
