@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import contamination, hilbert, katz, labelled, merkle, piece_codec, quality, repeats, simhash, suffixes, token_counts, toxicity
+from tidegauge.llm import contamination, hilbert, katz, labelled, lexical, merkle, piece_codec, pivots, quality, repeats, simhash, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,14 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.prove(table(spark, folder, "documents"))
 
 
+def op12_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.exact_top_k(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_search": op1_hilbert_search,
     "op2_piece_codec": op2_piece_codec,
@@ -102,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
+    "op12_pivot_top_k": op12_pivot_top_k,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -129,4 +139,111 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(k.text, '')) as kept_sha256
         from split s left join kept k on s.doc_id = k.doc_id
     """,
+    "op11_merkle": r"""
+        with recursive
+        marked as (
+            select row_number() over () as row, doc_id, lang, source, n_chars, text,
+                xor(list_reduce(
+                    list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(doc_id::varchar, '.'), lambda c: ascii(c)::ubigint)),
+                    lambda acc, c: list_reduce([xor(acc, c), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384::ubigint))
+                ), 4294967295::ubigint) % 3 = 0 as chosen
+            from documents
+        ),
+        versions as (
+            select row, doc_id, lang, source, n_chars, text as body, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, chosen from marked
+        ),
+        heads as (
+            select row, doc_id, lang, body, case when chosen then low else body end as changed,
+                coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head
+            from versions
+        ),
+        hashed as (
+            select row, doc_id, lang, sha256(head || coalesce(strlen(body) || ':' || body, '-')) as leaf,
+                sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) as tampered
+            from heads
+        ),
+        placed as (
+            select *, dense_rank() over (order by lang nulls first) - 1 as tree,
+                row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n
+            from hashed
+        ),
+        levels as (
+            select 0 as level, tree, place, n, leaf as digest from placed
+            union all
+            select level + 1, tree, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by place))
+            from levels where n > 1 group by level, tree, place // 8, n
+        ),
+        subroots as (select tree, level as height, digest from levels where n = 1),
+        upper as (
+            select 0 as level, tree as place, count(*) over () as n, digest from subroots
+            union all
+            select level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by place)) from upper where n > 1 group by level, place // 8, n
+        ),
+        nodes as (
+            select tree, level, place, digest from levels where n > 1
+            union all
+            select s.tree, s.height + u.level, u.place, u.digest from upper u, subroots s where u.n > 1
+        ),
+        stations as (
+            select p.row, s.height, p.place, s.tree, unnest(generate_series(0, s.height + (select max(level) from upper) - 1)) as step
+            from placed p join subroots s on p.tree = s.tree
+        ),
+        path as (
+            select row, tree, step, case when step < height then place >> (3 * step) else tree >> (3 * (step - height)) end as at from stations
+        ),
+        runs as (
+            select tree, level, place // 8 as run, list(digest order by place) as kids from nodes group by all
+        ),
+        sides as (
+            select p.row, p.step, array_to_string(r.kids[:p.at % 8], '') as before, array_to_string(r.kids[p.at % 8 + 2:], '') as after
+            from path p join runs r on r.tree = p.tree and r.level = p.step and r.run = p.at // 8
+        ),
+        climb as (
+            select row, 0 as step, tampered as fold from placed
+            union all
+            select c.row, c.step + 1, sha256(s.before || c.fold || s.after) from climb c join sides s on c.row = s.row and c.step = s.step
+        ),
+        proofs as (select row, sha256(string_agg(before || after, '' order by step)) as proof from sides group by row),
+        ends as (select row, arg_max(fold, step) as fold from climb group by row)
+        select p.doc_id, p.leaf, s.digest as subroot, u.digest as root, coalesce(f.proof, sha256('')) as proof_sha256, e.fold as folded_root, e.fold = u.digest as verified
+        from placed p join subroots s on p.tree = s.tree join ends e on p.row = e.row left join proofs f on p.row = f.row, (select digest from upper where n = 1) u
+    """,
+    "op12_pivot_top_k": r"""
+        with ints as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: coalesce(not isfinite(x), true))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint as score
+            from ints q join ints c on q.vec_id % 100 = 0 and q.vec_id != c.vec_id
+        ),
+        placed as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+        select query_id, rank, vec_id, score from placed where rank <= 10
+    """,
+    "op13_lexical_search": r"""
+        with words as (
+            select doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+            from documents
+        ),
+        held as (select doc_id, term, count(*) as tf from words group by all),
+        sizes as (select doc_id, sum(tf)::bigint as n from held group by doc_id),
+        whole as (select count(*)::bigint as documents, sum(n)::bigint as length from sizes),
+        weights as (
+            select term, floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, whole group by term, documents
+        ),
+        marks as (select doc_id, 100 - 75 + ((75 * n * documents) // length) as m from sizes, whole),
+        asked as (
+            select item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+            from benchmark
+        ),
+        scored as (
+            select a.item_id, h.doc_id, sum(w.w * ((1000000000 * h.tf) // (1000 * h.tf + 8 * k.m)))::bigint as score
+            from asked a join held h on a.term = h.term join weights w on w.term = a.term join marks k on k.doc_id = h.doc_id
+            group by a.item_id, h.doc_id
+        ),
+        placed as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+        select item_id, rank, doc_id, score from placed where rank <= 10
+    """,
 }
