@@ -17,7 +17,10 @@ them join by key in a recursion of their own. All of it is DataFrames and SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.sizing import broadcast_if_small, settle
@@ -46,11 +49,12 @@ def leaf_digest(values: dict[str, Column]) -> Column:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `lang`, `digest` and `tampered` (the digest after tampering) of every row."""
+    """`doc_id`, `lang`, `digest` and `tampered` (the digest after tampering, null where it is the same) of every row."""
     values = {name: F.col(f"`{name}`").cast("string") for name in FIELDS}
     chosen = F.coalesce(F.crc32(values["doc_id"]) % 3 == 0, F.lit(False))
-    changed = values | {"text": F.when(chosen, F.translate(values["text"], _UPPER, _LOWER)).otherwise(values["text"])}
-    return docs.select("doc_id", "lang", leaf_digest(values).alias("digest"), leaf_digest(changed).alias("tampered"))
+    lower = F.translate(values["text"], _UPPER, _LOWER)
+    tampered = F.when(chosen & (lower != values["text"]), leaf_digest(values | {"text": lower}))
+    return docs.select("doc_id", "lang", leaf_digest(values).alias("digest"), tampered.alias("tampered"))
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -144,7 +148,7 @@ def manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     many = lowest.filter("n > 1").withColumn("level", F.lit(0)).withColumnRenamed("place", "run").select(*facts, *below)
     lone = lowest.filter("n = 1").drop("place").join(broadcast_if_small(joint.filter("level = 0")), "tree").select(*facts, *link)
     subroots = tops.select("tree", _text(F.col("digest")).alias("subroot"))
-    return settle(many.unionAll(lone)), None if nodes is None else settle(nodes), settle(subroots), root
+    return many.unionAll(lone), None if nodes is None else settle(nodes), settle(subroots), root
 
 
 _CLIMB = """
@@ -160,21 +164,47 @@ _CLIMB = """
 """
 
 
-def climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All steps of the rows `start` (`leaf`, `step`, parent link, `fold`) up through `nodes`, settled.
-
-    A step has `leaf`, `step`, the link to go on with, `fold` (the digest so far) and `siblings`
-    (the digests of its run's other nodes, left to right; null where the climb starts).
-    """
-    spark = start.sparkSession
+@contextmanager
+def unlimited(spark: SparkSession) -> Iterator[None]:
+    """While recursive queries run: no limit to their rows, for every leaf has one per level."""
     limit = spark.conf.get(_ROW_LIMIT)
-    spark.conf.set(_ROW_LIMIT, "-1")  # every leaf has a row per level
+    spark.conf.set(_ROW_LIMIT, "-1")
     try:
-        return settle(spark.sql(_CLIMB, start=start, nodes=nodes))
+        yield
     finally:
         spark.conf.set(_ROW_LIMIT, limit)
 
 
+def climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All steps of the rows `start` (`leaf`, `step`, parent link, `fold`) up through `nodes`.
+
+    It must run while `unlimited` holds. A step has `leaf`, `step`, the link to go on with, `fold` (the digest so far) and `siblings`
+    (the digests of its run's other nodes, left to right; null where the climb starts).
+    """
+    return start.sparkSession.sql(_CLIMB, start=start, nodes=nodes)
+
+
+def paths(start: DataFrame, nodes: DataFrame, broadcast_nodes: int) -> DataFrame:
+    """`leaf`, `step`, `fold`, `siblings` of all steps; to run while `unlimited` holds."""
+    # The levels above `cut` hold few nodes all together and are broadcast.
+    sizes = {(r["top"], r["level"]): r["count"] for r in nodes.groupBy((F.col("tree") == _TOP).alias("top"), "level").count().collect()}
+    highest = max([level for top, level in sizes if not top], default=0)
+    tops = sum(count for (top, _), count in sizes.items() if top)
+    above = lambda cut: tops + sum(count for (top, level), count in sizes.items() if not top and level > cut)
+    cut = next((cut for cut in range(highest + 1) if above(cut) <= broadcast_nodes), None)
+    wanted = ("leaf", "step", "fold", "siblings")
+    if cut is None:
+        return climb(start, nodes).select(*wanted)
+    high = (F.col("tree") == _TOP) | (F.col("level") > cut)
+    if cut == 0:
+        return climb(start, F.broadcast(nodes)).select(*wanted)
+    lower = settle(climb(start, nodes.filter(~high)))
+    rest = lower.filter(F.col("tree").isNull() | high).select(
+        "leaf", "step", F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("run").alias("up_run"), "place", "fold"
+    )
+    return lower.select(*wanted).unionAll(climb(rest, F.broadcast(nodes.filter(high))).select(*wanted))
+
+
 def prove(docs: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """`doc_id`, `leaf`, `subroot`, `root`, `proof_sha256`, `folded_root`, `verified` of every row.
 
@@ -191,37 +221,19 @@ def prove(docs: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
             [], f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
         )
     rows, nodes, subroots, root = manifest(docs)
-    start = rows.select("leaf", F.lit(0).alias("step"), "up_tree", "up_level", "up_run", "place", F.col("tampered").alias("fold"))
-    steps = start.select("leaf", "step", "fold", F.lit(None).cast("binary").alias("siblings"))
-    if nodes is not None:
-        # The levels above `cut` hold few nodes all together and are broadcast.
-        sizes = {(r["top"], r["level"]): r["count"] for r in nodes.groupBy((F.col("tree") == _TOP).alias("top"), "level").count().collect()}
-        highest = max([level for top, level in sizes if not top], default=0)
-        tops = sum(count for (top, _), count in sizes.items() if top)
-        above = lambda cut: tops + sum(count for (top, level), count in sizes.items() if not top and level > cut)
-        cut = next((cut for cut in range(highest + 1) if above(cut) <= broadcast_nodes), None)
-        if cut is None:
-            climbed = [climb(start, nodes)]
+    start = rows.select("leaf", F.lit(0).alias("step"), "up_tree", "up_level", "up_run", "place", F.coalesce("tampered", "digest").alias("fold"))
+    with unlimited(docs.sparkSession):
+        if nodes is None:
+            steps = start.select("leaf", "step", "fold", F.lit(None).cast("binary").alias("siblings"))
         else:
-            high = (F.col("tree") == _TOP) | (F.col("level") > cut)
-            climbed = []
-            if cut > 0:
-                climbed.append(climb(start, nodes.filter(~high)))
-                reached = F.col("tree").isNull() | high
-                start = climbed[0].filter(reached).select(
-                    "leaf", "step", F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("run").alias("up_run"), "place", "fold"
-                )
-            climbed.append(climb(start, F.broadcast(nodes.filter(high))))
-        steps = climbed[0].select(*steps.columns)
-        for more in climbed[1:]:
-            steps = steps.unionAll(more.select(*steps.columns))
-    # The steps of one leaf are as many as its tree has levels.
-    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "siblings"))), lambda x: _text(x["siblings"]))
-    proofs = steps.groupBy("leaf").agg(
-        F.sha2(F.array_join(path, ""), 256).alias("proof_sha256"), _text(F.max_by("fold", "step")).alias("folded_root")
-    )
+            steps = paths(start, nodes, broadcast_nodes)
+        # The steps of one leaf are as many as its tree has levels.
+        path = F.transform(F.array_sort(F.collect_list(F.struct("step", "siblings"))), lambda x: _text(x["siblings"]))
+        proofs = settle(steps.groupBy("leaf").agg(
+            F.unhex(F.sha2(F.array_join(path, ""), 256)).alias("proof"), F.max_by("fold", "step").alias("folded")
+        ))
     named = rows.select("leaf", "doc_id", "tree", _text(F.col("digest")).alias("own")).join(proofs, "leaf").join(broadcast_if_small(subroots), "tree")
     return named.select(
-        "doc_id", F.col("own").alias("leaf"), "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root",
-        (F.col("folded_root") == root).alias("verified"),
+        "doc_id", F.col("own").alias("leaf"), "subroot", F.lit(root).alias("root"), _text(F.col("proof")).alias("proof_sha256"),
+        _text(F.col("folded")).alias("folded_root"), (_text(F.col("folded")) == root).alias("verified"),
     )
