@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.functions.percentiles import exact_quantiles, exact_stats, ordered_quantiles
 
@@ -90,3 +91,22 @@ def test_weights_infinities_and_nan(spark):
     assert found["w"]["quantiles"] == pytest.approx(np.percentile(values, [0, 50, 100]))
     assert found["i"]["quantiles"] == [float("-inf"), 1.0, float("inf")]
     assert all(np.isnan(q) for q in found["n"]["quantiles"]) and found["n"]["samples"] == 4
+
+
+@pytest.mark.parametrize("rows", [10**6, 40])
+def test_grouped_stats_at_every_size(spark, monkeypatch, rows):
+    from tidegauge.functions import segments
+    from tidegauge.functions.percentiles import grouped_stats
+
+    monkeypatch.setattr(segments, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(2)
+    data = {f"k{i}": rng.random(n).round(2) * 10.0 ** rng.integers(-3, 6) for i, n in enumerate((1, 2, 7, 90, 900, 300))}
+    data["k5"][0] = 1e12
+    frame = spark.createDataFrame([(k, float(x), 1 + i % 3) for k, v in data.items() for i, x in enumerate(v)] + [("k0", None, 1)], "k string, v double, n bigint")
+    found = {r["k"]: r for r in grouped_stats(frame, ["k"], "v", (0.0, 0.5, 0.99, 1.0), "n", {"rows": F.count("*")}).collect()}
+    for key, values in data.items():
+        whole = np.repeat(values, [1 + i % 3 for i in range(len(values))])
+        row = found[key]
+        assert row["samples"] == len(whole) and row["rows"] == len(values) and row["max"] == whole.max()
+        assert row["mean"] == pytest.approx(whole.mean(), rel=1e-12)
+        assert row["quantiles"] == pytest.approx(np.quantile(whole, (0, 0.5, 0.99, 1)).tolist(), rel=1e-12)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegauge.functions.segments import block_width, consecutive_gaps, counted, gap_moments, positions, running_total, time_block, value_block
+from tidegauge.functions.segments import consecutive_gaps, counted, find_edges, gap_moments, in_blocks, positions, running_total, time_block, value_block
 
 
 def brute_gaps(values):
@@ -67,9 +67,53 @@ def test_gap_moments(spark):
     assert row["s"] == pytest.approx(np.std(values))
 
 
-def test_block_width_follows_the_densest_key(spark):
-    frame = spark.range(1000).selectExpr("case when id < 900 then 'dense' else 'thin' end as k", "id / 100.0D as v")
-    width = block_width(frame, ["k"], "v", rows=90)
-    blocks = frame.groupBy("k", time_block("v", width)).count().agg(F.max("count")).first()[0]
-    assert 80 <= blocks <= 100
-    assert block_width(frame.where("v = 1"), ["k"], "v") == 1.0
+def shapes():
+    """Keys of awkward shapes: an outlier, a dense one beside a wide one, values within 1 %, one value, few rows."""
+    rng = np.random.default_rng(5)
+    return {
+        "outlier": np.concatenate([rng.random(20_000), [1e12]]),
+        "dense": rng.random(20_000) / 1e6,
+        "wide": rng.random(2_000) * 1e15,
+        "narrow": 1e9 * (1 + rng.random(20_000) / 1e5),
+        "repeated": np.concatenate([np.full(9_000, 2.5), rng.random(1_000)]),
+        "steps": rng.integers(0, 30, 20_000).astype(float),
+        "odd": np.concatenate([rng.random(5_000), [np.inf, -np.inf, np.nan]]),
+        "few": rng.random(400),
+        None: rng.random(3_000),
+    }
+
+
+def test_blocks_follow_the_counts(spark):
+    data = shapes()
+    frame = spark.createDataFrame(pd.DataFrame({"k": np.repeat(np.array(list(data), dtype=object), [len(v) for v in data.values()]), "v": np.concatenate(list(data.values()))}), "k string, v double")
+    rows = 1_000
+    placed = find_edges(frame, ["k"], "v", rows=rows, cells=16).place(frame, "v").toPandas()
+    for key, values in data.items():
+        part = placed[placed.k.isna() if key is None else placed.k == key]
+        assert len(part) == len(values)
+        sizes = part.groupby("_block").size()
+        single = max(np.unique(values, return_counts=True)[1])
+        assert sizes.max() <= 2 * max(rows, single) + 3 and len(sizes) <= len(values) / rows + 2, key
+        ordered = part.sort_values("v", na_position="last")
+        assert ordered["_block"].is_monotonic_increasing
+        if key == "few":
+            assert len(sizes) == 1
+
+
+def test_gaps_between_found_edges(spark, monkeypatch):
+    from tidegauge.functions import segments
+
+    monkeypatch.setattr(segments, "BLOCK_ROWS", 200)
+    data = {k: v[:3_000] for k, v in shapes().items() if k in ("outlier", "narrow", "steps")}
+    data["outlier"] = np.concatenate([data["outlier"], [1e12]])
+    frame = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "k string, v double")
+    assert in_blocks(frame, ["k"], "v").agg(F.max("_block")).first()[0] >= 10
+    found = consecutive_gaps(frame, ["k"], "v").toPandas()
+    for key, values in data.items():
+        part = found[found.k == key]
+        gaps = np.sort(np.repeat(part.gap.to_numpy(), part.n.to_numpy()))
+        assert np.array_equal(gaps, np.sort(np.diff(np.sort(values))))
+    numbers = positions(in_blocks(frame, ["k"], "v"), ["k"], ["v"], F.col("_block")).toPandas()
+    for key, values in data.items():
+        part = numbers[numbers.k == key].sort_values("position")
+        assert part.position.tolist() == list(range(1, len(values) + 1)) and part.v.is_monotonic_increasing

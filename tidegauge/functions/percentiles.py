@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.segments import BLOCKS_PER_EFOLD, INFINITE_BLOCK, NAN_BLOCK, counted, running_total, value_block
+from tidegauge.functions.segments import BLOCKS_PER_EFOLD, INFINITE_BLOCK, NAN_BLOCK, counted, find_edges, running_total, value_block
 from tidegauge.functions.sizing import BROADCAST_ROWS, settle
 
 # Values one task should order at most; a fuller block is cut finer first.
@@ -39,8 +39,8 @@ def _any_rank(probs: Sequence[float]) -> str:
     return " or ".join(_holds(rank) for prob in probs for rank in _ranks(prob))
 
 
-def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Read the values at the wanted ranks off rows with `_upto`, `_n`, `_total`."""
+def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], also: Sequence[Column] = (), names: Sequence[str] = ()) -> DataFrame:
+    """Read the values at the wanted ranks off rows with `_upto`, `_n`, `_total`; `also` are further aggregates."""
     picks = ["max(_total) as _total"]
     results = []
     for i, prob in enumerate(probs):
@@ -52,8 +52,8 @@ def _interpolate(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
         between = f"case when {share} = 0 then _low{i} else _low{i} * (1.0D - {share}) + _high{i} * {share} end"
         results.append(f"case when _nan then double('NaN') else {between} end")
     picks.append(f"coalesce(bool_or(isnan({value})), false) as _nan")
-    found = cum.groupBy(*keys).agg(*[F.expr(pick) for pick in picks])
-    return found.selectExpr(*keys, f"array({', '.join(results)}) as quantiles", "cast(_total as bigint) as samples")
+    found = cum.groupBy(*keys).agg(*[F.expr(pick) for pick in picks], *also)
+    return found.selectExpr(*keys, f"array({', '.join(results)}) as quantiles", "cast(_total as bigint) as samples", *names)
 
 
 def ordered_quantiles(
@@ -64,6 +64,32 @@ def ordered_quantiles(
     return _interpolate(running_total(counts, keys, [value], "_n"), keys, value, probs)
 
 
+def grouped_stats(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str, also: dict[str, Column] | None = None
+) -> DataFrame:
+    """`(keys, samples, mean, max, quantiles)` and the aggregates `also` over the rows, for very many groups.
+
+    A histogram per group would be about as long as a small group itself. Here the rows of a group
+    are ordered once, in its blocks (`find_edges`), and everything is read off that order; groups
+    are one block unless they are large. Keys must not be null; null values are ignored. `df` is
+    counted first, so it should be settled.
+    """
+    also = also or {}
+    rows = df.where(F.col(value).isNotNull())
+    edges = find_edges(rows, keys, value)
+    n = F.col("_n")
+    simple = [(F.sum(F.col(value) * n) / F.sum(n)).alias("mean"), F.max(value).alias("max")]
+    if edges.table is not None:
+        counts = counted(edges.place(rows, value), keys, value, F.col("_block"), weight)
+        found = _interpolate(running_total(counts, keys, [value], "_n"), keys, value, probs, simple, ["mean", "max"])
+        return found.join(rows.groupBy(*keys).agg(*[c.alias(name) for name, c in also.items()]), list(keys)) if also else found
+    whole = Window.partitionBy(*keys)
+    upto = F.sum(weight).over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.withColumns({"_n": F.col(weight), "_upto": upto, "_total": F.sum(weight).over(whole)})
+    more = [c.alias(name) for name, c in also.items()]
+    return _interpolate(ranked, keys, value, probs, [*simple, *more], ["mean", "max", *also])
+
+
 @dataclass(frozen=True)
 class _Pass:
     """First pass over the values: settled cell counts and the rows they came from."""

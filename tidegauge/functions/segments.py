@@ -5,15 +5,21 @@ cut each key into *blocks* (a monotone, coarse function of the ordering value),
 inside `(key, block)`, and carry only one row per block across block borders. Equal
 ordering values are counted before any shuffle, so a key that holds a third of all
 rows is spread like every other.
+
+Where the blocks of a key begin is found by counting (`find_edges`): a key of few rows is one
+block, a larger one gets edges of its own, whatever the shape of its values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.sizing import broadcast_if_small, settle
+
 # Rows of one key that one block should hold.
 BLOCK_ROWS = 500_000
 
@@ -27,16 +33,78 @@ def time_block(value: str, width: float) -> Column:
     return F.floor(F.col(value) / F.lit(width)).cast("long")
 
 
-def block_width(df: DataFrame, keys: Sequence[str], value: str, rows: int = BLOCK_ROWS) -> float:
-    """Width that puts about `rows` rows of the densest key into one block.
-
-    One combined pass over the data; only the single widest and densest figures reach
-    the driver.
+# Pieces that a range of one key is cut into by one counting pass.
+CELLS = 1024
+
+
+@dataclass(frozen=True)
+class Edges:
+    """Lower bounds of the blocks of the keys that have more than one: `(keys, _edges)`, sorted."""
+
+    keys: tuple[str, ...]
+    table: DataFrame | None
+
+    def place(self, df: DataFrame, value: str) -> DataFrame:
+        """Add `_block`: how many edges of its key lie at or below `value`; 0 for keys without any."""
+        if self.table is None:
+            return df.withColumn("_block", F.lit(0).cast("long"))
+        names = [f"_key{i}" for i in range(len(self.keys))]
+        edges = broadcast_if_small(self.table.toDF(*names, "_edges"))
+        same = F.lit(True)
+        for key, name in zip(self.keys, names, strict=True):
+            same = same & F.col(key).eqNullSafe(F.col(name))
+        # Bisection of the sorted edges.
+        at = F.expr(
+            f"aggregate(sequence(0, cast(ceil(log2(size(_edges) + 1)) as int)), named_struct('low', 0, 'high', size(_edges)), "
+            f"(s, x) -> if(s.low >= s.high, s, if(_edges[(s.low + s.high) div 2] <= cast(`{value}` as double), "
+            "named_struct('low', cast((s.low + s.high) div 2 + 1 as int), 'high', s.high), "
+            "named_struct('low', s.low, 'high', cast((s.low + s.high) div 2 as int)))), s -> cast(s.low as bigint))"
+        )
+        return df.join(edges, same, "left").withColumn("_block", F.coalesce(F.when(F.col("_edges").isNotNull(), at), F.lit(0).cast("long"))).drop(*names, "_edges")
+
+
+def find_edges(df: DataFrame, keys: Sequence[str], value: str, rows: int | None = None, cells: int = CELLS) -> Edges:
+    """Edges that put at most about `rows` rows of a key into a block, at most twice as many.
+
+    One combined pass counts the keys. Those with more rows than `rows` are counted in `cells`
+    equal parts of their range; parts that are still too full are counted again in as many parts
+    of what they really span, until each holds few rows or one value. Neighbouring parts then make
+    up the blocks, so a key of n rows has no more than n / rows + 1 of them. Infinite values and
+    not-a-number fall in the outer blocks. `df` is read once more per round, and only if some key is
+    too large, so it should be settled or cheap.
     """
-    spans = df.groupBy(*keys).agg(F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("span"))
-    # A key without spread has one block whatever the width.
-    width = spans.where("span > 0").agg(F.min(F.col("span") * rows / F.col("n")).alias("width")).first()["width"]
-    return width if width is not None else 1.0
+    rows = rows or BLOCK_ROWS
+    number = F.col(value).cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    span = [F.count(number).alias("_n"), F.min(F.when(finite, number)).alias("_from"), F.max(F.when(finite, number)).alias("_to")]
+    large = settle(df.groupBy(*keys).agg(*span).filter(f"_n > {rows} and _from < _to"))
+    if large.isEmpty():
+        return Edges(tuple(keys), None)
+    data = df.filter(finite).select(*keys, number.alias("_v"))
+    group, open_, leaves = list(keys), large.drop("_n"), None
+    while True:
+        sides = open_.toDF(*[f"_side{i}" for i in range(len(group))], "_from", "_to")
+        same = F.lit(True)
+        for i, key in enumerate(group):
+            same = same & F.col(key).eqNullSafe(F.col(f"_side{i}"))
+        # One row per range that is too full: as many as blocks, at most.
+        data = data.join(broadcast_if_small(sides), same).drop(*[f"_side{i}" for i in range(len(group))])
+        cell = f"_cell{len(group) - len(keys)}"
+        part = F.floor((F.col("_v") / 2 - F.col("_from") / 2) / (F.col("_to") / 2 - F.col("_from") / 2) * cells)
+        data = data.withColumn(cell, F.least(part, F.lit(cells - 1)).cast("int")).drop("_from", "_to")
+        group = [*group, cell]
+        counts = settle(data.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to")))
+        full = F.expr(f"_n > {rows} and _from < _to")
+        done = counts.filter(~full).select(*keys, "_n", "_from")
+        leaves = done if leaves is None else leaves.unionAll(done)
+        open_ = counts.filter(full).drop("_n")
+        if open_.isEmpty():
+            break
+    # As many rows as parts: some thousands for each large key.
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    placed = leaves.withColumn("_block", F.floor(before / rows))
+    first = placed.filter("_block > 0").groupBy(*keys, "_block").agg(F.min("_from").alias("_from"))
+    return Edges(tuple(keys), settle(first.groupBy(*keys).agg(F.sort_array(F.collect_list("_from")).alias("_edges"))))
 
 
 def value_block(value: Column, per_efold: int = BLOCKS_PER_EFOLD) -> Column:
@@ -72,15 +140,21 @@ def counted(df: DataFrame, keys: Sequence[str], order: str, block: Column, weigh
     )
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], value: str, width: float | None = None) -> DataFrame:
+    """`df` with `_block`: of `width`, or between edges that are found by counting."""
+    if width:
+        return df.withColumn("_block", time_block(value, width))
+    return find_edges(df, keys, value).place(df, value)
+
+
 def consecutive_gaps(df: DataFrame, keys: Sequence[str], order: str, width: float | None = None) -> DataFrame:
     """Gaps between consecutive `order` values of each key: `(keys, since, gap, n)`.
 
     `since` is the value the gap starts from; `n` equal gaps from one start are one
     row (repeated values give zero gaps). The multiset of gaps is exactly that of
-    `order - lag(order)` over the whole key. Without a `width` it is measured.
+    `order - lag(order)` over the whole key. Without a `width`, blocks follow the counts.
     """
-    width = width or block_width(df, keys, order)
-    values = counted(df, keys, order, time_block(order, width))
+    values = counted(in_blocks(df, keys, order, width), keys, order, F.col("_block"))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     value = F.col(order)
     local = values.withColumn("_prev", F.lag(order).over(inside)).select(

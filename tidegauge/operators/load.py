@@ -1,7 +1,7 @@
 """Shape of the load: arrivals, requests in flight, overlap of levels, replayed order.
 
-Everything ordered works in blocks of start time. Without a `width` (seconds) the block
-width is measured, so that the densest level or run fills blocks of moderate size.
+Everything ordered works in blocks of start time. Without a `width` (seconds) the blocks of each
+level or run follow its own counts.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed
-from tidegauge.functions.segments import block_width, consecutive_gaps, gap_moments, positions, running_total, time_block
+from tidegauge.functions.segments import consecutive_gaps, gap_moments, in_blocks, positions, running_total
 from tidegauge.functions.sizing import broadcast_if_small
 from tidegauge.operators.levels import LEVEL
 
@@ -36,17 +36,13 @@ def arrival_gaps(requests: DataFrame, runs: DataFrame, width: float | None = Non
 
 def _load_steps(records: DataFrame, width: float | None) -> DataFrame:
     """Outstanding requests after each change, with the time of the next change."""
-    width = width or block_width(records, LEVEL, "t_start")
     start = records.select(*LEVEL, F.col("t_start").alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("delta"))
     end = records.select(
         *LEVEL, (F.col("t_start") + F.coalesce("e2e", F.lit(0.0))).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("delta")
     )
     # Changes of one kind at one instant are one row; at a tie ends come before starts.
-    changes = (
-        start.unionByName(end)
-        .groupBy(*LEVEL, time_block("t", width).alias("_block"), "t", "kind")
-        .agg(F.sum("delta").alias("delta"))
-    )
+    both = start.unionByName(end)
+    changes = in_blocks(both, LEVEL, "t", width).groupBy(*LEVEL, "_block", "t", "kind").agg(F.sum("delta").alias("delta"))
     return running_total(changes, list(LEVEL), ["t", "kind"], "delta", with_next=True)
 
 
@@ -92,8 +88,8 @@ def level_overlap(records: DataFrame) -> DataFrame:
 def sequence_positions(requests: DataFrame, width: float | None = None) -> DataFrame:
     """Position of each request in its run, by start time and id."""
     rows = requests.select("run_id", "t_start", "request_id", "prompt_id")
-    width = width or block_width(rows, ["run_id"], "t_start")
-    return positions(rows, ["run_id"], ["t_start", "request_id"], time_block("t_start", width))
+    placed = in_blocks(rows, ["run_id"], "t_start", width)
+    return positions(placed, ["run_id"], ["t_start", "request_id"], F.col("_block"))
 
 
 def replay_prefix(requests: DataFrame, baseline: str, width: float | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """From response chunks to one record per request.
 
 The facts of a request are algebraic aggregates (min, max, count, last by position) in one
-aggregation with one scan and one shuffle by request. Its gaps are rows in blocks, and their
-summary comes from the exact-percentile passes, so a response of any length is spread over
-tasks. Only `itl_list` is one cell per response (8 bytes a token); it hangs on the records by an
+aggregation with one scan and one shuffle by request, over the rows up to the end of its stream.
+Its gaps are rows in blocks, and their summary is read off one order of these rows, so a response
+of any length is spread over tasks. Only `itl_list` is one cell per response (8 bytes a token); it hangs on the records by an
 outer join that Spark leaves out where nothing reads the column.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
-from tidegauge.functions.percentiles import exact_stats
-from tidegauge.functions.segments import block_width, consecutive_gaps, counted, running_total, time_block
+from tidegauge.functions.ends import stream_ends, until_end
+from tidegauge.functions.percentiles import grouped_stats
+from tidegauge.functions.segments import consecutive_gaps, counted, in_blocks, running_total
 from tidegauge.functions.sizing import broadcast_if_small, settle
 
 # Positions of a response that one part of its text covers.
@@ -29,20 +30,24 @@ def has_text(content: str = "content") -> Column:
 
 
 def content_chunks(chunks: DataFrame) -> DataFrame:
+    """Token arrivals among rows that count."""
     return chunks.where(F.col("content") != "")
 
 
 # -- single facts per request --------------------------------------------------
+#
+# Every function takes chunks as they were logged and leaves out what stands behind the end of a
+# stream. `ends` (of `functions.ends.stream_ends`) saves looking for the ends again.
 
 
-def first_token(chunks: DataFrame) -> DataFrame:
+def first_token(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Arrival of the first chunk with text; null when there is none."""
-    return chunks.groupBy("request_id").agg(F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"))
+    return until_end(chunks, ends).groupBy("request_id").agg(F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"))
 
 
-def inter_token_gaps(chunks: DataFrame, width: float | None = None) -> DataFrame:
+def inter_token_gaps(chunks: DataFrame, width: float | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Gaps between token arrivals of each request: `(request_id, since, gap, n)`."""
-    return consecutive_gaps(content_chunks(chunks), ["request_id"], "arrival_s", width)
+    return consecutive_gaps(content_chunks(until_end(chunks, ends)), ["request_id"], "arrival_s", width)
 
 
 def _second_token() -> Column:
@@ -58,11 +63,11 @@ def second_token_gap(gaps: DataFrame) -> DataFrame:
 
 
 def gap_facts(gaps: DataFrame) -> DataFrame:
-    """`(request_id, tt2t, itl_summary)` of requests with gaps, from gap rows."""
-    stats = exact_stats(gaps, ["request_id"], "gap", (0.5, 0.95, 0.99), weight="n")
+    """`(request_id, tt2t, itl_summary)` of requests with gaps, from settled gap rows in one pass."""
+    stats = grouped_stats(gaps, ["request_id"], "gap", (0.5, 0.95, 0.99), "n", {"tt2t": _second_token()})
     q = F.col("quantiles")
     summary = F.struct("mean", q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"), "max").alias("itl_summary")
-    return second_token_gap(gaps).join(stats.select("request_id", summary), "request_id")
+    return stats.select("request_id", "tt2t", summary)
 
 
 def with_lists(frame: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -76,10 +81,11 @@ def with_lists(frame: DataFrame, gaps: DataFrame) -> DataFrame:
     return frame.join(itl_lists(gaps), "request_id", "left").withColumn("itl_list", found)
 
 
-def itl_summary(chunks: DataFrame) -> DataFrame:
+def itl_summary(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """`(request_id, tt2t, itl_list, itl_summary)`; null summary without gaps."""
-    gaps = settle(inter_token_gaps(chunks))
-    facts = content_chunks(chunks).select("request_id").distinct().join(gap_facts(gaps), "request_id", "left")
+    ends = stream_ends(chunks) if ends is None else ends
+    gaps = settle(inter_token_gaps(chunks, ends=ends))
+    facts = content_chunks(until_end(chunks, ends)).select("request_id").distinct().join(gap_facts(gaps), "request_id", "left")
     return with_lists(facts, gaps).select("request_id", "tt2t", "itl_list", "itl_summary")
 
 
@@ -100,14 +106,14 @@ def _last(key: str) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
 
 
-def usage_fold(chunks: DataFrame) -> DataFrame:
+def usage_fold(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Token counts of each request from its usage objects.
 
     The last value of every key wins. Without any usage object the output is counted
     in chunks with text and marked incomplete; a usage object without an output count
     leaves it at zero.
     """
-    return chunks.groupBy("request_id").agg(*usage_aggregates()).select("request_id", *usage_columns())
+    return until_end(chunks, ends).groupBy("request_id").agg(*usage_aggregates()).select("request_id", *usage_columns())
 
 
 def usage_aggregates() -> list[Column]:
@@ -152,22 +158,23 @@ def outcome_column() -> Column:
     return scalars.outcome(_error_kind(), F.col("status_code"), F.col("_done"), F.col("_parse_ok"))
 
 
-def classify_outcomes(chunks: DataFrame) -> DataFrame:
+def classify_outcomes(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Outcome, status and end time of each request."""
     return (
-        chunks.groupBy("request_id")
+        until_end(chunks, ends).groupBy("request_id")
         .agg(*outcome_aggregates())
         .select("request_id", outcome_column().alias("outcome"), "status_code", "e2e")
     )
 
 
-def response_facts(chunks: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def response_facts(chunks: DataFrame, gaps: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Outcome, latencies, gaps and tokens. A failed request keeps no stream data.
 
     `gaps` are the settled rows of `inter_token_gaps`; without them they are made here.
     """
-    gaps = settle(inter_token_gaps(chunks)) if gaps is None else gaps
-    raw = chunks.groupBy("request_id").agg(
+    ends = stream_ends(chunks) if ends is None else ends
+    gaps = settle(inter_token_gaps(chunks, ends=ends)) if gaps is None else gaps
+    raw = until_end(chunks, ends).groupBy("request_id").agg(
         F.min(F.when(has_text(), F.col("arrival_s"))).alias("ttft"),
         *usage_aggregates(),
         *outcome_aggregates(),
@@ -243,13 +250,14 @@ def build_records(
     models: DataFrame,
     prompts: DataFrame,
     gaps: DataFrame | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """The request record; `gaps` as in `response_facts`.
+    """The request record; `gaps` and `ends` as in `response_facts`.
 
     `itl_list` and `expected_output` are carried for the gap pool and the evaluation
     join; writers drop them unless told otherwise.
     """
-    joined = requests.join(response_facts(chunks, gaps), "request_id", "left")
+    joined = requests.join(response_facts(chunks, gaps, ends), "request_id", "left")
     joined = enrich_prompts(enrich_prices(tag_phases(joined, runs), runs, models), prompts)
     ok = F.col("outcome") == fixed.SUCCESS
     e2e, ttft, out = F.col("e2e"), F.col("ttft"), F.col("output_tokens")
@@ -276,16 +284,16 @@ def build_records(
     return joined.select(*columns)
 
 
-def output_parts(chunks: DataFrame, size: int = PART_CHUNKS) -> DataFrame:
+def output_parts(chunks: DataFrame, size: int = PART_CHUNKS, ends: DataFrame | None = None) -> DataFrame:
     """Text of each response in parts of `size` positions: `(request_id, part, text)`; never persisted."""
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda item: item["content"]), ""
     )
     part = F.floor(F.col("seq") / size).alias("part")
-    return content_chunks(chunks).groupBy("request_id", part).agg(text.alias("text"))
+    return content_chunks(until_end(chunks, ends)).groupBy("request_id", part).agg(text.alias("text"))
 
 
-def output_text(chunks: DataFrame) -> DataFrame:
+def output_text(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Text of each response in arrival order: `(request_id, output_text)`; never persisted.
 
     Chunks are put in order part by part; the whole text is one cell. Use `output_parts` for
@@ -294,14 +302,13 @@ def output_text(chunks: DataFrame) -> DataFrame:
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda item: item["text"]), ""
     )
-    return output_parts(chunks).groupBy("request_id").agg(text.alias("output_text"))
+    return output_parts(chunks, ends=ends).groupBy("request_id").agg(text.alias("output_text"))
 
 
-def chunk_order(chunks: DataFrame, width: float | None = None) -> DataFrame:
+def chunk_order(chunks: DataFrame, width: float | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Rank of each distinct token arrival inside its request and the number of tokens there."""
-    rows = content_chunks(chunks)
-    width = width or block_width(rows, ["request_id"], "arrival_s")
-    values = counted(rows, ["request_id"], "arrival_s", time_block("arrival_s", width))
+    rows = content_chunks(until_end(chunks, ends))
+    values = counted(in_blocks(rows, ["request_id"], "arrival_s", width), ["request_id"], "arrival_s", F.col("_block"))
     ranked = running_total(values, ["request_id"], ["arrival_s"], "_n")
     return ranked.select(
         "request_id",

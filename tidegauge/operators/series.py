@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed
 from tidegauge.functions.percentiles import exact_quantiles
-from tidegauge.functions.segments import counted, running_total, value_block
+from tidegauge.functions.segments import counted, in_blocks, running_total
 from tidegauge.operators.levels import LEVEL, is_steady, steady_success
 
 
@@ -33,7 +33,8 @@ def ttft_against_throughput(percentiles: DataFrame, throughput: DataFrame) -> Da
 
 def ttft_cdf(records: DataFrame) -> DataFrame:
     """Cumulative share at each distinct TTFT of a level."""
-    values = counted(steady_success(records), list(LEVEL), "ttft", value_block(F.col("ttft")))
+    placed = in_blocks(steady_success(records), list(LEVEL), "ttft")
+    values = counted(placed, list(LEVEL), "ttft", F.col("_block"))
     return running_total(values, list(LEVEL), ["ttft"], "_n").select(
         *LEVEL, "ttft", (F.col("_upto") / F.col("_total")).alias("cdf")
     )

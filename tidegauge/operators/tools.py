@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
+from tidegauge.functions.ends import until_end
 
 # -- tool calls ----------------------------------------------------------------
 
 
-def merge_tool_calls(chunks: DataFrame) -> DataFrame:
-    """Assemble streamed tool-call pieces: last name that is not empty, arguments in order."""
-    pieces = chunks.select("request_id", "seq", F.posexplode("tool_calls").alias("place", "call")).select(
+def merge_tool_calls(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Assemble streamed tool-call pieces up to the end of the stream: last name that is not empty, arguments in order.
+
+    `ends` is a result of `functions.ends.stream_ends`; without it, it is made here.
+    """
+    pieces = until_end(chunks, ends).select("request_id", "seq", F.posexplode("tool_calls").alias("place", "call")).select(
         "request_id", "seq", "place", F.coalesce("call.index", F.lit(0)).alias("index"), "call.name", "call.arguments"
     )
     position = F.struct("seq", "place")

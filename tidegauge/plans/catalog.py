@@ -152,6 +152,16 @@ def scan_chunks(wb: Workbench) -> DataFrame:
     )
 
 
+@query
+def line_records(wb: Workbench) -> DataFrame:
+    """From logged lines, trailers included, to the facts of each request."""
+    chunks = readers.parse_stream_lines(wb.fx.call_lines()).unionByName(wb.fx.closing_rows(), allowMissingColumns=True)
+    return rec.response_facts(chunks).select(
+        "request_id", "outcome", "status_code", "ttft", "tt2t", "e2e", "prompt_tokens", "output_tokens", "cached_tokens", "usage_incomplete",
+        F.col("itl_summary.p95").alias("itl_p95"), "error",
+    )
+
+
 @query
 def scan_chunk_table(wb: Workbench) -> DataFrame:
     path = wb.folder("chunks")

@@ -30,7 +30,19 @@ class Fixtures:
     # -- facts ---------------------------------------------------------------
 
     def content_chunks(self) -> DataFrame:
+        """Chunks of every response; in some of them an end marker stands before further lines."""
+        ended = "l_linenumber % 5 = 4 and l_partkey % 4 = 0"
+        rows = self._lines().selectExpr("*", f"{ended} as _end")
+        stream = ("content", "finish_reason", "usage", "tool_calls")
+        return rows.select(
+            *[F.when(~F.col("_end"), F.col(name)).alias(name) if name in stream else F.when(F.col("_end"), True).alias(name) if name == "done" else name
+              for name in rows.columns if name not in ("_end", "l_linenumber", "l_partkey")]
+        )
+
+    def _lines(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
+            "l_linenumber",
+            "l_partkey",
             "cast(l_orderkey as string) as request_id",
             "((l_linenumber * 1000L + l_partkey % 1000) * 1000000L + l_suppkey) * 100L + cast(l_quantity as bigint) as seq",
             "(l_linenumber * 1000L + l_partkey % 1000) / 4099.0D as arrival_s",
@@ -303,6 +315,10 @@ class Fixtures:
             "cast(null as double) as e2e_ms",
         )
 
+    def closing_rows(self) -> DataFrame:
+        """How each request ended, without what its lines say themselves."""
+        return self.final_chunks().withColumns({"done": F.lit(None).cast("boolean"), "parse_ok": F.lit(None).cast("boolean")})
+
     def call_lines(self) -> DataFrame:
         """Event-stream lines as a client would log them: chunks, end markers, comments, broken JSON."""
         return self.table("lineitem").selectExpr(

@@ -4,10 +4,11 @@ aggregates over the given tables, without the engine's blocks or passes."""
 from __future__ import annotations
 
 BASE = r"""
-with chunks as (
+with logged as (
   select cast(l_orderkey as varchar) as request_id,
          ((l_linenumber * 1000 + l_partkey % 1000) * 1000000 + l_suppkey) * 100 + cast(l_quantity as bigint) as seq,
          cast(l_linenumber * 1000 + l_partkey % 1000 as double) / 4099 as arrival_s,
+         l_linenumber % 5 = 4 and l_partkey % 4 = 0 as marker,
          case when l_linenumber = 1 and l_returnflag = 'R' then ''
               else l_returnflag || cast(l_suppkey as varchar) || ' ' end as content,
          l_returnflag = 'A' as has_usage,
@@ -16,16 +17,23 @@ with chunks as (
          case when l_returnflag = 'A' and l_discount = 0 then 16 end as u_cached,
          case when l_returnflag = 'A' and l_suppkey % 10 = 0 then l_suppkey end as u_reasoning
   from lineitem),
+-- A stream ends at its first marker, and the marker itself holds nothing.
+stopped as (select request_id, min(seq) as stop from logged where marker group by request_id),
+chunks as (
+  select l.request_id, seq, arrival_s, case when not marker then content end as content, has_usage and not marker as has_usage,
+         case when not marker then u_prompt end as u_prompt, case when not marker then u_completion end as u_completion,
+         case when not marker then u_cached end as u_cached, case when not marker then u_reasoning end as u_reasoning
+  from logged l left join stopped s using (request_id) where stop is null or seq <= stop),
 texts as (select * from chunks where content <> ''),
 finals as (
   select cast(o_orderkey as varchar) as request_id,
          2.0::double + cast(o_custkey % 512 as double) / 257 as e2e,
-         o_orderkey % 89 <> 0 as done,
-         o_orderkey % 83 <> 0 as parse_ok,
+         o_orderkey % 89 <> 0 or stop is not null as done,
+         o_orderkey % 83 <> 0 or stop is not null as parse_ok,
          case when o_orderkey % 97 = 0 then 429 when o_orderkey % 101 = 0 then 503 else 200 end as status_code,
          case when o_orderkey % 53 = 0 then 'timeout' when o_orderkey % 59 = 0 then 'protocol'
               when o_orderkey % 61 = 0 then 'connection' end as error_kind
-  from orders),
+  from orders left join stopped on request_id = cast(o_orderkey as varchar)),
 outcomes as (
   select *, case when error_kind = 'timeout' then 'timeout'
                  when error_kind = 'protocol' then 'malformed_stream'
@@ -362,7 +370,9 @@ CANDIDATES = """, cand as (select 'candidate-' || cast(c_custkey as varchar) as
   round(cast(c_custkey % 45 * 400 as double) * 0.001, 6) as warmup_s,
   case when c_custkey % 37 = 7 then null when c_custkey % 5 = 1 then 6.0 else 5.0 end::double as cooldown_s, c_custkey % 4 as first_level from customer) """
 
-LINES = """, lines as (select *, l_suppkey % 11 as kind, l_linenumber * 1000 + l_partkey % 1000 as s from lineitem where l_suppkey % 11 <> 1) """
+LINES = """, whole as (select *, l_suppkey % 11 as kind, l_linenumber * 1000 + l_partkey % 1000 as s from lineitem where l_suppkey % 11 <> 1),
+  lines as (select w.* from whole w left join (select l_orderkey, min(s) as stop from whole where kind = 0 group by l_orderkey) e using (l_orderkey)
+    where stop is null or s <= stop) """
 
 ORACLES: dict[str, str] = {
     # sources
@@ -399,6 +409,29 @@ ORACLES: dict[str, str] = {
       case when kind not in (0, 2, 3) then l_returnflag end as content, kind = 0 as done, kind <> 2 as parse_ok,
       case when kind = 3 then l_partkey end as prompt_tokens, case when kind = 3 then cast(l_quantity as bigint) end as completion_tokens,
       case when kind = 3 then cast(3 as bigint) end as cached_tokens from lines""",
+    "line_records": "with x as (select 1) " + LINES
+    + """, texts as (select cast(l_orderkey as varchar) as request_id, cast(s as double) / 4099 as t from lines where kind not in (0, 2, 3)),
+      gaps as (select request_id, t - lag(t) over w as gap, row_number() over w as rn from texts window w as (partition by request_id order by t)),
+      itl as (select request_id, max(case when rn = 2 then gap end) as tt2t, quantile_cont(gap, 0.95) as p95 from gaps where gap is not null group by request_id),
+      f as (select cast(l_orderkey as varchar) as request_id, min(case when kind not in (0, 2, 3) then cast(s as double) / 4099 end) as ttft,
+          count(*) filter (kind not in (0, 2, 3)) as deltas, count(*) filter (kind = 3) as usages, bool_or(kind = 0) as done, bool_and(kind <> 2) as clean,
+          arg_max(l_partkey, s) filter (kind = 3) as prompt, arg_max(cast(l_quantity as bigint), s) filter (kind = 3) as completion
+        from lines group by l_orderkey),
+      o as (select cast(o_orderkey as varchar) as request_id, 2.0::double + cast(o_custkey % 512 as double) / 257 as e2e,
+          case when o_orderkey % 97 = 0 then 429 when o_orderkey % 101 = 0 then 503 else 200 end as status,
+          case when o_orderkey % 53 = 0 then 'timeout' when o_orderkey % 59 = 0 then 'protocol' when o_orderkey % 61 = 0 then 'connection' end as kind from orders),
+      j as (select o.*, f.* exclude (request_id), tt2t, p95, case when kind = 'timeout' then 'timeout' when kind = 'protocol' then 'malformed_stream'
+          when kind is not null then 'connection_error' when status = 429 then 'rate_limited' when status <> 200 then 'connection_error'
+          when coalesce(done, false) and coalesce(clean, true) then 'success' else 'malformed_stream' end as outcome
+        from o left join f using (request_id) left join itl using (request_id))
+      select request_id, outcome, case when kind is null then status else 0 end as status_code, round(e2e, 6) as e2e, outcome = 'success' and usages = 0 as usage_incomplete,
+        round(case when outcome = 'success' then ttft end, 6) as ttft, round(case when outcome = 'success' then tt2t end, 6) as tt2t,
+        round(case when outcome = 'success' then p95 end, 6) as itl_p95,
+        case when outcome <> 'success' then 0 else coalesce(prompt, 0) end as prompt_tokens,
+        case when outcome <> 'success' then 0 when usages = 0 then deltas else completion end as output_tokens,
+        case when outcome = 'success' and usages > 0 then 3 else 0 end as cached_tokens,
+        case when outcome = 'success' then null when kind is not null then kind when outcome = 'malformed_stream' then 'malformed stream'
+          else 'HTTP ' || cast(status as varchar) end as error from j""",
     "scan_chunk_table": BASE
     + "select request_id, round(min(arrival_s), 6) as ttft from (select request_id, case when content <> '' then arrival_s end as arrival_s "
     "from chunks union all select request_id, null from finals) group by request_id",
@@ -470,12 +503,12 @@ ORACLES: dict[str, str] = {
     + "select id, case when p_size % 4 <> 0 then '[cb-' || md5(id || ':7') || '] ' || p_name end as content from prompts",
     "prompt_caps": BASE
     + "select id, p_size % 9 = 0 or category = 'tool-use' as requires_tools, category = 'vision' or p_size % 8 = 0 as requires_vision from prompts",
-    "tool_call_merge": """with p as (select cast(l_orderkey as varchar) as request_id, cast(l_linenumber % 2 as integer) as index,
+    "tool_call_merge": BASE + """, p as (select cast(l_orderkey as varchar) as request_id, cast(l_linenumber % 2 as integer) as index,
       ((l_linenumber * 1000 + l_partkey % 1000) * 1000000 + l_suppkey) * 100 + cast(l_quantity as bigint) as seq,
       case when l_quantity > 25 then 'tool-' || cast(l_suppkey % 7 as varchar) end as name, '<' || cast(l_partkey as varchar) || '>' as arg
-      from lineitem where l_tax = 0)
+      from lineitem where l_tax = 0 and not (l_linenumber % 5 = 4 and l_partkey % 4 = 0))
       select request_id, index, coalesce(arg_max(name, seq) filter (name is not null), '') as name,
-      string_agg(arg, '' order by seq) as arguments from p group by all""",
+      string_agg(arg, '' order by seq) as arguments from p left join stopped using (request_id) where stop is null or seq < stop group by all""",
     "tool_args_parse": """select l_orderkey * 100 + l_linenumber as seq, 'tool-' || cast(l_suppkey % 7 as varchar) as tool,
       case when (l_orderkey * 100 + l_linenumber) % 3 = 0 then '{"a":' || cast(l_suppkey % 5 as varchar) || ',"b":' ||
       cast(l_linenumber % 3 as varchar) || '}' else '{}' end as arguments from lineitem""",

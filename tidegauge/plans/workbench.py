@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.functions.ends import stream_ends
 from tidegauge.functions.sizing import checkpoint_root, settle
 from tidegauge.operators import levels as lv
 from tidegauge.operators import quality
@@ -29,12 +30,17 @@ class Workbench:
 
     def build_records(self) -> DataFrame:
         fx = self.fx
-        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts(), self.gaps)
+        return rec.build_records(fx.chunks(), fx.requests(), fx.runs(), fx.models(), self.prompts(), self.gaps, self.ends)
 
     @cached_property
     def gaps(self) -> DataFrame:
         """Gap rows of all responses, written once."""
-        return settle(rec.inter_token_gaps(self.fx.chunks()))
+        return settle(rec.inter_token_gaps(self.fx.chunks(), ends=self.ends))
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """Where the streams end that have lines behind their end marker, written once."""
+        return stream_ends(self.fx.chunks())
 
     @cached_property
     def slim_records(self) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegauge import schemas
 from tidegauge.functions import scalars
+from tidegauge.functions.ends import until_end
 
 # Marks a bare not-a-number or infinity; no text of a log begins with it.
 _BARE = "\0"
@@ -166,6 +167,7 @@ def parse_stream_lines(lines: DataFrame) -> DataFrame:
     """Chunks from logged event-stream lines `(request_id, seq, arrival_s, line)`.
 
     Only `data:` lines count; `[DONE]` is the end marker; other payloads must be JSON objects.
+    What follows the first end marker of a request is left out (`functions.ends`).
     """
     payload = F.trim(F.regexp_extract("line", r"^\s*data:(.*)$", 1))
     done = payload == "[DONE]"
@@ -190,7 +192,7 @@ def parse_stream_lines(lines: DataFrame) -> DataFrame:
             c["function"]["arguments"].alias("arguments"),
         ),
     )
-    return parsed.select(
+    chunks = parsed.select(
         "request_id",
         "seq",
         "arrival_s",
@@ -209,3 +211,4 @@ def parse_stream_lines(lines: DataFrame) -> DataFrame:
         F.col("_done").alias("done"),
         (F.col("_done") | value.isNotNull()).alias("parse_ok"),
     )
+    return until_end(chunks)
