@@ -4,12 +4,15 @@ import json
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators import adhoc
 from tidegauge.operators import records as rec
 from tidegauge.plans.workbench import workbench
 from tidegauge.sources import readers, writers
 from tidegauge.streaming import jobs
+from tidegauge.streaming.assembly import Assembly
+from tidegauge.streaming.ledger import Ledger
 
 
 @pytest.fixture(scope="module")
@@ -85,35 +88,95 @@ def test_written_records_hold_no_text(wb):
     assert "itl_list" in writers.drop_content(wb.records, raw_itl=True).columns
 
 
+FACTS = ("request_id", "outcome", "status_code", "ttft", "tt2t", "e2e", "prompt_tokens", "output_tokens", "cached_tokens", "reasoning_tokens",
+         "usage_incomplete", "error", "itl_summary")
+
+
+def rows_of(frame):
+    tidy = lambda v: tuple(None if x is None else round(x, 9) for x in v) if isinstance(v, tuple) else round(v, 9) if isinstance(v, float) else v
+    return {r["request_id"]: {name: tidy(r[name]) for name in FACTS} for r in frame.collect()}
+
+
 def test_streamed_records_equal_the_batch(wb):
-    out = jobs.run_to_table(jobs.assemble(wb.fx.streamed().timed_chunks(), "20 seconds", "30 seconds"))
-    batch = rec.response_facts(wb.fx.chunks()).select("request_id", "outcome", "ttft", "e2e", "output_tokens", "usage_incomplete")
-    streamed = out.select(*batch.columns)
-    assert streamed.count() > 1000
-    assert streamed.exceptAll(batch).count() == 0
-    missing = batch.join(streamed, "request_id", "left_anti")
-    # Only the newest requests wait for the watermark.
-    assert missing.count() <= 60
+    streamed = rows_of(jobs.run_assembly(wb.fx.streamed().timed_chunks(), "20 seconds", "30 seconds"))
+    assert len(streamed) > 1000 and streamed == rows_of(rec.response_facts(wb.fx.chunks()))
+
+
+def test_requests_that_span_batches_are_folded_once(spark, wb, tmp_path):
+    """Four deliveries cut through every request; one batch is folded twice, as after a failure."""
+    chunks = wb.fx.timed_chunks().filter("cast(request_id as bigint) % 7 < 3")
+    source = str(tmp_path / "in")
+    chunks.limit(0).write.parquet(source)
+    stream = spark.readStream.schema(chunks.schema).parquet(source)
+    work = Assembly(spark, str(tmp_path / "job"), "20 seconds", "2000 seconds")
+    cuts = [0.0, 0.4, 0.9, 1.5, 100.0]
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        # In the order of the log: a request's rows by arrival.
+        batch = chunks.filter(f"arrival_s > {low} - 1e-9 and arrival_s <= {high} - 1e-9")
+        batch.write.mode("append").parquet(source)
+        work.start(stream).awaitTermination()
+        if number == 1:
+            work.fold(batch, 1)
+    assert work.records().count() == 0
+    last = chunks.limit(1).withColumns({"request_id": F.lit(None).cast("string"), "ts": F.lit(jobs.END).cast("timestamp")})
+    last.write.mode("append").parquet(source)
+    work.start(stream).awaitTermination()
+    expected = rows_of(rec.response_facts(chunks.drop("ts")))
+    assert rows_of(work.records()) == expected and len(expected) > 300
+    assert work.records().agg(F.sum("disordered")).first()[0] == 0
+    assert work.marks().agg(F.sum("late")).first()[0] == 0
+
+
+def test_late_and_disordered_chunks_are_counted(spark, make_chunks, tmp_path):
+    base = make_chunks({"a": [(0.1, "x", None), (0.2, "y", None), (0.4, "z", None)], "b": [(0.1, "q", None)]}, {"a": (0.5, True, True, 200, None)})
+    timed = base.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("arrival_s")))
+    source = str(tmp_path / "in")
+    timed.limit(0).write.parquet(source)
+    stream = spark.readStream.schema(timed.schema).parquet(source)
+    work = Assembly(spark, str(tmp_path / "job"), "10 seconds", "5 seconds")
+    far = timed.filter("request_id = 'b'").withColumns({"request_id": F.lit("c"), "ts": F.col("ts") + F.expr("interval 100 seconds")})
+    turns = (timed.filter("request_id = 'a' and seq in (0, 2)"), timed.filter("request_id = 'a' and seq not in (0, 2)"), far, timed.filter("request_id = 'b'"))
+    for batch in turns:
+        batch.write.mode("append").parquet(source)
+        work.start(stream).awaitTermination()
+    (row,) = work.records().collect()
+    assert (row["request_id"], row["outcome"], row["output_tokens"], row["disordered"]) == ("a", "success", 3, 1)
+    assert [r["late"] for r in work.marks().orderBy("watermark", "late").collect()] == [0, 0, 0, 1]
+    assert {r["request_id"] for r in work.gaps().collect()} == {"a"}
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    schema = "request_id string, ts timestamp"
     base = 1_704_067_200
 
-    def deliver(name, seconds):
+    def delivery(name, seconds):
         rows = [(f"{name}{i}", s) for i, s in enumerate(seconds)]
-        spark.createDataFrame(rows, "request_id string, s bigint").selectExpr("request_id", f"timestamp_seconds({base} + s) as ts").coalesce(1).write.parquet(
-            str(tmp_path / f"in/d={name}"))
-
-    deliver("1", [0, 10, 3000])
-    deliver("2", [3001])
-    deliver("3", [5, 3002])
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/d=*"))
-    query = jobs.start_to_files(jobs.arrivals_per_window(stream, "10 minutes", "30 seconds"), str(tmp_path / "job"))
-    query.awaitTermination()
-    assert jobs.dropped_rows(query) == 1
-    rows = spark.read.parquet(str(tmp_path / "job/out")).collect()
-    assert [r["requests"] for r in rows] == [2]
+        return spark.createDataFrame(rows, "request_id string, s bigint").selectExpr("request_id", f"timestamp_seconds({base} + s) as ts").repartition(3)
+
+    turns = [delivery("1", [0, 10, 3000]), delivery("2", [3001]), delivery("3", [5, 6, 3002])]
+    for number in range(3):
+        found, ledger = jobs.run_in_turns(lambda r: jobs.arrivals_per_window(r, "10 minutes", "30 seconds"), turns, str(tmp_path / f"job{number}"))
+        assert sorted(r["requests"] for r in found.collect()) == [2, 3]
+        assert ledger.total("delivered.rows") == 7 and ledger.total("delivered.none") == 0
+        batches = ledger.batches()
+        assert batches.select("query_id", "batch_id").distinct().count() == batches.count()
+        assert batches.agg(F.sum("dropped_by_state")).first()[0] >= 1
+
+
+def test_a_ledger_keeps_more_batches_than_a_query(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for number in range(5):
+        spark.range(number, number + 2).selectExpr("id", f"timestamp_seconds({number} * 1000 + id) as ts").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source).observe("seen", F.count(F.lit(1)).alias("rows"))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with Ledger(spark, str(tmp_path / "ledger")) as ledger:
+            query = jobs.start_to_files(stream, str(tmp_path / "job"))
+            query.awaitTermination()
+            ledger.settle(query)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert len(query.recentProgress) <= 2 and ledger.total("seen.rows") == 10
+    assert ledger.batches().filter("input_rows > 0").count() == 5
 
 
 def test_sliding_windows_are_sums_of_their_halves(wb):

@@ -179,9 +179,15 @@ def response_facts(chunks: DataFrame, gaps: DataFrame | None = None, ends: DataF
         *usage_aggregates(),
         *outcome_aggregates(),
     )
-    facts = with_lists(raw.join(gap_facts(gaps), "request_id", "left"), gaps).select(
-        "request_id", "ttft", "tt2t", "itl_list", "itl_summary", "e2e", "status_code",
-        outcome_column().alias("outcome"), *usage_columns(), _error_kind().alias("_error_kind"),
+    return finished_facts(with_lists(raw.join(gap_facts(gaps), "request_id", "left"), gaps))
+
+
+def finished_facts(raw: DataFrame, *more: str) -> DataFrame:
+    """Facts from aggregates (`usage_aggregates`, `outcome_aggregates`, `ttft`) and gap facts; `more` columns stay."""
+    lists = [name for name in ("itl_list",) if name in raw.columns]
+    facts = raw.select(
+        "request_id", "ttft", "tt2t", *lists, "itl_summary", "e2e", "status_code",
+        outcome_column().alias("outcome"), *usage_columns(), _error_kind().alias("_error_kind"), *more,
     )
     ok = F.col("outcome") == fixed.SUCCESS
     zero = F.lit(0).cast("long")
@@ -191,7 +197,7 @@ def response_facts(chunks: DataFrame, gaps: DataFrame | None = None, ends: DataF
         "outcome",
         F.when(F.col("_error_kind").isNull(), F.col("status_code")).otherwise(0).alias("status_code"),
         "e2e",
-        *[F.when(ok, F.col(name)).alias(name) for name in ("ttft", "tt2t", "itl_list", "itl_summary")],
+        *[F.when(ok, F.col(name)).alias(name) for name in ("ttft", "tt2t", *lists, "itl_summary")],
         *[F.when(ok, F.col(name)).otherwise(zero).alias(name) for name in tokens],
         (ok & F.col("usage_incomplete")).alias("usage_incomplete"),
         F.when(ok, F.lit(None))
@@ -199,6 +205,7 @@ def response_facts(chunks: DataFrame, gaps: DataFrame | None = None, ends: DataF
         .when(F.col("outcome") == fixed.MALFORMED_STREAM, F.lit("malformed stream"))
         .otherwise(F.concat(F.lit("HTTP "), F.col("status_code")))
         .alias("error"),
+        *more,
     )
 
 

@@ -882,12 +882,12 @@ def compare_models(wb: Workbench) -> DataFrame:
 DELAY = "30 seconds"
 # What an end row must hold to pass the filters before the watermark.
 STEADY_MARK = {"phase": "steady", "outcome": "success", "e2e": 0.0}
-DELIVERY_FILES = 8
 
 
 @query
 def stream_assemble(wb: Workbench) -> DataFrame:
-    return jobs.run_whole(lambda chunks: jobs.assemble(chunks, "20 seconds", DELAY), [wb.fx.streamed().timed_chunks()]).drop("closed_at")
+    """Records of a stream, gaps included; it ends with a row that closes every request."""
+    return _flat_summary(jobs.run_assembly(wb.fx.streamed().timed_chunks(), "20 seconds", DELAY))
 
 
 @query
@@ -937,17 +937,17 @@ def stream_alerts(wb: Workbench) -> DataFrame:
 def stream_late(wb: Workbench) -> DataFrame:
     """All requests, then the newest again, then all again: by then the watermark drops the late ones.
 
-    Windows that it has not passed count every delivery.
+    Windows that it has not passed count every delivery. Each delivery is one batch by construction;
+    a ledger of the batches tells how many rows were dropped in all.
     """
-    folder = wb.folder("arrivals")
     rows = wb.fx.timed_records().select("request_id", "ts")
     newest = rows.agg((F.max("ts") - F.expr(f"interval {DELAY}")).alias("from_ts"))
     again = rows.join(F.broadcast(newest), F.col("ts") >= F.col("from_ts"), "left_semi")
-    for number, delivery in enumerate((rows, again, rows)):
-        delivery.repartition(DELIVERY_FILES, "request_id").write.parquet(f"{folder}/delivery={number}")
-    # One delivery per batch: as many files as each has.
-    stream = wb.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", DELIVERY_FILES).parquet(f"{folder}/delivery=*")
-    return jobs.run_whole(lambda requests: jobs.arrivals_per_window(requests, "10 minutes", DELAY), [stream])
+    counted, ledger = jobs.run_in_turns(lambda requests: jobs.arrivals_per_window(requests, "10 minutes", DELAY), [rows, again, rows])
+    dropped = F.lit(ledger.total("delivered.rows")) - F.col("_counted")
+    total = counted.agg(F.sum("requests").alias("_counted"))
+    # One row by construction.
+    return counted.join(F.broadcast(total)).select("window_start", "requests", dropped.cast("bigint").alias("dropped_in_all"))
 
 
 @query

@@ -747,12 +747,9 @@ ORACLES: dict[str, str] = {
     + " from d left join d b on b.run_id = 'run-0' and b.level_or_rate = d.level_or_rate",
     # streams: what the watermark has closed after the whole input
     "stream_assemble": BASE
-    + """, ends as (select request_id, max(ms) as last_ms from (
-          select request_id, cast(request_id as bigint) * 1000 + cast(floor(arrival_s * 1000) as bigint) as ms from chunks
-          union all select request_id, cast(request_id as bigint) * 1000 + cast(floor(e2e * 1000) as bigint) from finals) group by request_id)
-      select request_id, outcome, round(ttft, 6) as ttft, round(e2e, 6) as e2e, prompt_tokens, output_tokens, cached_tokens, reasoning_tokens,
-        usage_incomplete, round(tpot, 6) as tpot, round(normalized_latency, 6) as normalized_latency
-      from records join ends using (request_id)""",
+    + "select request_id, outcome, status_code, error, prompt_tokens, output_tokens, cached_tokens, reasoning_tokens, usage_incomplete, "
+    + _r("ttft", "tt2t", "e2e", "tpot", "normalized_latency", "itl_mean", "itl_p50", "itl_p95", "itl_p99", "itl_max")
+    + ", cast(0 as bigint) as disordered from records",
     "stream_backfill": BASE
     + """, res as (select cast(event_id as varchar) as request_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id + (user_id % 10) * 60) as scored_at,
           case when event_type <> 'error' then 'judged' else 'eval_skipped' end as status,
@@ -785,9 +782,11 @@ ORACLES: dict[str, str] = {
     "(rate_limited / greatest(steady_samples, 1) > 0.01 or steady_samples < 20)",
     "stream_late": BASE
     # What came again into a window that the watermark had not passed counts again; the rest was late.
-    + """select time_bucket(interval 10 minutes, ts) as window_start,
+    + """, w as (select time_bucket(interval 10 minutes, ts) as window_start,
         count(*) + coalesce(sum(case when time_bucket(interval 10 minutes, ts) + interval 10 minutes > wm
-          then 1 + cast(ts >= wm as int) end), 0)::bigint as requests from timed, mark group by window_start""",
+          then 1 + cast(ts >= wm as int) end), 0)::bigint as requests from timed, mark group by window_start)
+      select window_start, requests, ((select 2 * count(*) + count(*) filter (ts >= wm) from timed, mark) - (select sum(requests) from w))::bigint
+        as dropped_in_all from w""",
     "stream_dedup": BASE + "select run_id, request_id from timed",
 }
 

@@ -1,7 +1,7 @@
 """Structured Streaming versions of the record, score and level operators.
 
 All state is algebraic (counts, minima, last values) and keyed by request, window or
-value, never a list of rows. Event time is the column `ts`.
+cell, never a list of rows. Event time is the column `ts`.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegauge.functions import fixed, scalars
+from tidegauge.functions import fixed
 from tidegauge.functions.percentiles import exact_quantiles
 from tidegauge.functions.sizing import checkpoint_root
-from tidegauge.operators import records as rec
 from tidegauge.operators.levels import add_reliability
+from tidegauge.streaming.assembly import Assembly
+from tidegauge.streaming.ledger import Ledger
 
 # -- running --------------------------------------------------------------------
 
@@ -46,7 +47,7 @@ def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 # Event time of the rows that tell a stream its input has ended.
-END = "9999-01-01 00:00:00"
+END = "2200-01-01 00:00:00"
 
 
 def run_whole(
@@ -59,8 +60,43 @@ def run_whole(
     filters before the watermark let it through). The next batch moves the watermark there and
     closes everything that real rows opened; what the end rows opened themselves stays open.
     """
-    spark = inputs[0].sparkSession
     folder = folder or stream_folder(inputs[0])
+    ended, finish = _with_ends(inputs, marks, folder)
+    stream = build(*ended)
+    start_to_files(stream, folder).awaitTermination()
+    finish()
+    start_to_files(stream, folder).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_in_turns(
+    build: Callable[[DataFrame], DataFrame], deliveries: Sequence[DataFrame], folder: str | None = None
+) -> tuple[DataFrame, Ledger]:
+    """Run an append-mode stream over deliveries that come one after the other.
+
+    Each delivery is written whole, however many files it has, before the stream runs over what is
+    new; so each is one batch. The result is whole, as in `run_whole`; the ledger tells what every
+    batch delivered (metric `delivered.rows`) and dropped.
+    """
+    first = deliveries[0]
+    spark, folder = first.sparkSession, folder or stream_folder(first)
+    first.limit(0).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+    ended, finish = _with_ends([source.observe("delivered", F.count(F.lit(1)).alias("rows"))], None, folder)
+    stream = build(ended[0])
+    turns = [lambda each=each: each.write.mode("append").parquet(f"{folder}/in") for each in deliveries]
+    with Ledger(spark, f"{folder}/ledger") as ledger:
+        for deliver in [*turns, finish]:
+            deliver()
+            query = start_to_files(stream, folder)
+            query.awaitTermination()
+            ledger.settle(query)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), ledger
+
+
+def _with_ends(inputs: Sequence[DataFrame], marks: dict[str, object] | None, folder: str) -> tuple[list[DataFrame], Callable[[], None]]:
+    """The inputs with an end row each to come, and what delivers these rows."""
+    spark = inputs[0].sparkSession
     ends = [f"{folder}/end-{number}" for number in range(len(inputs))]
     rows = [
         spark.range(1).select(
@@ -73,13 +109,12 @@ def run_whole(
     ]
     for row, path in zip(rows, ends, strict=True):
         row.limit(0).write.parquet(path)
-    ended = [each.unionAll(spark.readStream.schema(each.schema).parquet(path)) for each, path in zip(inputs, ends, strict=True)]
-    stream = build(*ended)
-    start_to_files(stream, folder).awaitTermination()
-    for row, path in zip(rows, ends, strict=True):
-        row.write.mode("append").parquet(path)
-    start_to_files(stream, folder).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+    def finish() -> None:
+        for row, path in zip(rows, ends, strict=True):
+            row.write.mode("append").parquet(path)
+
+    return [each.unionAll(spark.readStream.schema(each.schema).parquet(path)) for each, path in zip(inputs, ends, strict=True)], finish
 
 
 def run_updates(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
@@ -107,47 +142,18 @@ def run_updates(stream: DataFrame, keys: Sequence[str], folder: str | None = Non
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them, over all batches seen."""
-    return sum(
-        state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"]
-    )
-
-
 # -- records from chunks ----------------------------------------------------------
 
 
-def assemble(chunks: DataFrame, timeout: str, delay: str) -> DataFrame:
-    """One row per request once no chunk came for `timeout`.
-
-    The state of a request is constant in size. Token gaps need all arrivals in order,
-    so the batch record build adds them from the landed chunks.
-    """
-    sessions = chunks.withWatermark("ts", delay).groupBy(F.session_window("ts", timeout).alias("session"), "request_id")
-    raw = sessions.agg(
-        F.min(F.when(rec.has_text(), F.col("arrival_s"))).alias("ttft"), *rec.usage_aggregates(), *rec.outcome_aggregates()
-    )
-    facts = raw.select("request_id", "session", "ttft", "e2e", rec.outcome_column().alias("outcome"), *rec.usage_columns())
-    ok = F.col("outcome") == fixed.SUCCESS
-    zero = F.lit(0).cast("long")
-    kept = facts.withColumns(
-        {"ttft": F.when(ok, F.col("ttft"))}
-        | {n: F.when(ok, F.col(n)).otherwise(zero) for n in ("prompt_tokens", "output_tokens", "cached_tokens", "reasoning_tokens")}
-    )
-    return kept.select(
-        "request_id",
-        F.col("session.end").alias("closed_at"),
-        "outcome",
-        "ttft",
-        "e2e",
-        "prompt_tokens",
-        "output_tokens",
-        "cached_tokens",
-        "reasoning_tokens",
-        (ok & F.col("usage_incomplete")).alias("usage_incomplete"),
-        scalars.tpot(F.col("ttft"), F.col("e2e"), F.col("output_tokens")).alias("tpot"),
-        scalars.normalized_latency(F.col("e2e"), F.col("output_tokens")).alias("normalized_latency"),
-    )
+def run_assembly(chunks: DataFrame, timeout: str, delay: str, folder: str | None = None) -> DataFrame:
+    """Fold a stream of chunks that ends into request records; see `assembly.Assembly`."""
+    folder = folder or stream_folder(chunks)
+    ended, finish = _with_ends([chunks], None, folder)
+    assembly = Assembly(chunks.sparkSession, folder, timeout, delay)
+    assembly.start(ended[0]).awaitTermination()
+    finish()
+    assembly.start(ended[0]).awaitTermination()
+    return assembly.records()
 
 
 def deduplicate(requests: DataFrame, delay: str, keys: Sequence[str] = ("run_id", "request_id")) -> DataFrame:
@@ -249,7 +255,10 @@ def alerts(levels: DataFrame, min_samples: int) -> DataFrame:
 
 
 def arrivals_per_window(requests: DataFrame, size: str, delay: str) -> DataFrame:
-    """Requests per window; rows later than the watermark are dropped and counted by Spark."""
+    """Requests per window; rows of windows that the watermark has passed are dropped.
+
+    With `run_in_turns`, what was dropped is what the ledger saw delivered less what is counted here.
+    """
     counts = requests.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("window")).agg(F.count(F.lit(1)).alias("requests"))
     return counts.select(F.col("window.start").alias("window_start"), "requests")
 
