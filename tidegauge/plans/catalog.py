@@ -834,6 +834,28 @@ def adhoc_tool_log(wb: Workbench) -> DataFrame:
     return adhoc.query_file(wb.spark, path, sql)
 
 
+@query
+def adhoc_json(wb: Workbench) -> DataFrame:
+    """SQL over JSON in the forms that logs and summaries come in: lines, one array, one document per file."""
+    lines, array, documents = wb.folder("lines"), wb.folder("array") + ".json", wb.folder("documents")
+    number = "case when c_custkey % 7 = 0 then 'NaN' else cast(c_custkey % 100 as string) end"
+    wb.fx.table("customer").selectExpr(
+        f"""concat('{{"AVOID": ', cast(c_custkey as string), ', "it\\'s": "', c_mktsegment, '", "v": ', {number}, '}}') as value"""
+    ).write.text(lines)
+    # Twenty-five rows, one text.
+    item = """concat('{"AVOID": ', cast(n_nationkey as string), ', "it\\'s": "', n_name, '", "v": ', cast(n_regionkey as string), '}')"""
+    wb.fx.table("nation").selectExpr(f"concat('[', array_join(collect_list({item}), ','), ']') as value").write.text(array)
+    for number in range(5):
+        one = wb.fx.runs().where(F.col("run_id") == f"run-{number}").select(
+            F.to_json(F.struct(F.lit(number).alias("AVOID"), F.col("slo_profile").alias("it's"), F.struct(F.col("min_samples").alias("v")).alias("limits")), {"pretty": "true"}).alias("value")
+        )
+        one.write.mode("append").text(documents)
+    sql = "select '{0}' as form, count(*) as n, sum(AVOID) as total, count(distinct `it's`) as kinds, count_if(isnan({1})) as odd, sum(nanvl({1}, 0)) as v from data"
+    forms = (("lines", lines, "v"), ("array", array, "cast(v as double)"), ("documents", documents, "cast(limits.v as double)"))
+    parts = [adhoc.query_file(wb.spark, path, sql.format(form, value)) for form, path, value in forms]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 # -- report series ------------------------------------------------------------------------------------------
 
 

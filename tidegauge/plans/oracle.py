@@ -409,6 +409,11 @@ ORACLES: dict[str, str] = {
       case when kind not in (0, 2, 3) then l_returnflag end as content, kind = 0 as done, kind <> 2 as parse_ok,
       case when kind = 3 then l_partkey end as prompt_tokens, case when kind = 3 then cast(l_quantity as bigint) end as completion_tokens,
       case when kind = 3 then cast(3 as bigint) end as cached_tokens from lines""",
+    "adhoc_json": """select 'lines' as form, count(*) as n, cast(sum(c_custkey) as bigint) as total, count(distinct c_mktsegment) as kinds,
+        count(*) filter (c_custkey % 7 = 0) as odd, cast(coalesce(sum(c_custkey % 100) filter (c_custkey % 7 <> 0), 0) as double) as v from customer
+      union all select 'array', count(*), cast(sum(n_nationkey) as bigint), count(distinct n_name), 0, cast(sum(n_regionkey) as double) from nation
+      union all select 'documents', count(*), cast(sum(r_regionkey) as bigint), 5, 0,
+        cast(sum(case when r_regionkey = 1 then 100000 else 30 end) as double) from region""",
     "line_records": "with x as (select 1) " + LINES
     + """, texts as (select cast(l_orderkey as varchar) as request_id, cast(s as double) / 4099 as t from lines where kind not in (0, 2, 3)),
       gaps as (select request_id, t - lag(t) over w as gap, row_number() over w as rn from texts window w as (partition by request_id order by t)),

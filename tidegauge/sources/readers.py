@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +10,7 @@ from pyspark.sql import types as T
 from tidegauge import schemas
 from tidegauge.functions import scalars
 from tidegauge.functions.ends import until_end
-
-# Marks a bare not-a-number or infinity; no text of a log begins with it.
-_BARE = "\0"
+from tidegauge.sources.json_tables import BARE, lenient_object, read_json_table
 
 _NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
@@ -35,7 +31,7 @@ def _typed(value: Column, field: T.StructField) -> Column:
             result = F.when(number, whole).try_cast(field.dataType)
         else:
             word = F.when(kind == "STRING", F.try_variant_get(value, path, "string"))
-            bare = F.when(word.startswith(_BARE), F.substring(word, 2, 9).cast("double"))
+            bare = F.when(word.startswith(BARE), F.substring(word, 2, 9).cast("double"))
             result = F.coalesce(F.when(number, F.try_variant_get(value, path, "double")), bare).cast(field.dataType)
     elif isinstance(field.dataType, T.BooleanType):
         result = F.when(kind == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
@@ -44,18 +40,12 @@ def _typed(value: Column, field: T.StructField) -> Column:
     return result.alias(field.name)
 
 
-def _object(text: Column) -> Column:
-    """Variant of a JSON object; bare NaN and Infinity values, which are no JSON, are kept as marked text."""
-    quoted = F.regexp_replace(text, r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])", r'$1"\\u0000$2"')
-    return F.coalesce(scalars.json_object(text), scalars.json_object(quoted))
-
-
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Typed rows of JSON-lines text `value`; blank, broken and non-object lines are left out.
 
     A field of the wrong type is null and its row stays.
     """
-    objects = lines.withColumn("_object", _object(F.col("value"))).where(F.col("_object").isNotNull())
+    objects = lines.withColumn("_object", lenient_object(F.col("value"))).where(F.col("_object").isNotNull())
     extra = [name for name in lines.columns if name != "value"]
     return objects.select(*extra, *[_typed(F.col("_object"), field) for field in schema.fields if field.name not in extra])
 
@@ -87,21 +77,16 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_own_columns(spark: SparkSession, path: str) -> DataFrame:
-    """`.parquet` files as they are; JSON lines with the columns the lines have.
+    """`.parquet` files as they are; JSON with the columns it has.
 
-    One distributed pass over all lines finds the columns and the widest type of each; broken
-    lines and lines that are no object are left out. Without any object the columns are those of
-    request records.
+    JSON comes as lines, as an array or as one document per file; its columns and their types come
+    from the data (`json_tables`). Broken lines and lines that are no object are left out. Without any
+    object the columns are those of request records.
     """
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    objects = spark.read.text(path).select(scalars.json_object(F.col("value")).alias("_object")).where(F.col("_object").isNotNull())
-    found = objects.agg(F.schema_of_variant_agg("_object")).first()[0]
-    if not found or not found.startswith("OBJECT<"):
-        return read_raw(spark, path)
-    ddl = re.sub(r"DECIMAL\([^)]*\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
-    fields = T.DataType.fromDDL(ddl).fields
-    return objects.select(*[F.try_variant_get("_object", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in fields])
+    found = read_json_table(spark, path)
+    return read_raw(spark, path) if found is None else found
 
 
 def list_runs(spark: SparkSession, root: str, summary: str = "summary.json") -> DataFrame:
