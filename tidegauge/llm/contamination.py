@@ -139,34 +139,70 @@ def contaminated(
     nothing and leak nowhere. Null and empty documents leak nothing. Repeated
     documents and repeated items give a row each. Other columns of either table play no part.
     """
+    blocks = _blocks(benchmark, block_words)
+    return reduce(DataFrame.unionAll, [_block_leaks(docs, rows, benchmark, text, least, threshold) for rows in blocks])
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows of `docs`, all columns, that leak no item of `benchmark`.
+
+    Each row is judged by its own text, whatever its id, in the pass that finds the leaks:
+    nothing is joined or shuffled. What leaks is told at `contaminated`.
+    """
+    for rows in _blocks(benchmark, block_words):
+        docs = _block_clean(docs, rows, text, least, threshold)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
+    """Items in blocks of about `block_words` words, one at a time."""
     items = benchmark.select("item_id", F.col("text").alias("text")).filter("text is not null")
     volume = F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))
     total = items.agg(F.sum(volume).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_words))
-    return reduce(DataFrame.unionAll, [_block_leaks(docs, items, text, least, threshold, number, blocks) for number in range(blocks)])
+    for number in range(blocks):
+        yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).orderBy("item_id", "text").collect()
+
+
+def _found(block: Block, texts: pa.Array, threshold: float) -> list[tuple]:
+    """(row, item, words, covered, coverage, tiles) of the leaks of a batch of texts."""
+    words = Words(texts, lower=True)
+    words.trim(MARKS)
+    hashes = words.hashes()
+    grams = chain(hashes, block.least)
+    at = block.hits(grams)
+    at = at[words.windows(block.least)[at]]
+    owner = np.searchsorted(words.firsts, at, side="right") - 1
+    edges = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(at)]
+    found = []
+    for start, end in zip(edges, edges[1:]):
+        row, hit = int(owner[start]), at[start:end]
+        base = words.firsts[row]
+        for leak in _leaks(block, hashes[base : words.firsts[row + 1]], hit - base, grams[hit], threshold):
+            found.append((row, *leak))
+    return found
+
+
+def _block_clean(docs: DataFrame, rows: list, text: str, least: int, threshold: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(Block.of(rows, least))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[row for row, *_ in _found(held.value, batch.column(text), threshold)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
-def _block_leaks(docs: DataFrame, items: DataFrame, text: str, least: int, threshold: float, number: int, blocks: int) -> DataFrame:
-    rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).orderBy("item_id", "text").collect()
+def _block_leaks(docs: DataFrame, rows: list, items: DataFrame, text: str, least: int, threshold: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(Block.of(rows, least))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
         for batch in steps(batches, text):
-            words = Words(batch.column(text), lower=True)
-            words.trim(MARKS)
-            hashes = words.hashes()
-            grams = chain(hashes, block.least)
-            at = block.hits(grams)
-            at = at[words.windows(block.least)[at]]
-            owner = np.searchsorted(words.firsts, at, side="right") - 1
-            edges = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(at)]
-            found = []
-            for start, end in zip(edges, edges[1:]):
-                row, hit = int(owner[start]), at[start:end]
-                base = words.firsts[row]
-                for leak in _leaks(block, hashes[base : words.firsts[row + 1]], hit - base, grams[hit], threshold):
-                    found.append((row, *leak))
+            found = _found(held.value, batch.column(text), threshold)
             columns = list(zip(*found)) or [()] * 6
             ids = batch.column("doc_id").take(pa.array(columns[0], type=pa.int64()))
             kinds = (item_type, pa.int64(), pa.int64(), pa.float64(), pa.int64())
