@@ -29,10 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.token_counts import parts, separable
 from tidegauge.llm.words import U, mix, steps
 
 MARK = 0x2581
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
+# Long texts are cut into parts of about this size where ids stay those of the whole text.
+PART_BYTES = 1 << 16
 # Longer parts are relaxed one by one, so that rounds over all parts stay few.
 LONG_PART = 200
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -351,7 +354,28 @@ def decode(ids: np.ndarray, borders: np.ndarray, pieces: Pieces) -> list[str]:
     return out
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", check: bool = True) -> DataFrame:
+def encode_long(text: str, pieces: Pieces, batch_bytes: int, part_bytes: int) -> tuple[np.ndarray, bool]:
+    """Ids of one text, encoded some parts at a time, and whether they decode to it.
+
+    Parts end at spaces over which nothing joins (`token_counts`): the mark that encoding puts in
+    front of a part stands for the space that the cut took, so the parts' ids are those of the text.
+    """
+    found, same, held, size = [], True, [], 0
+    cuts = parts(text.encode("utf-8", "replace"), part_bytes)
+    for number, part in enumerate(cuts, 1):
+        held.append(part.decode("utf-8", "replace"))
+        size += len(part)
+        if size >= batch_bytes or number == len(cuts):
+            ids, borders = encode(held, pieces)
+            found.append(ids)
+            same = same and decode(ids, borders, pieces) == held
+            held, size = [], 0
+    return np.concatenate(found), same
+
+
+def encode_texts(
+    docs: DataFrame, path: str, text: str = "text", check: bool = True, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES
+) -> DataFrame:
     """`docs` with `ids`, `n_tokens` and, with `check`, `round_trip`.
 
     `ids` are those of the library's own encoder for the whole text, without begin or end
@@ -359,6 +383,9 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", check: bool = T
     model's own space mark, or that the model normalises, does not come back). Null and empty
     texts have no ids and, as an empty text, round_trip. Repeated rows each keep theirs; an empty
     table stays empty; columns of the same names are replaced. `path` is a file every executor has.
+    A text longer than `batch_bytes` is encoded in parts of about `part_bytes`, so its length does
+    not set the memory of a task; a text without safe places to cut, or a model that has none, is
+    encoded whole.
     """
     names = ["ids", "n_tokens"] + ["round_trip"] * check
     rest = docs.drop(*names)
@@ -366,13 +393,19 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", check: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
-        for batch in steps(batches, text, BATCH_BYTES):
+        cuttable = separable(path)
+        for batch in steps(batches, text, batch_bytes):
             texts = ["" if x is None else x for x in batch.column(text).to_pylist()]
-            ids, borders = encode(texts, pieces)
+            if cuttable and len(texts) == 1 and len(texts[0]) > batch_bytes:
+                ids, same = encode_long(texts[0], pieces, batch_bytes, part_bytes)
+                borders, whole = np.array([0, len(ids)]), [same]
+            else:
+                ids, borders = encode(texts, pieces)
+                whole = [a == b for a, b in zip(decode(ids, borders, pieces), texts)] if check else []
             lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids))
             made = [lists, pa.array(np.diff(borders))]
             if check:
-                made.append(pa.array([a == b for a, b in zip(decode(ids, borders, pieces), texts)], type=pa.bool_()))
+                made.append(pa.array(whole, type=pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), *made], names=[*kept, *names])
 
     out = ["ids array<int>", "n_tokens bigint"] + ["round_trip boolean"] * check
