@@ -119,3 +119,31 @@ def test_panels_are_checked():
     ):
         with pytest.raises(PanelError):
             make()
+
+
+@pytest.mark.parametrize("rows", [10**6, 20])
+def test_long_axes_are_numbered_by_ranges(spark, monkeypatch, rows):
+    from tidegauge.functions import segments
+    from tidegauge.operators import panels
+
+    monkeypatch.setattr(segments, "BLOCK_ROWS", rows)
+    numbers, words = [str(x / 4) for x in range(-40, 60)], [f"prompt-{i}" for i in range(70)] + ["short", "long", "medium", "10"]
+    data = [("a", x) for x in numbers] + [("b", x) for x in words] + [("c", "7"), ("d", "1e3"), ("d", "9")]
+    frame = spark.createDataFrame(data, "run_id string, x string").repartition(5)
+    found = {(r["run_id"], r["x"]): (r["x_position"], r["numeric"]) for r in panels.order_axis(frame).collect()}
+    expected = {"a": sorted(numbers, key=float), "b": ["short", "medium", "long", *sorted(set(words) - {"short", "medium", "long"})], "c": ["7"], "d": ["9", "1e3"]}
+    assert found == {(run, x): (place, run != "b") for run, marks in expected.items() for place, x in enumerate(marks, 1)}
+
+
+def test_sparse_panels_hold_the_points_that_exist(make_records):
+    rows = make_records({"level_or_rate": 4.0, "prompt_id": "p9"}, {"level_or_rate": 16.0, "prompt_id": "p10"}, {"level_or_rate": 4.0, "prompt_id": "p10"})
+    panel = Panel("t", "level_or_rate", (Value("e2e", "count"),), group="prompt_id")
+    found = panels_of(rows, panel, dense=False)
+    assert found == {("4.0", "e2e count (ms) [p9]"): (1, 2, 1.0), ("4.0", "e2e count (ms) [p10]"): (1, 1, 1.0), ("16.0", "e2e count (ms) [p10]"): (2, 1, 1.0)}
+    assert panels_of(rows, panel, dense=True) == found | {("16.0", "e2e count (ms) [p9]"): (2, 2, 0.0)}
+
+
+def panels_of(rows, panel, dense):
+    from tidegauge.operators import panels
+
+    return {(r["x"], r["series"]): (r["x_position"], r["g_position"], r["value"]) for r in panels.compute_panel(rows, panel, dense=dense).collect()}

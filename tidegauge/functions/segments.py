@@ -218,6 +218,28 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: C
     return running_total(rows, keys, order, "_one").withColumnRenamed("_upto", name).drop("_block", "_one", "_total")
 
 
+def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """Number the rows of each key from 1 in `order` (nulls first), for values that no number stands for.
+
+    The table is range-partitioned and sorted as a whole; a row's number is its place in the partition
+    and an offset per partition and key, of which there are no more than partitions and keys together.
+    Rows that agree in all of `order` should be few.
+    """
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = settle(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
+    parts = held.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    side = settle(parts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    side = side.select(*[F.col(key).alias(fresh) for key, fresh in zip(keys, names, strict=True)], F.col("_part").alias("_of"), "_first", "_before")
+    same = F.col("_part") == F.col("_of")
+    for key, fresh in zip(keys, names, strict=True):
+        same = same & F.col(key).eqNullSafe(F.col(fresh))
+    placed = held.join(broadcast_if_small(side), same)
+    return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop(*names, "_part", "_at", "_of", "_first", "_before")
+
+
 def gap_moments(value: Column, n: Column) -> tuple[Column, Column]:
     """Aggregates `(mean, population std)` of rows that stand for `n` equal values.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import fixed, scalars
+from tidegauge.functions import fixed, scalars, segments
 from tidegauge.functions.percentiles import exact_quantiles
 from tidegauge.functions.sizing import settle
 from tidegauge.operators.levels import steady_success
@@ -158,25 +158,41 @@ def order_axis(axis: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Add `x_position` (from 1) and `numeric` to the distinct axis values of each run.
 
     Numbers ascend when all values are numbers; otherwise buckets come by size and then
-    text. The values are the distinct marks of one chart axis.
+    text. The values are the distinct marks of one chart axis; an axis with more of them than a
+    block holds is numbered by ranges, so no axis is ever sorted in one task. `axis` is counted
+    first, so it should be settled or cheap.
     """
-    whole = Window.partitionBy(*keys)
-    marked = axis.withColumn("numeric", F.min(scalars.is_number(F.col("x"))).over(whole))
     rank = F.lit(99)
     for position, name in enumerate(fixed.BUCKETS):
         rank = F.when(F.col("x") == name, position).otherwise(rank)
-    order = Window.partitionBy(*keys).orderBy(
-        F.when(F.col("numeric"), F.col("x").try_cast("double")), F.when(~F.col("numeric"), rank), "x"
-    )
-    return marked.withColumn("x_position", F.row_number().over(order))
-
-
-def dense_grid(occupied: DataFrame, key: str = "run_id", zero: Sequence[str] = ()) -> DataFrame:
-    """Every x of a run with every group of that run, the cells left-joined; absent `zero` columns are 0."""
+    longest = axis.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= segments.BLOCK_ROWS:
+        marked = axis.withColumn("numeric", F.min(scalars.is_number(F.col("x"))).over(Window.partitionBy(*keys)))
+    else:
+        marked = axis.join(axis.groupBy(*keys).agg(F.min(scalars.is_number(F.col("x"))).alias("numeric")), list(keys))
+    order = {"_number": F.when(F.col("numeric"), F.col("x").try_cast("double")), "_rank": F.when(~F.col("numeric"), rank)}
+    marked = marked.withColumns(order)
+    if longest <= segments.BLOCK_ROWS:
+        placed = marked.withColumn("x_position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "x")))
+    else:
+        placed = segments.range_positions(marked, keys, [*order, "x"], "x_position")
+    return placed.withColumn("x_position", F.col("x_position").cast("int")).drop(*order)
+
+
+def dense_grid(occupied: DataFrame, key: str = "run_id", zero: Sequence[str] = (), dense: bool = True) -> DataFrame:
+    """Cells with the positions of their x and of their group, both ordered as axes are.
+
+    With `dense`, every x of a run comes with every group of that run; without it, only the occupied
+    cells do, as many as there are points. Absent `zero` columns are 0. Pass a settled table.
+    """
     keys = [key, "axes"]
     xs = order_axis(occupied.where(F.col("x").isNotNull()).select(*keys, "x").distinct(), keys)
-    groups = occupied.where(F.col("g").isNotNull()).select(*keys, "g").distinct()
-    grid = groups.join(xs, keys).join(occupied, [*keys, "x", "g"], "left")
+    marks = order_axis(occupied.where(F.col("g").isNotNull()).select(*keys, F.col("g").alias("x")).distinct(), keys)
+    groups = marks.select(*keys, F.col("x").alias("g"), F.col("x_position").alias("g_position"))
+    if dense:
+        grid = groups.join(xs, keys).join(occupied, [*keys, "x", "g"], "left")
+    else:
+        grid = occupied.join(xs, [*keys, "x"]).join(groups, [*keys, "g"])
     return grid.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in zero})
 
 
@@ -197,14 +213,14 @@ def chart_kind(chart: str) -> Column:
 # -- panels ----------------------------------------------------------------------
 
 
-def compute_panels(records: DataFrame, panels: Sequence[Panel], key: str = "run_id") -> DataFrame:
-    """Long series of several panels. `records` is read a few times; pass a written table."""
+def compute_panels(records: DataFrame, panels: Sequence[Panel], key: str = "run_id", dense: bool = True) -> DataFrame:
+    """Long series of several panels; `dense` as in `dense_grid`. `records` is read a few times; pass a written table."""
     shared: dict[tuple[str, str | None], list[Panel]] = defaultdict(list)
     for panel in panels:
         shared[(panel.x, panel.group)].append(panel)
     axes = [(x, g, list(dict.fromkeys(v for p in members for v in p.values))) for (x, g), members in shared.items()]
     # Settled, because axes, groups and cells are all read from it; one row per chart point.
-    grid = dense_grid(settle(cells(records, axes, key)), key, counted_values(v for _, _, values in axes for v in values))
+    grid = dense_grid(settle(cells(records, axes, key)), key, counted_values(v for _, _, values in axes for v in values), dense)
     rows = [
         F.struct(
             F.lit(i).alias("_axes"),
@@ -217,9 +233,9 @@ def compute_panels(records: DataFrame, panels: Sequence[Panel], key: str = "run_
         for panel in members
         for value in panel.values
     ]
-    points = grid.select(key, "axes", "x", "x_position", F.inline(F.array(*rows)))
+    points = grid.select(key, "axes", "x", "x_position", "g_position", F.inline(F.array(*rows)))
     return points.where(F.col("axes") == F.col("_axes")).drop("axes", "_axes")
 
 
-def compute_panel(records: DataFrame, panel: Panel, key: str = "run_id") -> DataFrame:
-    return compute_panels(records, [panel], key)
+def compute_panel(records: DataFrame, panel: Panel, key: str = "run_id", dense: bool = True) -> DataFrame:
+    return compute_panels(records, [panel], key, dense)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
+from tidegauge.functions.sizing import settle
 from tidegauge.operators import adhoc, load, panels, quality, series, tools
 from tidegauge.operators import levels as lv
 from tidegauge.operators import records as rec
@@ -652,15 +654,22 @@ def panel_pivot(wb: Workbench) -> DataFrame:
 @query
 def panel_dense(wb: Workbench) -> DataFrame:
     values = (panels.Value("cost_usd", "count"),)
-    grid = panels.dense_grid(panels.cells(wb.scored, [("prompt_id", "osl_bucket", values)]), zero=panels.counted_values(values))
+    grid = panels.dense_grid(settle(panels.cells(wb.scored, [("prompt_id", "osl_bucket", values)])), zero=panels.counted_values(values))
     return grid.select("run_id", "x", "g", "cost_usd_count")
 
 
 @query
 def axis_order(wb: Workbench) -> DataFrame:
-    names = ("level_or_rate", "isl_bucket", "category")
+    names = ("level_or_rate", "isl_bucket", "category", "prompt_id")
     parts = [panels.order_axis(panels.distinct_axis(wb.records, n)).withColumn("dimension", F.lit(n)) for n in names]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def panel_sparse(wb: Workbench) -> DataFrame:
+    """One series per prompt: only the points that exist, in the order of both axes."""
+    by_prompt = panels.Panel("Tokens by prompt", "level_or_rate", (panels.Value("output_tokens", "max"), panels.Value("rps")), "prompt_id")
+    return panels.compute_panel(wb.scored, by_prompt, dense=False)
 
 
 @query
@@ -777,15 +786,12 @@ def score_replies(wb: Workbench) -> DataFrame:
 
 
 @query
-def embed_texts(wb: Workbench) -> DataFrame:
-    def load_model() -> Callable[[list[str]], list[list[float]]]:
-        # Stand-in for a model: three simple statistics of the whole text.
-        return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
-
-    texts = quality.embed_texts(wb.fx.table("documents").select("doc_id", "text"), "text", load_model)
-    return texts.select(
-        "doc_id",
-        *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(("chars", "spaces", "letters_e"))],
+def text_counts(wb: Workbench) -> DataFrame:
+    """Characters, spaces and letters of each text, which need no model."""
+    text = F.col("text")
+    without = lambda letter: (F.char_length(text) - F.char_length(F.replace(text, F.lit(letter), F.lit("")))).cast("double")
+    return wb.fx.table("documents").select(
+        "doc_id", F.char_length(text).cast("double").alias("chars"), without(" ").alias("spaces"), without("e").alias("letters_e")
     )
 
 

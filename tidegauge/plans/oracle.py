@@ -302,9 +302,9 @@ def _axis(source: str, column: str, numeric: bool) -> str:
     )
 
 
-def _panel(title: str, cells: str, series: str, value: str, chart: str = "line") -> str:
+def _panel(title: str, cells: str, series: str, value: str, chart: str = "line", position: str = "1") -> str:
     return (
-        f"select run_id, '{title}' as panel, x, x_position, {series} as series, round({value}, 6) as value, "
+        f"select run_id, '{title}' as panel, x, x_position, cast({position} as integer) as g_position, {series} as series, round({value}, 6) as value, "
         f"'{chart}' as chart from {cells}"
     )
 
@@ -317,15 +317,15 @@ def _dash() -> str:
             sum(output_tokens) / {window} as tok, count(*) / {window} as rps, quantile_cont(prompt_tokens, 0.5) as it,
             quantile_cont(output_tokens, 0.5) as ot, avg(quality_score) as qm, quantile_cont(quality_score, 0.5) as q50
           from sss join axis on axis.run_id = sss.run_id and axis.x = cast(level_or_rate as varchar) group by sss.run_id, x),
-    grid as (select a.run_id, x, x_position, g from axis a join (select distinct run_id, osl_bucket as g from sss) using (run_id)),
+    grid as (select a.run_id, a.x, a.x_position, b.x as g, b.x_position as gp from axis a join ({_axis('sss', 'osl_bucket', False)}) b on a.run_id = b.run_id),
     c2 as (select run_id, cast(level_or_rate as varchar) as x, osl_bucket as g, quantile_cont(e2e, 0.5) * 1000 as e50 from sss group by all),
-    g2 as (select grid.run_id, x, x_position, g, e50 from grid left join c2 using (run_id, x, g))"""
+    g2 as (select grid.run_id, x, x_position, g, gp, e50 from grid left join c2 using (run_id, x, g))"""
     cells = cells.replace("select run_id, x, any_value", "select sss.run_id, x, any_value")
     parts = [
         _panel("Latency vs load", "c", "'ttft p50 (ms)'", "ttft50"), _panel("Latency vs load", "c", "'ttft p99 (ms)'", "ttft99"),
         _panel("Latency vs load", "c", "'e2e p50 (ms)'", "e50"), _panel("Latency vs load", "c", "'e2e p99 (ms)'", "e99"),
         _panel("Throughput vs load", "c", "'system_tok_s (tok/s)'", "tok"), _panel("Throughput vs load", "c", "'rps (req/s)'", "rps"),
-        _panel("E2E latency by output length", "g2", "'e2e p50 (ms) [' || g || ']'", "e50"),
+        _panel("E2E latency by output length", "g2", "'e2e p50 (ms) [' || g || ']'", "e50", position="gp"),
         _panel("Tokens per request vs load", "c", "'input_tokens p50'", "it"),
         _panel("Tokens per request vs load", "c", "'output_tokens p50'", "ot"),
         _panel("Quality score vs load", "c", "'quality_score mean'", "qm"),
@@ -337,16 +337,27 @@ def _dash() -> str:
 def _pivot() -> str:
     window = "nullif(greatest(max(t_start + e2e) - min(t_start), 0), 0)"
     return f""", axis as ({_axis('sss', 'isl_bucket', False)}),
-    grid as (select a.run_id, x, x_position, g from axis a join (select distinct run_id, category as g from sss) using (run_id)),
+    grid as (select a.run_id, a.x, a.x_position, b.x as g, b.x_position as gp from axis a join ({_axis('sss', 'category', False)}) b on a.run_id = b.run_id),
     c as (select run_id, isl_bucket as x, category as g, quantile_cont(e2e, 0.5) * 1000 as e50, count(*) / {window} as rps,
             count(quality_score) as n from sss group by all),
-    f as (select grid.run_id, x, x_position, g, e50, rps, coalesce(n, 0)::double as n from grid left join c using (run_id, x, g))
+    f as (select grid.run_id, x, x_position, g, gp, e50, rps, coalesce(n, 0)::double as n from grid left join c using (run_id, x, g))
     """ + " union all ".join(
-        _panel("E2E by length", "f", f"'{label} [' || g || ']'", value, "bar")
+        _panel("E2E by length", "f", f"'{label} [' || g || ']'", value, "bar", "gp")
         for label, value in (("e2e p50 (ms)", "e50"), ("rps (req/s)", "rps"), ("quality_score count", "n"))
     )
 
 
+def _sparse() -> str:
+    window = "nullif(greatest(max(t_start + e2e) - min(t_start), 0), 0)"
+    return f""", axis as ({_axis('sss', 'level_or_rate', True)}), marks as ({_axis('sss', 'prompt_id', False)}),
+    c as (select run_id, cast(level_or_rate as varchar) as x, prompt_id as g, max(output_tokens) as tokens, count(*) / {window} as rps from sss group by all),
+    f as (select c.run_id, c.x, a.x_position, c.g, m.x_position as gp, tokens, rps
+      from c join axis a on a.run_id = c.run_id and a.x = c.x join marks m on m.run_id = c.run_id and m.x = c.g)
+    """ + " union all ".join(
+        _panel("Tokens by prompt", "f", f"'{label} [' || g || ']'", value, position="gp") for label, value in (("output_tokens max", "tokens"), ("rps (req/s)", "rps"))
+    )
+
+
 WINDOW_RATE = "round(rate_limited / greatest(steady_samples, 1), 6) as rate_limited_rate"
 
 
@@ -639,7 +650,8 @@ ORACLES: dict[str, str] = {
       select run_id, x, g, coalesce(n, 0)::double as cost_usd_count from grid left join c using (run_id, x, g)""",
     "axis_order": BASE
     + "select 'level_or_rate' as dimension, * from (" + _axis("ss", "level_or_rate", True) + ") union all select 'isl_bucket', * from ("
-    + _axis("ss", "isl_bucket", False) + ") union all select 'category', * from (" + _axis("ss", "category", False) + ")",
+    + _axis("ss", "isl_bucket", False) + ") union all select 'category', * from (" + _axis("ss", "category", False) + ") union all select 'prompt_id', * from (" + _axis("ss", "prompt_id", False) + ")",
+    "panel_sparse": BASE + _sparse(),
     "distinct_axis": BASE + "select distinct run_id, prompt_id as x from ss",
     "series_name": BASE + "select distinct run_id, 'ttft p99 (ms) [' || cast(level_or_rate as varchar) || ']' as series from ss",
     "chart_kind": BASE + "select distinct run_id, dimension, chart from ss, (values ('level_or_rate', 'line'), ('isl_bucket', 'bar')) as d(dimension, chart)",
@@ -691,7 +703,7 @@ ORACLES: dict[str, str] = {
       case norm when 'pass' then 1.0 when 'correct' then 1.0 when 'partial' then 0.5 else 0.0 end end, 6) as quality_score,
       case when rubric <> 'score' then norm end as judge_verdict,
       case when rubric = 'score' then score_reason else verdict_reason end as judge_reason from normal""",
-    "embed_texts": "select doc_id, length(text)::double as chars, (length(text) - length(replace(text, ' ', '')))::double as spaces, "
+    "text_counts": "select doc_id, length(text)::double as chars, (length(text) - length(replace(text, ' ', '')))::double as spaces, "
     "(length(text) - length(replace(text, 'e', '')))::double as letters_e from documents",
     # SQL
     "adhoc_sql": BASE
