@@ -66,6 +66,13 @@ def test_runs_without_summary_are_not_listed(spark, tmp_path):
     assert sorted(r["run"] for r in rows.collect()) == ["run-a", "run-c"]
     newest = readers.resolve_run(rows, readers.list_runs(spark, str(tmp_path)))
     assert [r["run"] for r in newest.collect()] == ["run-c"]
+    assert [r["run"] for r in readers.read_run(spark, str(tmp_path)).collect()] == ["run-c"]
+    assert [r["run"] for r in readers.read_run(spark, str(tmp_path), "run-a").collect()] == ["run-a"]
+    assert readers.read_run(spark, str(tmp_path), "run-b").count() == readers.read_run(spark, str(tmp_path), "gone").count() == 0
+    assert readers.read_run(spark, str(tmp_path), "gone").columns == rows.columns
+    # Only the chosen run's file is in the plan.
+    assert [f.rsplit("/", 2)[1] for f in readers.read_run(spark, str(tmp_path)).inputFiles()] == ["run-c"]
+    assert {f.rsplit("/", 2)[1] for f in rows.inputFiles()} == {"run-a", "run-c"}
     (tmp_path / "none").mkdir()
     assert readers.list_runs(spark, str(tmp_path / "none")).count() == 0
 
@@ -203,3 +210,14 @@ def test_raw_numbers_are_read_as_they_are(spark, tmp_path):
     assert found["a"]["seed"] == 9007199254740993 and found["a"]["sim_score"] != found["a"]["sim_score"] and found["a"]["status_code"] == 200
     assert found["b"]["e2e"] == float("inf") and found["b"]["ttft"] == float("-inf") and found["b"]["status_code"] is None
     assert found["c"]["e2e"] is None and found["c"]["output_tokens"] == 1 and found["c"]["tpot"] == 0.25
+
+
+def test_run_names_are_taken_as_they_are(spark, tmp_path):
+    names = ["plain", "with space", "a+b", "50%", "x,y", "q?", "s*", "[z]"]
+    for name in names:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.json").write_text("{}")
+        (tmp_path / name / "raw.jsonl").write_text(json.dumps({"request_id": name}) + "\n")
+    found = {(r["run"], r["request_id"]) for r in readers.read_runs(spark, str(tmp_path)).collect()}
+    assert found == {(name, name) for name in names}
+    assert [r["run"] for r in readers.read_run(spark, str(tmp_path), "s*").collect()] == ["s*"]

@@ -180,3 +180,35 @@ def test_prefix_goes_before_the_last_user_text(spark):
         spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), 1).collect()}
     assert found[(1, 0)] == "first" and found[(1, 2)] == "reply" and found[(2, 0)] is None
     assert found[(1, 1)].startswith("[cb-") and found[(1, 1)].endswith("] second")
+
+
+def test_texts_of_calls_are_parsed_once_each(spark, monkeypatch):
+    variants = ['{"a": 1, "b": {"d": 2, "c": 3}}', '{"b":{"c":3,"d":2},"a":1}', '{"a": 1}', "no json", None]
+    rows = [("r", i, f"t{i % 2}", variants[i % 5], variants[i % 3]) for i in range(3000)]
+    calls = spark.createDataFrame(rows, "run_id string, seq bigint, tool string, arguments string, result string")
+    assert tools.canonical_texts(calls.selectExpr("arguments as text")).count() == 4
+    fed = []
+    whole = tools.canonical_texts
+    monkeypatch.setattr(tools, "canonical_texts", lambda texts: fed.append(texts.where("text is not null").distinct().count()) or whole(texts))
+    found = tools.distinct_tool_calls(calls).collect()
+    assert fed == [4]
+    form = {variants[0]: 0, variants[1]: 0, variants[2]: 2, variants[3]: 3, None: None}
+    expected = {}
+    for _, seq, tool, a, r in rows:
+        expected.setdefault((tool, form[a], form[r]), seq)
+    assert sorted(r["first_seq"] for r in found) == sorted(expected.values())
+
+
+def test_the_gate_grows_with_runs_and_prompts(spark):
+    prompts = spark.createDataFrame([(f"p{i}", "lib", ["general", "tool-use", "vision"][i % 3], [], ["x"] if i % 4 == 0 else []) for i in range(600)],
+        "id string, library string, category string, messages array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>, tools array<string>")
+    models = spark.createDataFrame([(f"m{i}", f"v/m{i}", i % 2 == 0, i % 3 == 0) for i in range(6)], "name string, model string, supports_tools boolean, supports_vision boolean")
+    runs = spark.createDataFrame([(f"r{i}", "lib", f"m{i % 6}") for i in range(50)], "run_id string, library string, model_name string")
+    gate = tools.capability_gate(prompts, runs, models)
+    assert gate.members.count() == 600 and gate.reasons.count() == 4 * 50
+    pairs = gate.expand()
+    assert pairs.count() == 600 * 50
+    counted = {r["run_id"]: (r["tools_unsupported"], r["vision_unsupported"]) for r in gate.counts().collect()}
+    by = {(r["run_id"], r["skip_reason"]): r["count"] for r in pairs.groupBy("run_id", "skip_reason").count().collect()}
+    assert counted == {f"r{i}": (by.get((f"r{i}", "tools_unsupported"), 0), by.get((f"r{i}", "vision_unsupported"), 0)) for i in range(50)}
+    assert gate.expand("r3").count() == 600

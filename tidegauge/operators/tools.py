@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed, scalars
 from tidegauge.functions.ends import until_end
+from tidegauge.functions.sizing import broadcast_if_small, settle
 
 # -- tool calls ----------------------------------------------------------------
 
@@ -32,14 +35,28 @@ def parse_tool_arguments(calls: DataFrame) -> DataFrame:
     return calls.withColumn("arguments", scalars.tool_arguments(F.col("arguments")))
 
 
+def canonical_texts(texts: DataFrame) -> DataFrame:
+    """`text`, `form`: the canonical JSON of each distinct text of `texts` (`text`), null left out.
+
+    Equal texts meet before any is parsed, so a text is parsed once, however often it comes.
+    """
+    return texts.where(F.col("text").isNotNull()).distinct().withColumn("form", scalars.canonical_json(F.col("text")))
+
+
 def distinct_tool_calls(calls: DataFrame) -> DataFrame:
-    """Distinct invocations of each run by canonical JSON, with the place they were first seen."""
-    return calls.groupBy(
-        "run_id",
-        "tool",
-        scalars.canonical_json(F.col("arguments")).alias("arguments"),
-        scalars.canonical_json(F.col("result")).alias("result"),
-    ).agg(F.min("seq").alias("first_seq"))
+    """Distinct invocations of each run by canonical JSON, with the place they were first seen.
+
+    Calls are grouped by their texts as they are, combined before the shuffle; the distinct texts
+    are parsed, and the groups meet again by what they say.
+    """
+    raw = settle(calls.groupBy("run_id", "tool", "arguments", "result").agg(F.min("seq").alias("first_seq")))
+    texts = raw.select(F.explode(F.array("arguments", "result")).alias("text"))
+    forms = broadcast_if_small(settle(canonical_texts(texts)))
+    found = raw
+    for name in ("arguments", "result"):
+        side = forms.select(F.col("text").alias(name), F.col("form").alias(f"_{name}"))
+        found = found.join(side, name, "left").drop(name).withColumnRenamed(f"_{name}", name)
+    return found.groupBy("run_id", "tool", "arguments", "result").agg(F.min("first_seq").alias("first_seq"))
 
 
 def tool_call_counts(calls: DataFrame) -> DataFrame:
@@ -80,27 +97,50 @@ def _run_models(runs: DataFrame, models: DataFrame) -> DataFrame:
     return runs.select("run_id", "library", "model_name").join(names, "model_name").drop("model_name")
 
 
+@dataclass(frozen=True)
+class Gate:
+    """Which prompts the runs can serve, as two tables that grow with the prompts and with the runs.
+
+    `members`: `prompt_id`, `library` and `need`, the class of what the prompt requires (0 to 3).
+    `reasons`: for each run and class of need the `skip_reason`, null where its model can serve it.
+    """
+
+    members: DataFrame
+    reasons: DataFrame
+
+    def expand(self, run_id: str | None = None) -> DataFrame:
+        """A row per run and prompt, or those of one run: `run_id`, `model`, `prompt_id`, `skip_reason`."""
+        reasons = self.reasons if run_id is None else self.reasons.where(F.col("run_id") == run_id)
+        return self.members.join(reasons, ["library", "need"]).select("run_id", "model", "prompt_id", "skip_reason")
+
+    def counts(self) -> DataFrame:
+        """Skipped prompts of each run by reason, zeros included; no prompt is paired with a run."""
+        sizes = self.members.groupBy("library", "need").agg(F.count(F.lit(1)).alias("n"))
+        zero = F.lit(0).cast("long")
+        return self.reasons.join(sizes, ["library", "need"], "left").groupBy("run_id").agg(
+            *[F.coalesce(F.sum(F.when(F.col("skip_reason") == name, F.col("n"))), zero).alias(name) for name in (fixed.TOOLS_UNSUPPORTED, fixed.VISION_UNSUPPORTED)]
+        )
+
+
+def capability_gate(prompts: DataFrame, runs: DataFrame, models: DataFrame) -> Gate:
+    """The gate of the runs over their libraries' prompts, factored by what prompts require."""
+    need = F.col("requires_tools").cast("int") * 2 + F.col("requires_vision").cast("int")
+    members = prompt_needs(prompts).select(F.col("id").alias("prompt_id"), "library", need.alias("need"))
+    classes = F.explode(F.array(*[F.lit(x) for x in range(4)])).alias("need")
+    wide = _run_models(runs, models).select("*", classes).withColumns(
+        {"requires_tools": F.col("need") >= 2, "requires_vision": F.col("need") % 2 == 1}
+    )
+    return Gate(members, wide.select("run_id", "model", "library", "need", _reason().alias("skip_reason")))
+
+
 def gate_prompts(prompts: DataFrame, runs: DataFrame, models: DataFrame) -> DataFrame:
     """Prompts of each run's library with `skip_reason`, null when its model can serve them."""
-    needs = prompt_needs(prompts).select("id", "library", "requires_tools", "requires_vision")
-    return needs.join(_run_models(runs, models), "library").select(
-        "run_id", "model", F.col("id").alias("prompt_id"), _reason().alias("skip_reason")
-    )
+    return capability_gate(prompts, runs, models).expand()
 
 
 def skip_counts(prompts: DataFrame, runs: DataFrame, models: DataFrame) -> DataFrame:
-    """Skipped prompts of each run by reason, zeros included.
-
-    Prompts are first counted by library and needs (four rows per library), so no prompt
-    is paired with a run.
-    """
-    classes = prompt_needs(prompts).groupBy("library", "requires_tools", "requires_vision").agg(F.count(F.lit(1)).alias("n"))
-    gated = _run_models(runs, models).join(classes, "library", "left").withColumn("reason", _reason())
-    reasons = (fixed.TOOLS_UNSUPPORTED, fixed.VISION_UNSUPPORTED)
-    zero = F.lit(0).cast("long")
-    return gated.groupBy("run_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("reason") == name, F.col("n"))), zero).alias(name) for name in reasons]
-    )
+    """Skipped prompts of each run by reason, zeros included, from the factored gate."""
+    return capability_gate(prompts, runs, models).counts()
 
 
 # -- cache busting -----------------------------------------------------------------

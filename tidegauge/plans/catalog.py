@@ -104,9 +104,9 @@ def scan_runs(wb: Workbench) -> DataFrame:
 
 @query
 def resolve_run(wb: Workbench) -> DataFrame:
-    rows = wb.records.withColumn("run", F.col("run_id"))
-    runs = rows.select("run").distinct()
-    both = readers.resolve_run(rows, runs).unionByName(readers.resolve_run(rows, runs, "run-1"))
+    """The newest run and a named one, each read from its own files."""
+    root = _write_runs(wb)
+    both = readers.read_run(wb.spark, root).unionByName(readers.read_run(wb.spark, root, "run-1"))
     return both.groupBy("run").agg(F.count(F.lit(1)).alias("requests"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,13 +103,43 @@ def list_runs(spark: SparkSession, root: str, summary: str = "summary.json") ->
     return files.select(run.alias("run")).distinct().orderBy(F.desc("run"))
 
 
-def read_runs(spark: SparkSession, root: str, raw: str = "raw.jsonl") -> DataFrame:
-    """Records of every run with a summary, with its folder name as `run`."""
-    lines = spark.read.text(f"{root}/*/{raw}").select("value", F.col("_metadata.file_path").alias("_path"))
+def _runs_files(root: str, names: list[str], raw: str) -> str:
+    """One pattern for the logs of some runs; names are taken literally."""
+    plain = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", name) for name in names]
+    return f"{root}/{{{','.join(plain)}}}/{raw}" if len(plain) > 1 else f"{root}/{plain[0]}/{raw}"
+
+
+def _read_named(spark: SparkSession, root: str, names: list[str], raw: str) -> DataFrame:
+    """Records of some runs, with the folder name as `run`; only their files are listed and read."""
+    schema = schemas.request_record()
+    try:
+        lines = spark.read.text(_runs_files(root, names, raw)) if names else None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = None
+    if lines is None:
+        return parse_lines(spark.createDataFrame([], "value string, run string"), schema)
     # A run written by Spark has a folder where a single file would be.
     run = F.regexp_extract("_path", rf"([^/]+)/{raw.replace('.', '[.]')}(/|$)", 1)
-    rows = parse_lines(lines.select("value", run.alias("run")), schemas.request_record())
-    return rows.join(list_runs(spark, root), "run", "left_semi")
+    named = lines.select("value", F.col("_metadata.file_path").alias("_path")).select("value", F.url_decode(F.replace(run, F.lit("+"), F.lit("%2B"))).alias("run"))
+    return parse_lines(named, schema)
+
+
+def read_runs(spark: SparkSession, root: str, raw: str = "raw.jsonl") -> DataFrame:
+    """Records of every run with a summary, with its folder name as `run`.
+
+    Runs are found in the listing, before any log is read: files of runs without a summary are
+    never opened. One name per run reaches the driver.
+    """
+    return _read_named(spark, root, [row["run"] for row in list_runs(spark, root).collect()], raw)
+
+
+def read_run(spark: SparkSession, root: str, name: str | None = None, raw: str = "raw.jsonl") -> DataFrame:
+    """Records of one run, the named one or else the newest with a summary; no other run's files are read."""
+    found = list_runs(spark, root)
+    one = found.where(F.col("run") == name) if name is not None else found.limit(1)
+    return _read_named(spark, root, [row["run"] for row in one.collect()], raw)
 
 
 def newest_runs(runs: DataFrame, n: int = 1) -> DataFrame:
