@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tidegauge.sources import readers, writers
 from tidegauge.streaming import jobs
 from tidegauge.streaming.assembly import Assembly
 from tidegauge.streaming.ledger import Ledger
+from tidegauge.streaming.windows import WindowPercentiles
 
 
 @pytest.fixture(scope="module")
@@ -221,3 +223,32 @@ def test_run_names_are_taken_as_they_are(spark, tmp_path):
     found = {(r["run"], r["request_id"]) for r in readers.read_runs(spark, str(tmp_path)).collect()}
     assert found == {(name, name) for name in names}
     assert [r["run"] for r in readers.read_run(spark, str(tmp_path), "s*").collect()] == ["s*"]
+
+
+def test_window_percentiles_keep_cells_not_values(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base, rows = 1_704_067_200, []
+    for i in range(6000):
+        rows.append(("r", float(i % 2), "steady", "success", 5.0 + float(rng.random()) / 20, base + i))
+    rows += [("r", 0.0, "warmup", "success", 99.0, base), ("r", 0.0, "steady", "timeout", 99.0, base), ("r", 0.0, "steady", "success", None, base)]
+    frame = spark.createDataFrame(rows, "run_id string, level_or_rate double, phase string, outcome string, e2e double, s bigint").selectExpr("*", "timestamp_seconds(s) as ts")
+    source = str(tmp_path / "in")
+    frame.limit(0).write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).parquet(source)
+    work = WindowPercentiles(spark, str(tmp_path / "job"), "e2e", "20 minutes", "60 seconds")
+    for number, (low, high) in enumerate(((0, 900), (900, 3000), (3000, 6000))):
+        part = frame.filter(f"s >= {base + low} and s < {base + high}")
+        part.write.mode("append").parquet(source)
+        work.start(stream).awaitTermination()
+        if number == 1:
+            work.fold(part, 1)  # again, as after a failure
+        # Thousands of different values of two levels lie in the two cells around them.
+        assert 0 < work.state(number).count() <= 2 * 2 * 2
+    frame.filter(f"s = {base}").write.mode("append").parquet(source)
+    work.start(stream).awaitTermination()
+    found = {(r["window_start"].timestamp(), r["level_or_rate"]): r for r in work.percentiles((0.0, 0.5, 0.99)).collect()}
+    good = [r for r in rows if r[2] == "steady" and r[3] == "success" and r[4] is not None]
+    for (start, level), row in found.items():
+        values = [r[4] for r in good if r[1] == level and start <= r[5] < start + 1200]
+        assert row["samples"] == len(values) and row["quantiles"] == pytest.approx(np.quantile(values, (0, 0.5, 0.99)).tolist(), rel=1e-12)
+    assert len(found) == 2 * 4 and work.marks().agg(F.sum("late")).first()[0] == 1

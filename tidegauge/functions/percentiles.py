@@ -170,6 +170,15 @@ def exact_quantiles(
     return _quantiles(_count_cells(df, keys, value, weight, False), probs, task_values, broadcast_rows)
 
 
+def quantiles_of_cells(keys: Sequence[str], cells: DataFrame, values: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Quantiles as in `exact_quantiles` from stored cell counts and stored values.
+
+    `cells` are `(keys, _cell, _n)`, `values` are `(keys, _cell, _value, _w)`; of the values only those
+    in cells that hold a wanted rank are ordered.
+    """
+    return _quantiles(_Pass(list(keys), values, cells), probs, TASK_VALUES, BROADCAST_ROWS)
+
+
 def exact_stats(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:

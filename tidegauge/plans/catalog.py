@@ -939,10 +939,7 @@ def stream_levels_sliding(wb: Workbench) -> DataFrame:
 
 @query
 def stream_level_percentiles(wb: Workbench) -> DataFrame:
-    counts = jobs.run_whole(
-        lambda r: jobs.level_value_counts(r, "e2e", "30 minutes", DELAY), [wb.fx.streamed().timed_records()], STEADY_MARK
-    )
-    found = jobs.level_percentiles(counts, (0.5, 0.99))
+    found = jobs.run_level_percentiles(wb.fx.streamed().timed_records(), "e2e", "30 minutes", DELAY, (0.5, 0.99))
     return found.select(
         "window_start", *LEVEL, "samples", F.col("quantiles")[0].alias("e2e_p50"), F.col("quantiles")[1].alias("e2e_p99")
     )

@@ -6,20 +6,18 @@ out as rows in the batch that brings their second arrival, the first gap of a ba
 to the last arrival in the state. A request is closed when the watermark - the newest event time
 seen, less the delay - has passed its last chunk by `timeout`.
 
-A batch writes to folders of its own number, and reads the state its predecessor left. A batch
-that is repeated after a failure starts from the same state and overwrites what it had written,
-so nothing counts twice. The folder is shared by all executors.
+How batches keep their state and what happens after a failure is told in `streaming.folded`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions import scalars
 from tidegauge.functions.ends import closing
 from tidegauge.operators import records as rec
+from tidegauge.streaming.folded import Folded
 
 _STATE = """
 request_id string, newest bigint, seq bigint, stop bigint, ttft double, last double, _deltas bigint, _usages bigint,
@@ -27,10 +25,9 @@ _prompt_tokens bigint, _completion_tokens bigint, _cached_tokens bigint, _reason
 _done boolean, _parse_ok boolean, status_code int, _error_rank int, e2e double, disordered bigint
 """
 _GAPS = "request_id string, since double, gap double, n bigint"
-_MARKS = "watermark bigint, late bigint"
 
 
-class Assembly:
+class Assembly(Folded):
     """The fold of one stream into `folder`.
 
     Rows of a batch may come in any order; from batch to batch the chunks of a request come in the
@@ -40,39 +37,19 @@ class Assembly:
     """
 
     def __init__(self, spark: SparkSession, folder: str, timeout: str, delay: str):
-        self.spark, self.folder = spark, folder
-        self.timeout, self.delay = (self._milliseconds(text) for text in (timeout, delay))
-
-    def _milliseconds(self, text: str) -> int:
-        epoch = "timestamp '1970-01-01 00:00:00+00:00'"
-        return self.spark.range(1).select(F.expr(f"unix_millis({epoch} + interval {text})")).first()[0]
-
-    def start(self, chunks: DataFrame) -> StreamingQuery:
-        """Fold what is there and stop; a later start goes on where this one ended."""
-        query = chunks.writeStream.foreachBatch(self.fold).option("checkpointLocation", f"{self.folder}/checkpoint")
-        return query.trigger(availableNow=True).start()
-
-    def _read(self, name: str, schema: str, number: int) -> DataFrame:
-        if number < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={number}")
-
-    def _write(self, rows: DataFrame, name: str, number: int) -> DataFrame:
-        path = f"{self.folder}/{name}/batch={number}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        super().__init__(spark, folder, delay)
+        self.timeout = self.milliseconds(timeout)
 
     def fold(self, batch: DataFrame, number: int) -> None:
         """One batch: gaps and closed requests out, open requests to the next state."""
         state = self._read("open", _STATE, number - 1)
-        before = self._read("marks", _MARKS, number - 1).first()
-        passed = before["watermark"] if before else -(2**62)
+        passed = self.passed(number)
         ms = F.unix_millis("ts")
         known = state.select("request_id", F.col("stop").alias("_stop"), F.col("last").alias("_last"), F.col("seq").alias("_seq"))
         rows = batch.withColumn("ms", ms).join(known, "request_id", "left")
         late = F.col("_seq").isNull() & (F.col("ms") < passed)
         figures = rows.agg(F.max("ms").alias("newest"), F.count_if(late & F.col("request_id").isNotNull()).alias("late")).first()
-        watermark = max(passed, (figures["newest"] if figures["newest"] is not None else -(2**62)) - self.delay)
+        watermark = self.watermark(passed, figures["newest"])
 
         rows = rows.filter(~late & F.col("request_id").isNotNull())
         whole = Window.partitionBy("request_id")
@@ -88,7 +65,7 @@ class Assembly:
         closed = F.col("newest") + self.timeout < watermark
         self._write(merged.filter(closed), "closed", number)
         self._write(merged.filter(~closed), "open", number)
-        self._write(self.spark.createDataFrame([(watermark, figures["late"])], _MARKS).coalesce(1), "marks", number)
+        self.mark(number, watermark, figures["late"])
 
     def _merge(self, state: DataFrame, rows: DataFrame) -> DataFrame:
         """The state after the rows of a batch: one row per request."""
@@ -116,17 +93,10 @@ class Assembly:
         }
         return both.select(*[rules[f.name](f.name).cast(f.dataType).alias(f.name) for f in state.schema])
 
-    def _all(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.folder}/{name}")
-
     def gaps(self) -> DataFrame:
         """`(request_id, since, gap, n)` of all requests so far, open ones included."""
         return self._all("gaps", _GAPS)
 
-    def marks(self) -> DataFrame:
-        """`watermark` (milliseconds) and `late` (rows left out) of every batch."""
-        return self._all("marks", _MARKS)
-
     def records(self) -> DataFrame:
         """Closed requests: the columns of `records.response_facts` without `itl_list`, both rates, `disordered`."""
         closed = self._all("closed", _STATE)

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions import fixed
-from tidegauge.functions.percentiles import exact_quantiles
 from tidegauge.functions.sizing import checkpoint_root
 from tidegauge.operators.levels import add_reliability
 from tidegauge.streaming.assembly import Assembly
 from tidegauge.streaming.ledger import Ledger
+from tidegauge.streaming.windows import WindowPercentiles
 
 # -- running --------------------------------------------------------------------
 
@@ -225,20 +225,17 @@ def level_reliability(records: DataFrame, size: str, delay: str, slide: str | No
     return add_reliability(flat)
 
 
-def level_value_counts(records: DataFrame, metric: str, size: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Counts of each metric value per window and level: the state behind exact percentiles.
-
-    State is keyed by value, so a hot level is spread over all state partitions.
-    """
-    steady, window = _windowed(records, size, delay, slide)
-    values = steady.where((F.col("outcome") == fixed.SUCCESS) & F.col(metric).isNotNull())
-    counts = values.groupBy(window, "run_id", "level_or_rate", F.col(metric).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("window.start").alias("window_start"), "run_id", "level_or_rate", "value", "n")
-
-
-def level_percentiles(value_counts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact percentiles of finished windows from their landed value counts."""
-    return exact_quantiles(value_counts, ["window_start", "run_id", "level_or_rate"], "value", probs, weight="n")
+def run_level_percentiles(
+    records: DataFrame, metric: str, size: str, delay: str, probs: Sequence[float], slide: str | None = None, folder: str | None = None
+) -> DataFrame:
+    """Exact percentiles per window and level of a stream of records that ends; see `windows`."""
+    folder = folder or stream_folder(records)
+    ended, finish = _with_ends([records], None, folder)
+    windows = WindowPercentiles(records.sparkSession, folder, metric, size, delay, slide)
+    windows.start(ended[0]).awaitTermination()
+    finish()
+    windows.start(ended[0]).awaitTermination()
+    return windows.percentiles(probs)
 
 
 def alerts(levels: DataFrame, min_samples: int) -> DataFrame:
