@@ -185,6 +185,40 @@ def test_shared_passages_equal_brute_force(odd, none):
         suffixes.shared_passages(none, length=20)
 
 
+@pytest.fixture(scope="module")
+def looping(spark):
+    """Texts that repeat passages within themselves, alone and with others, and rows without an id."""
+    noise = random.Random(12)
+    loops = [" ".join(f"p{k}w{i}" for i in range(size)) for k, size in enumerate((3, 9, 20, 60))]
+    rows = []
+    for number in range(40):
+        parts = [noise.choice(loops) for _ in range(noise.randint(0, 6))] + [" ".join(f"own{number}x{i}" for i in range(noise.randint(0, 30)))]
+        parts += [f"only{number} words here again and again {number}"] * noise.choice([0, 12])
+        noise.shuffle(parts)
+        rows.append((number if number % 9 else 3, " ".join(parts)))
+    rows += [(None, loops[3] * 2)] * 30
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("length", [13, 5])
+def test_passages_that_repeat_within_texts(looping, length):
+    rows = [(r["doc_id"], r["text"]) for r in looping.collect()]
+    marks = [(str(i), t, [n for n, gone in enumerate(later) if gone]) for (i, t), (_, _, later) in zip(rows, brute_runs(rows, length))]
+    found = repeats.remove_repeats(looping, length=length, seed=min(5, length - 1)).collect()
+    got = []
+    for r in found:
+        gone = [x for run in r["removed"] for x in range(run["start"], run["end"])]
+        got.append((str(r["doc_id"]), r["text"], gone))
+    assert sorted(got, key=repr) == sorted(marks, key=repr)
+
+
+def test_shared_passages_that_repeat_within_texts(looping):
+    rows = [(r["doc_id"], r["text"]) for r in looping.collect()]
+    expected = sorted((str(i), sum(later), sum(shared)) for (i, _), (_, shared, later) in zip(rows, brute_runs(rows, 50)))
+    found = sorted((str(r["doc_id"]), r["n_later"], r["n_shared"]) for r in suffixes.shared_passages(looping).collect())
+    assert found == expected
+
+
 def test_exact_copies(odd):
     found = {r["doc_id"]: (len(r["copied"]), len(r["later"])) for r in copies.exact_copies(odd).collect()}
     assert found == {1: (1, 0), 7: (1, 1)}
