@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.copies import exact_copies, holds
-from tidegauge.llm.words import U, Words, chain, mix, selected, signed, steps
+from tidegauge.llm.words import U, Words, alike_in_text, chain, first_of_text, mix, selected, signed, steps
 
 LENGTH, DEPTH, GRAM, WIDTH = 50, 25, 8, 18
 # A place is one long: 16 bits of a second hash, 40 bits of word number, "repeats", "has an earlier copy".
@@ -84,8 +84,12 @@ def retained(docs: DataFrame, length: int, depth: int, gram: int, width: int) ->
             owner = np.searchsorted(words.firsts, spot, side="right") - 1
             long = words.counts()[owner] >= length
             spot, owner = spot[long], owner[long]
+            key, other = chain(hashes, depth)[spot], _second(hashes, depth)[spot]
+            # A suffix that a text repeats is told once: `windows` finds the others in the text.
+            once = first_of_text(owner, key, other)
+            spot, owner, key, other = spot[once], owner[once], key[once], other[once]
             ids, word = np.asarray(batch.column("doc_id"))[owner], spot - words.firsts[owner]
-            yield _decided(chain(hashes, depth)[spot], _second(hashes, depth)[spot], ids, word)
+            yield _decided(key, other, ids, word)
 
     return docs.mapInArrow(find, _ROWS)
 
@@ -105,13 +109,18 @@ def windows(matched: DataFrame, length: int, depth: int) -> DataFrame:
             whole = chain(hashes, length)
             if not len(word) or not len(whole):
                 continue
+            spot = alike_in_text(words, hashes, depth, word + words.firsts[owner])
+            owner = words.owners()[spot]
             wanted = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(wanted, np.maximum(word - (length - depth), 0) + words.firsts[owner], 1)
-            np.add.at(wanted, word + words.firsts[owner] + 1, -1)
+            np.add.at(wanted, np.maximum(spot - (length - depth), words.firsts[owner]), 1)
+            np.add.at(wanted, spot + 1, -1)
             start = np.flatnonzero((np.cumsum(wanted)[: len(whole)] > 0) & words.windows(length)[: len(whole)])
             owner = np.searchsorted(words.firsts, start, side="right") - 1
+            key, other = whole[start], _second(hashes, length)[start]
+            once = first_of_text(owner, key, other)
+            start, owner, key, other = start[once], owner[once], key[once], other[once]
             ids, word = np.asarray(batch.column("doc_id"))[owner], start - words.firsts[owner]
-            yield _decided(whole[start], _second(hashes, length)[start], ids, word)
+            yield _decided(key, other, ids, word)
 
     return matched.mapInArrow(extend, _ROWS)
 
@@ -173,7 +182,7 @@ def shared_passages(
     names = ("n_words", "n_shared", "n_later", "passages")
     rest = docs.drop(*names, "places", "starts", "copied", "later")
     # All joins with the texts read this one exchange.
-    dealt = rest.repartition("doc_id")
+    dealt = rest.filter("doc_id is not null").repartition("doc_id")
     marked = dealt.join(exact_copies(rest, text), "doc_id", "left")
     marked = marked.withColumns({"copied": holds("copied", text), "later": holds("later", text)})
     needed = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")]
@@ -195,12 +204,14 @@ def shared_passages(
             # The second hash tells which of several texts under one id a window is of.
             inside = begin + length <= words.counts()[owner]
             begin, flat = begin[inside] + words.firsts[owner[inside]], flat[inside]
+            hashes = words.hashes()
             if len(begin):
-                mine = _second(words.hashes(), length)[begin] == flat >> U(_WORD + _FLAGS)
+                mine = _second(hashes, length)[begin] == flat >> U(_WORD + _FLAGS)
                 begin, flat = begin[mine], flat[mine]
             long = words.counts() >= length
             masks = []
             for spots, whole in ((begin, "copied"), (begin[(flat & U(2)) > 0], "later")):
+                spots = alike_in_text(words, hashes, length, spots)
                 edges = np.bincount(spots, minlength=len(words) + 1) - np.bincount(spots + length, minlength=len(words) + 1)
                 all_of = (np.asarray(batch.column(whole).cast(pa.int8())) > 0) & long
                 masks.append((np.cumsum(edges)[: len(words)] > 0) | np.repeat(all_of, words.counts()))
@@ -220,4 +231,6 @@ def shared_passages(
 
     out = "n_words bigint, n_shared bigint, n_later bigint, passages array<struct<start:bigint,end:bigint,later:bigint>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), out])
-    return marked.join(starts, "doc_id", "left").mapInArrow(cover, schema)
+    # Rows without an id stay where they are read.
+    alone = rest.filter("doc_id is null").withColumns({"copied": F.lit(False), "later": F.lit(False)})
+    return marked.join(starts, "doc_id", "left").unionByName(alone, allowMissingColumns=True).mapInArrow(cover, schema)

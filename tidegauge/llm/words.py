@@ -114,6 +114,24 @@ def chain(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def first_of_text(owners: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The first row of each text and key, in the order of the rows."""
+    order = np.lexsort((np.arange(len(owners)), *keys, owners))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.any([key[order][1:] != key[order][:-1] for key in (owners, *keys)], axis=0)
+    return np.sort(order[fresh])
+
+
+def alike_in_text(words: Words, hashes: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """All starts of runs of `size` words that equal one of those at `starts` within the same text."""
+    if not len(starts):
+        return starts
+    whole = chain(hashes, size)
+    own = whole ^ mix(words.owners()[: len(whole)].astype(np.uint64) + U(1))
+    inside = words.windows(size)[: len(whole)]
+    return np.flatnonzero(np.isin(own, np.unique(own[starts])) & inside)
+
+
 def sliding_least(hashes: np.ndarray, width: int) -> np.ndarray:
     """The least of any `width` (64 at most) neighbours; its low 6 bits tell the place modulo 64."""
     if len(hashes) < width:
