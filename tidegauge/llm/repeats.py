@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.copies import exact_copies, holds
-from tidegauge.llm.words import U, Words, chain, mix, selected, signed, sliding_least, steps
+from tidegauge.llm.words import U, Words, alike_in_text, chain, first_of_text, mix, selected, signed, sliding_least, steps
 
 LENGTH = 13
 SEED = 5
@@ -70,6 +70,9 @@ def anchors(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
             owner = np.searchsorted(words.firsts, spot, side="right") - 1
             long = words.counts()[owner] >= length
             spot, owner = spot[long], owner[long]
+            # An anchor that a text repeats is told once: `extensions` finds the others in the text.
+            once = first_of_text(owner, grams[spot])
+            spot, owner = spot[once], owner[once]
             ids = _ids(batch)[owner]
             place = (spot - words.firsts[owner]).astype(np.uint64) << U(1)
             key = grams[spot]
@@ -126,8 +129,11 @@ def extensions(matched: DataFrame, text: str, length: int, seed: int) -> DataFra
             own = np.arange(len(least)) + (((least & U(63)).astype(np.int64) - np.arange(len(least))) & 63)
             start = np.flatnonzero(shared[own] & words.windows(length)[: len(own)])
             owner = np.searchsorted(words.firsts, start, side="right") - 1
-            key, ids = whole[start], _ids(batch)[owner]
-            other = _second(hashes, length)[start]
+            other = _second(hashes, length)
+            # So is a window that a text repeats: the verdict holds for all of them.
+            once = first_of_text(owner, whole[start], other[start])
+            start, owner = start[once], owner[once]
+            key, ids, other = whole[start], _ids(batch)[owner], other[start]
             place = (other << U(_WORD + 1)) | ((start - words.firsts[owner]).astype(np.uint64) << U(1))
             order = np.lexsort((ids, other, key))
             group = _borders(key[order], other[order])
@@ -174,10 +180,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     names = ("n_words", "n_removed", "removed", "kept_text")
     rest = docs.drop(*names, "starts", "places", "copied", "later")
     # All joins with the texts read this one exchange.
-    dealt = rest.repartition("doc_id")
+    dealt = rest.filter("doc_id is not null").repartition("doc_id")
     marked = dealt.join(exact_copies(rest, text), "doc_id", "left").withColumn("later", holds("later", text))
     starts = repeated_windows(marked.filter("not later"), dealt, text, length, seed)
     joined = marked.join(starts, "doc_id", "left")
+    # Rows without an id stay where they are read.
+    alone = rest.filter("doc_id is null").withColumn("later", F.lit(False))
+    joined = joined.unionByName(alone, allowMissingColumns=True)
     kept, out = rest.columns, "n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -192,7 +201,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
             inside = begin + length <= words.counts()[owner]
             begin = begin[inside] + words.firsts[owner[inside]]
             if len(begin):
-                begin = begin[_second(words.hashes(), length)[begin] == flat[inside] >> U(_WORD)]
+                hashes = words.hashes()
+                begin = alike_in_text(words, hashes, length, begin[_second(hashes, length)[begin] == flat[inside] >> U(_WORD)])
             cover = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + length, -1)
