@@ -147,3 +147,20 @@ def panels_of(rows, panel, dense):
     from tidegauge.operators import panels
 
     return {(r["x"], r["series"]): (r["x_position"], r["g_position"], r["value"]) for r in panels.compute_panel(rows, panel, dense=dense).collect()}
+
+
+def test_panels_from_a_file(spark, tmp_path):
+    from tidegauge.sources import readers
+
+    starter = [{"title": p.title, "x": p.x, "group": p.group, "values": [{"metric": v.metric, "agg": v.agg} for v in p.values]} for p in panels.STARTER_PANELS]
+    (tmp_path / "array.json").write_text(json.dumps(starter, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, starter)))
+    for name in ("array.json", "lines.json"):
+        assert tuple(panels.panels_of(readers.read_panel_definitions(spark, str(tmp_path / name)))) == panels.STARTER_PANELS
+    (tmp_path / "short.json").write_text('[{"x": "model", "values": [{"metric": "rps"}], "chart": "bar"}]')
+    (one,) = panels.panels_of(readers.read_panel_definitions(spark, str(tmp_path / "short.json")))
+    assert one == Panel("Panel 1", "model", (Value("rps", "p50"),), None, "bar")
+    for text, reason in (('[{"x": "model", "values": [{"metric": "speed"}]}]', "unknown metric"), ('[{"x": "model"}]', "at least one value"), ("[]", "at least one panel"), ('[{"values": []}]', "no dimension")):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(PanelError, match=reason):
+            panels.panels_of(readers.read_panel_definitions(spark, str(tmp_path / "bad.json")))

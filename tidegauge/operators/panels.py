@@ -1,7 +1,7 @@
 """Dashboard panels: pivot steady successes of each run into chart series.
 
 All panels of a dashboard are computed by one aggregation and one percentile pass. Results are long rows `(panel, run_id, series, x, x_position,
-value, chart)`; the grid of every x with every group is dense.
+g_position, value, chart)`; the grid of every x with every group is dense unless asked otherwise.
 """
 
 from __future__ import annotations
@@ -78,6 +78,56 @@ STARTER_PANELS = (
 )
 
 
+# -- definitions in a table -------------------------------------------------------
+
+def check_definitions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Panel definitions (`schemas.PANEL_DDL`) with defaults filled in, and the rejected ones with the first `reason`.
+
+    A missing title is the panel's number, a missing chart `auto`, a missing aggregate `p50`; an empty
+    group is none.
+    """
+    filled = rows.select(
+        "position",
+        F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Panel "), F.col("position").cast("string"))).alias("title"),
+        F.coalesce("x", F.lit("")).alias("x"),
+        F.nullif("group", F.lit("")).alias("group"),
+        F.coalesce(F.nullif("chart", F.lit("")), F.lit("auto")).alias("chart"),
+        F.transform(
+            F.coalesce("values", F.array().cast("array<struct<metric:string,agg:string>>")),
+            lambda v: F.struct(F.coalesce(v["metric"], F.lit("")).alias("metric"), F.coalesce(F.nullif(v["agg"], F.lit("")), F.lit("p50")).alias("agg")),
+        ).alias("values"),
+    )
+    metrics = [*fixed.PANEL_METRICS, *fixed.PANEL_RATES]
+    reason = (
+        F.when(~F.col("x").isin(*fixed.PANEL_DIMENSIONS), "x is no dimension")
+        .when(F.col("group").isNotNull() & ~F.col("group").isin(*fixed.PANEL_DIMENSIONS), "group is no dimension")
+        .when(~F.col("chart").isin("line", "bar", "auto"), "chart must be line, bar or auto")
+        .when(F.size("values") == 0, "at least one value is needed")
+        .when(F.exists("values", lambda v: ~v["metric"].isin(*metrics)), "unknown metric")
+        .when(F.exists("values", lambda v: ~v["agg"].isin(*fixed.PANEL_AGGREGATES)), "unknown aggregate")
+    )
+    checked = filled.withColumn("reason", reason)
+    return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
+
+
+def panels_of(rows: DataFrame) -> list[Panel]:
+    """Panels of a definition table, in order. The first rejected definition is a `PanelError`.
+
+    One row per panel reaches the driver.
+    """
+    good, bad = check_definitions(rows)
+    first = bad.orderBy("position", "title").first()
+    if first:
+        raise PanelError(f"panel {first['title']!r}: {first['reason']}")
+    found = [
+        Panel(row["title"], row["x"], tuple(Value(v["metric"], v["agg"]) for v in row["values"]), row["group"], row["chart"])
+        for row in good.orderBy("position", "title").collect()
+    ]
+    if not found:
+        raise PanelError("a dashboard needs at least one panel")
+    return found
+
+
 # -- cells -----------------------------------------------------------------------
 
 

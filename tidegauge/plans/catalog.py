@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -665,6 +666,34 @@ def axis_order(wb: Workbench) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def dash_from_file(wb: Workbench) -> DataFrame:
+    """The starter dashboard from its definitions, written as one JSON array and read again."""
+    path = wb.folder("dashboard") + ".json"
+    panel = lambda p: {"title": p.title, "x": p.x, "values": [{"metric": v.metric, "agg": v.agg} for v in p.values]} | ({"group": p.group} if p.group else {})
+    text = json.dumps([panel(p) for p in panels.STARTER_PANELS], indent=1)
+    wb.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return panels.compute_panels(wb.scored, panels.panels_of(readers.read_panel_definitions(wb.spark, path)))
+
+
+@query
+def panel_definitions(wb: Workbench) -> DataFrame:
+    """Definitions that may be used and those that may not: one per customer, some wrong."""
+    rows = wb.fx.table("customer").selectExpr(
+        "cast(c_custkey as int) as position", "case when c_custkey % 3 = 0 then '' else c_name end as title",
+        "case c_nationkey % 4 when 0 then 'model' when 1 then 'level_or_rate' when 2 then 'nothing' end as x",
+        "case c_custkey % 5 when 0 then 'isl_bucket' when 1 then '' when 2 then 'other' end as `group`",
+        "case c_custkey % 7 when 0 then 'line' when 1 then 'pie' end as chart",
+        "case when c_custkey % 11 <> 0 then array(named_struct('metric', case when c_custkey % 13 = 0 then 'speed' else 'ttft' end, "
+        "'agg', case c_custkey % 17 when 0 then 'median' when 1 then 'p99' end)) end as `values`",
+    )
+    good, bad = panels.check_definitions(rows)
+    agg = F.get("values", F.lit(0))["agg"].alias("agg")
+    return good.select("position", "title", "x", "group", "chart", agg, F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("position", "title", "x", "group", "chart", agg, "reason")
+    )
+
+
 @query
 def panel_sparse(wb: Workbench) -> DataFrame:
     """One series per prompt: only the points that exist, in the order of both axes."""

@@ -652,6 +652,18 @@ ORACLES: dict[str, str] = {
     + "select 'level_or_rate' as dimension, * from (" + _axis("ss", "level_or_rate", True) + ") union all select 'isl_bucket', * from ("
     + _axis("ss", "isl_bucket", False) + ") union all select 'category', * from (" + _axis("ss", "category", False) + ") union all select 'prompt_id', * from (" + _axis("ss", "prompt_id", False) + ")",
     "panel_sparse": BASE + _sparse(),
+    "dash_from_file": BASE + _dash(),
+    "panel_definitions": """with d as (select cast(c_custkey as integer) as position,
+        case when c_custkey % 3 = 0 then 'Panel ' || c_custkey else c_name end as title,
+        coalesce(case c_nationkey % 4 when 0 then 'model' when 1 then 'level_or_rate' when 2 then 'nothing' end, '') as x,
+        case c_custkey % 5 when 0 then 'isl_bucket' when 2 then 'other' end as "group",
+        coalesce(case c_custkey % 7 when 0 then 'line' when 1 then 'pie' end, 'auto') as chart,
+        case when c_custkey % 11 <> 0 then case when c_custkey % 13 = 0 then 'speed' else 'ttft' end end as metric,
+        case when c_custkey % 11 <> 0 then coalesce(case c_custkey % 17 when 0 then 'median' when 1 then 'p99' end, 'p50') end as agg from customer)
+      select position, title, x, "group", chart, agg, case when x not in ('model', 'level_or_rate') then 'x is no dimension'
+        when "group" = 'other' then 'group is no dimension' when chart = 'pie' then 'chart must be line, bar or auto'
+        when metric is null then 'at least one value is needed' when metric = 'speed' then 'unknown metric' when agg = 'median' then 'unknown aggregate' end as reason
+      from d""",
     "distinct_axis": BASE + "select distinct run_id, prompt_id as x from ss",
     "series_name": BASE + "select distinct run_id, 'ttft p99 (ms) [' || cast(level_or_rate as varchar) || ']' as series from ss",
     "chart_kind": BASE + "select distinct run_id, dimension, chart from ss, (values ('level_or_rate', 'line'), ('isl_bucket', 'bar')) as d(dimension, chart)",

@@ -40,6 +40,9 @@ tools array<string>, tool_results map<string,string>
 
 TOOL_CALL_DDL = "run_id string, seq bigint, tool string, arguments string, result string"
 
+# One row per panel; `position` orders them.
+PANEL_DDL = "position int, title string, x string, `group` string, chart string, `values` array<struct<metric:string,agg:string>>"
+
 SPAN_DDL = """
 name string, trace_id string, span_id string, parent_span_id string, start_time bigint,
 end_time bigint, status string, attributes map<string,string>

@@ -42,7 +42,12 @@ def _kind(value: Column) -> Column:
 
 
 def json_objects(spark: SparkSession, path: str) -> DataFrame:
-    """One variant column `_object`: the objects of the JSON files at `path`.
+    """One variant column `_object`, the objects of the JSON files at `path`; see `json_items`."""
+    return json_items(spark, path).select("_object")
+
+
+def json_items(spark: SparkSession, path: str) -> DataFrame:
+    """`_object` and `_position`: the objects of the JSON files at `path`, and numbers that rise in a file.
 
     In a file of lines every line that is an object is a row, and other lines are left out. A file
     without such a line, or with lines that only open, close or continue something, may be one
@@ -58,9 +63,9 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     )
     # Names of files that may be single documents; there is one value to read from each.
     maybe = [row["_path"] for row in facts.filter("filled > 0 and (objects = 0 or open > 0)").select("_path").collect()]
-    rows = parsed.filter(F.col("_object").isNotNull()).select("_path", "_object")
+    rows = parsed.filter(F.col("_object").isNotNull()).select("_path", "_object").withColumn("_position", F.monotonically_increasing_id() + 1)
     if not maybe:
-        return rows.select("_object")
+        return rows.select("_object", "_position")
     # A parser stops after the first value of a text, so a first line that is one itself must be the only one.
     body = F.regexp_replace("value", r"^\s+|\s+$", "")
     single = _lenient(F.regexp_extract(body, r"^[^\n]*", 0)).isNull() | ~body.contains("\n")
@@ -68,9 +73,11 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     shape = F.regexp_extract(F.schema_of_variant("_value"), "^[A-Z]+", 0)
     documents = files.filter("_single").filter(shape.isin("OBJECT", "ARRAY"))
     elements = F.when(shape == "ARRAY", F.try_variant_get("_value", "$", _ARRAY)).otherwise(F.array("_value"))
-    found = documents.select(F.explode(elements).alias("_object")).filter(F.schema_of_variant("_object").startswith("OBJECT"))
+    found = documents.select(F.posexplode(elements).alias("_at", "_object")).filter(F.schema_of_variant("_object").startswith("OBJECT"))
+    found = found.select("_object", (F.col("_at") + 1).cast("long").alias("_position"))
     names = [row["_path"] for row in documents.select("_path").collect()]
-    return rows.filter(~F.col("_path").isin(names)).select("_object").unionAll(found) if names else rows.select("_object")
+    rest = rows.filter(~F.col("_path").isin(names)) if names else rows
+    return rest.select("_object", "_position").unionAll(found)
 
 
 @dataclass

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidegauge import schemas
 from tidegauge.functions import scalars
 from tidegauge.functions.ends import until_end
-from tidegauge.sources.json_tables import BARE, lenient_object, read_json_table
+from tidegauge.sources.json_tables import BARE, json_items, lenient_object, read_json_table
 
 _NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
@@ -91,6 +91,17 @@ def read_own_columns(spark: SparkSession, path: str) -> DataFrame:
     return read_raw(spark, path) if found is None else found
 
 
+def read_panel_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """Panel definitions (`schemas.PANEL_DDL`) from JSON: an array, one object a line, or an object per file.
+
+    Objects without a `position` of their own take their place in the file.
+    """
+    items = json_items(spark, path)
+    fields = schemas.schema(schemas.PANEL_DDL)
+    typed = [F.try_variant_get("_object", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields if f.name != "position"]
+    return items.select(F.coalesce(F.try_variant_get("_object", "$.position", "int"), F.col("_position").cast("int")).alias("position"), *typed)
+
+
 def list_runs(spark: SparkSession, root: str, summary: str = "summary.json") -> DataFrame:
     """Names of the runs under `root` that have a summary (a file or a folder of files), newest first."""
     try:
