@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tidegauge.functions.sizing import remove_settled
 from tidegauge.plans.catalog import QUERIES
 from tidegauge.plans.workbench import workbench
 
@@ -51,6 +52,7 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     scale = os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline queries, total wall time", "value": total, "unit": "sec", "queries": times, "sf": scale}))
+    remove_settled(spark)
     spark.stop()
 
 

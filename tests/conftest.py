@@ -23,6 +23,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tidegauge.functions.sizing import remove_settled
+
+    remove_settled(session)
     session.stop()
 
 

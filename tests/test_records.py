@@ -212,3 +212,24 @@ def test_the_gate_grows_with_runs_and_prompts(spark):
     by = {(r["run_id"], r["skip_reason"]): r["count"] for r in pairs.groupBy("run_id", "skip_reason").count().collect()}
     assert counted == {f"r{i}": (by.get((f"r{i}", "tools_unsupported"), 0), by.get((f"r{i}", "vision_unsupported"), 0)) for i in range(50)}
     assert gate.expand("r3").count() == 600
+
+
+@pytest.mark.parametrize("size", [1, 3, 10_000])
+def test_tool_calls_in_parts_of_any_size(spark, size):
+    rows = [("a", i, [(i % 2, "" if i % 5 else f"n{i}", f"<{i}>"), (0, None, "x" if i % 3 else None)]) for i in (7, 2, 9, 0, 4, 11, 5)]
+    chunks = spark.createDataFrame(rows, "request_id string, seq bigint, tool_calls array<struct<index:int,name:string,arguments:string>>")
+    found = {r["index"]: (r["name"], r["arguments"]) for r in tools.merge_tool_calls(chunks, size=size).collect()}
+    expected = {0: ["", ""], 1: ["", ""]}
+    for _, _, calls in sorted(rows, key=lambda r: r[1]):
+        for index, name, text in calls:
+            expected[index] = [name or expected[index][0], expected[index][1] + (text or "")]
+    assert found == {k: tuple(v) for k, v in expected.items()}
+
+
+def test_settled_tables_can_be_removed(spark):
+    import os
+
+    from tidegauge.functions.sizing import session_folder, settle
+
+    path = session_folder(spark).removeprefix("file:")
+    assert settle(spark.range(3)).count() == 3 and os.listdir(path)

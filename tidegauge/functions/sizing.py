@@ -28,14 +28,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session writes what it settles."""
+    return f"{checkpoint_root(spark)}/tidegauge/{spark.sparkContext.applicationId}"
+
+
+def remove_settled(spark: SparkSession) -> bool:
+    """Remove all that this session has settled; to be called when none of its tables is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     The lineage is cut, a lost executor costs no recomputation, and later passes
-    prune columns and push filters into the written files.
+    prune columns and push filters into the written files. The files stay until
+    `remove_settled` is called.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tidegauge/{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,24 +10,39 @@ from pyspark.sql import functions as F
 from tidegauge.functions import fixed, scalars
 from tidegauge.functions.ends import until_end
 from tidegauge.functions.sizing import broadcast_if_small, settle
+from tidegauge.operators.records import PART_CHUNKS
 
 # -- tool calls ----------------------------------------------------------------
 
 
-def merge_tool_calls(chunks: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """Assemble streamed tool-call pieces up to the end of the stream: last name that is not empty, arguments in order.
+def tool_call_parts(chunks: DataFrame, size: int = PART_CHUNKS, ends: DataFrame | None = None) -> DataFrame:
+    """Streamed tool-call pieces up to the end of the stream, put together in parts of `size` positions.
 
-    `ends` is a result of `functions.ends.stream_ends`; without it, it is made here.
+    `(request_id, index, part, name, named_at, arguments)`: the last name that is not empty with its
+    place, and the part's arguments in order. A call of any length is spread over its parts. `ends` is
+    a result of `functions.ends.stream_ends`; without it, it is made here.
     """
     pieces = until_end(chunks, ends).select("request_id", "seq", F.posexplode("tool_calls").alias("place", "call")).select(
         "request_id", "seq", "place", F.coalesce("call.index", F.lit(0)).alias("index"), "call.name", "call.arguments"
     )
     position = F.struct("seq", "place")
-    named = F.coalesce(F.col("name") != "", F.lit(False))
+    named = F.when(F.coalesce(F.col("name") != "", F.lit(False)), position)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "place", F.coalesce("arguments", F.lit("")).alias("text"))))
-    return pieces.groupBy("request_id", "index").agg(
-        F.coalesce(F.max_by("name", F.when(named, position)), F.lit("")).alias("name"),
-        F.array_join(F.transform(ordered, lambda piece: piece["text"]), "").alias("arguments"),
+    part = F.floor(F.col("seq") / size).alias("part")
+    return pieces.groupBy("request_id", "index", part).agg(
+        F.max_by("name", named).alias("name"), F.max(named).alias("named_at"), F.array_join(F.transform(ordered, lambda piece: piece["text"]), "").alias("arguments")
+    )
+
+
+def merge_tool_calls(chunks: DataFrame, ends: DataFrame | None = None, size: int = PART_CHUNKS) -> DataFrame:
+    """Assemble streamed tool-call pieces: last name that is not empty, arguments in order, as one cell per call.
+
+    Use `tool_call_parts` for arguments that no cell holds.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("part", "arguments")))
+    return tool_call_parts(chunks, size, ends).groupBy("request_id", "index").agg(
+        F.coalesce(F.max_by("name", "named_at"), F.lit("")).alias("name"),
+        F.array_join(F.transform(ordered, lambda piece: piece["arguments"]), "").alias("arguments"),
     )
 
 

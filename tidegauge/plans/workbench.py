@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.functions.ends import stream_ends
-from tidegauge.functions.sizing import checkpoint_root, settle
+from tidegauge.functions.sizing import session_folder, settle
 from tidegauge.operators import levels as lv
 from tidegauge.operators import quality
 from tidegauge.operators import records as rec
@@ -70,7 +70,7 @@ class Workbench:
         """A fresh path in the shared folder."""
         import uuid
 
-        return f"{checkpoint_root(self.spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
+        return f"{session_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _benches: dict[tuple[str, str], Workbench] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions import fixed
-from tidegauge.functions.sizing import checkpoint_root
+from tidegauge.functions.sizing import session_folder
 from tidegauge.operators.levels import add_reliability
 from tidegauge.streaming.assembly import Assembly
 from tidegauge.streaming.ledger import Ledger
@@ -24,7 +24,7 @@ from tidegauge.streaming.windows import WindowPercentiles
 
 
 def stream_folder(df: DataFrame, name: str = "stream") -> str:
-    return f"{checkpoint_root(df.sparkSession)}/tidegauge/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 def start_to_files(stream: DataFrame, folder: str) -> StreamingQuery:
