@@ -17,8 +17,7 @@ WARMUP = "warmup"
 STEADY = "steady"
 COOLDOWN = "cooldown"
 
-# Load modes.
-CLOSED = "closed"
+# The load mode with rules of its own.
 OPEN = "open"
 
 # HTTP status codes with a meaning of their own.
@@ -39,10 +38,9 @@ INPUT_BUCKET_LIMITS = (256, 1024)
 OUTPUT_BUCKET_LIMITS = (32, 256)
 BUCKETS = ("short", "medium", "long")
 
-# Prompt defaults and categories.
+# Prompt defaults.
 DEFAULT_CATEGORY = "general"
 DEFAULT_INPUT_BUCKET = "short"
-CATEGORIES = ("coding", "synthesis", "tool-use", "vision", "general")
 
 # Durations: a number with an optional unit, seconds when there is none.
 DURATION_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*(ms|s|m|h)?\s*$"
@@ -97,7 +95,3 @@ PANEL_RATES = {"rps": "req/s", "system_tok_s": "tok/s"}
 PANEL_PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 PANEL_AGGREGATES = ("p50", "p90", "p95", "p99", "mean", "max", "min", "count")
 UNITS_IN_SERIES_NAMES = ("ms", "usd")
-
-# Span name and attribute keys in the span log.
-SPAN_NAME = "llm.call"
-SPAN_ATTRIBUTES = ("llm.model", "llm.category", "llm.outcome", "llm.duration_s", "llm.output_tokens", "llm.prompt_tokens")
