@@ -237,3 +237,22 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
     assert kept == {"a clean text of the same id", "clean too"}
+
+
+def test_recall_of_near_copies_at_the_edge(spark):
+    """Pairs with a similarity of 0.8 to 0.86 and no other link between them."""
+    from tidegauge.llm import near_copies
+
+    noise, rows = random.Random(23), []
+    for pair in range(500):
+        words = [f"w{noise.randrange(10**7)}" for _ in range(200)]
+        other = list(words)
+        edits = 3 + pair % 2
+        for at in noise.sample(range(4, 196, 8), edits):  # each edit breaks five shingles of its own
+            other[at] = f"e{noise.randrange(10**7)}"
+        similarity = (196 - 5 * edits) / (196 + 5 * edits)
+        assert 0.8 <= similarity <= 0.87
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    found = {r["doc_id"]: r["root"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * pair] == found[2 * pair + 1] for pair in range(500)) >= 495
+    assert len(set(found.values())) >= 500
