@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.sizing import settle
 from tidegauge.llm.words import MARKS, U, Words, chain, steps
 
 LEAST = 4
@@ -68,6 +69,18 @@ class Block:
         return maybe[self.seeds[at] == grams[maybe]] if len(self.seeds) else maybe[:0]
 
 
+def agreement(item: np.ndarray, text: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How many words agree from each pair of places on, by running hashes of 2^k words, longest first."""
+    size = np.zeros(len(here), dtype=np.int64)
+    for power in range(int(min(len(item), len(text))).bit_length() - 1, -1, -1):
+        step = 1 << power
+        a, b = chain(item, step), chain(text, step)
+        x, y = here + size, there + size
+        fits = np.flatnonzero((x < len(a)) & (y < len(b)))
+        size[fits[a[x[fits]] == b[y[fits]]]] += step
+    return size
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of two hashed word sequences: (start in item, start in text, words).
 
@@ -76,24 +89,27 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     """
     if len(item) < least or len(text) < least:
         return []
-    starts = defaultdict(list)
-    for place, gram in enumerate(chain(item, least).tolist()):
-        starts[gram].append(place)
-    heap: list[tuple[int, int, int]] = []
+    # Where runs of `least` words agree, but not the words before them: there a longest run begins.
+    # Places of a gram are grouped by the word before, so a word repeated n times in either side
+    # makes pairs in proportion to n, not to its square.
+    starts: dict[int, dict[int | None, list[int]]] = defaultdict(lambda: defaultdict(list))
     a, b = item.tolist(), text.tolist()
-    for there, gram in enumerate(chain(text, least).tolist()):
-        for here in starts.get(gram, ()):
-            if here and there and a[here - 1] == b[there - 1]:
-                continue  # a longer run began earlier
-            size = 0
-            while here + size < len(a) and there + size < len(b) and a[here + size] == b[there + size]:
-                size += 1
-            if size >= least:
-                heap.append((-size, here, there))
+    for place, gram in enumerate(chain(item, least).tolist()):
+        starts[gram][a[place - 1] if place else None].append(place)
+    here, there = [], []
+    for place, gram in enumerate(chain(text, least).tolist()):
+        if gram in starts:
+            last = b[place - 1] if place else None
+            for before, places in starts[gram].items():
+                if last is None or before != last:
+                    here += places
+                    there += [place] * len(places)
+    size = agreement(item, text, np.array(here, dtype=np.int64), np.array(there, dtype=np.int64))
+    heap = [(-n, x, y) for n, x, y in zip(size.tolist(), here, there) if n >= least]
     heapq.heapify(heap)
     used_a, used_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
     found = []
-    while heap:
+    while heap and not used_a.all():
         size, here, there = heapq.heappop(heap)
         free = ~(used_a[here : here - size] | used_b[there : there - size])
         if free.all():
@@ -137,10 +153,13 @@ def contaminated(
 
     `benchmark` has `item_id` and `text`. Items of fewer than `least` words (or null) prove
     nothing and leak nowhere. Null and empty documents leak nothing. Repeated
-    documents and repeated items give a row each. Other columns of either table play no part.
+    documents and repeated items give a row each. Ties between equally long tiles go to the first
+    place in the item, then in the text. An empty table of either kind gives an empty result. Texts
+    of any length are read whole, in one piece. Other columns of either table play no part.
     """
-    blocks = _blocks(benchmark, block_words)
-    return reduce(DataFrame.unionAll, [_block_leaks(docs, rows, benchmark, text, least, threshold) for rows in blocks])
+    # One block after the other: its leaks are written before the next block is held.
+    found = [settle(_block_leaks(docs, rows, benchmark, text, least, threshold)) for rows in _blocks(benchmark, block_words)]
+    return reduce(DataFrame.unionAll, found)
 
 
 def without_leaks(
@@ -151,8 +170,8 @@ def without_leaks(
     Each row is judged by its own text, whatever its id, in the pass that finds the leaks:
     nothing is joined or shuffled. What leaks is told at `contaminated`.
     """
-    for rows in _blocks(benchmark, block_words):
-        docs = _block_clean(docs, rows, text, least, threshold)
+    for number, rows in enumerate(_blocks(benchmark, block_words)):
+        docs = _block_clean(settle(docs) if number else docs, rows, text, least, threshold)
     return docs
 
 
