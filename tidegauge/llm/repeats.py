@@ -184,9 +184,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     marked = dealt.join(exact_copies(rest, text), "doc_id", "left").withColumn("later", holds("later", text))
     starts = repeated_windows(marked.filter("not later"), dealt, text, length, seed)
     joined = marked.join(starts, "doc_id", "left")
-    # Rows without an id stay where they are read.
-    alone = rest.filter("doc_id is null").withColumn("later", F.lit(False))
-    joined = joined.unionByName(alone, allowMissingColumns=True)
+    # Rows without an id stay where they are read; apart, so that the joins share their exchange.
+    alone = rest.filter("doc_id is null").withColumns({"later": F.lit(False), "starts": F.lit(None).cast("array<bigint>")})
     kept, out = rest.columns, "n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -228,4 +227,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), *made], names=[*kept, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), out])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).unionAll(alone.mapInArrow(cut, schema))

@@ -231,6 +231,6 @@ def shared_passages(
 
     out = "n_words bigint, n_shared bigint, n_later bigint, passages array<struct<start:bigint,end:bigint,later:bigint>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), out])
-    # Rows without an id stay where they are read.
-    alone = rest.filter("doc_id is null").withColumns({"copied": F.lit(False), "later": F.lit(False)})
-    return marked.join(starts, "doc_id", "left").unionByName(alone, allowMissingColumns=True).mapInArrow(cover, schema)
+    # Rows without an id stay where they are read; apart, so that the joins share their exchange.
+    alone = rest.filter("doc_id is null").withColumns({"copied": F.lit(False), "later": F.lit(False), "starts": F.lit(None).cast("array<bigint>")})
+    return marked.join(starts, "doc_id", "left").mapInArrow(cover, schema).unionAll(alone.mapInArrow(cover, schema))
