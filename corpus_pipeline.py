@@ -48,7 +48,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: that of its smallest `doc_id`.
 
-    Near copies share four fifths of their 5-word shingles. Of several rows of that id in one
+    Near copies share four fifths of their 5-word shingles: SimHash (operator 6) links those of
+    nearly equal fingerprints, MinHash those farther apart, and each link is counted exactly. Of several rows of that id in one
     component the one of the smallest text stays, then that of the least hash of its other
     columns; rows of one id in different components stay all. Rows with a null id and rows
     without words are no copies of anything and stay.

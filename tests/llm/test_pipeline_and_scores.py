@@ -256,3 +256,25 @@ def test_recall_of_near_copies_at_the_edge(spark):
     found = {r["doc_id"]: r["root"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(found[2 * pair] == found[2 * pair + 1] for pair in range(500)) >= 495
     assert len(set(found.values())) >= 500
+
+
+def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
+    """Without any MinHash round the near copies of a few bits are one component already, and no others."""
+    from tidegauge.llm import near_copies, simhash
+
+    noise, rows = random.Random(29), []
+    words = [f"w{noise.randrange(10**7)}" for _ in range(400)]
+    for doc in range(8):
+        other = list(words)
+        other[50 * doc] = f"e{doc}"
+        rows.append((doc, " ".join(other)))
+    rows += [(100 + i, " ".join(f"x{noise.randrange(10**7)}" for _ in range(60))) for i in range(4)]
+    prints = {i: simhash.fingerprint(text.encode(), near_copies.SHINGLE) for i, text in rows}
+    near = {(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3}
+    assert near and all(b < 8 for _, b in near)
+    seen = []
+    alike = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, sets: seen.append(pairs.count()) or alike(pairs, sets))
+    found = {r["doc_id"]: r["root"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen[0] == len(near)
+    assert len({found[i] for i in range(8)}) == 1 and len(set(found.values())) == 5

@@ -2,12 +2,17 @@
 
 Two texts are linked when the sets of their 5-word shingles (A-Z lowered; a shorter text is one
 shingle) have a Jaccard similarity of 0.8 or more, which is counted on the whole sets. What is
-compared comes from MinHash: 32 bands of 8 least values each, of which a pair at 0.8 shares one
+compared comes from SimHash first and then from MinHash: 32 bands of 8 least values each, of which a pair at 0.8 shares one
 with a probability of 1 - (1 - 0.8^8)^32 = 0.997, a pair at 0.5 with 0.12. Two bits of each least
 value are a sketch of 512 bits; pairs that differ in more than 80 of them are not counted, three
 and a half standard deviations more than a similarity of 0.8 gives.
 
-Equal sets are one node before any comparison. Only components are asked for, so nodes that are
+Equal sets are one node before any comparison. The first links are those of SimHash (`simhash.py`,
+operator 6, over 5-word shingles): nodes whose fingerprints differ in at most 3 bits, found by
+anchor-point covering and each counted exactly. Pairs at 0.8 differ in about 10 bits, where no
+covering of 64 bits is short, so what SimHash leaves apart is looked for by MinHash.
+
+Only components are asked for, so nodes that are
 in one component already are not compared. In rounds, each band has one leader, a node of the
 band's largest component (another one per round), and the band's nodes of other components meet
 it; the closest leader of a node's bands is compared. A round is linear, and rounds go on while
@@ -29,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.sizing import settle
+from tidegauge.llm import simhash
 from tidegauge.llm.components import components
 from tidegauge.llm.words import M1, U, Words, chain, mix, signed, steps
 
@@ -70,7 +76,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `code`, `node` (a hash of the shingle set), `n` (its size), bands and sketch of each row with words."""
+    """`doc_id`, `code`, `node` (a hash of the shingle set), `n` (its size), `bits` (SimHash), bands and sketch of each row with words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, size=STEP):
@@ -89,13 +95,15 @@ def marks(docs: DataFrame) -> DataFrame:
                 bands[:, band] = mix(bands[:, band] * M1 + least + U(band))
                 sketch[lane] |= (least & U(3)) << U(2 * (number % 32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), signed(bands.ravel()))
-            columns = [batch.column("doc_id"), batch.column("code"), signed(node), pa.array(size.astype(np.int64)), lists, *map(signed, sketch)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "code", "node", "n", "bands", *_SKETCH])
+            prints = [simhash.fingerprint(text.as_buffer().to_pybytes(), SHINGLE) for text in batch.column("text")]
+            bits = signed(np.array(prints, dtype=np.uint64))
+            columns = [batch.column("doc_id"), batch.column("code"), signed(node), pa.array(size.astype(np.int64)), bits, lists, *map(signed, sketch)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "code", "node", "n", "bits", "bands", *_SKETCH])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     lanes = ", ".join(f"{name} bigint" for name in _SKETCH)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("code")).mapInArrow(
-        find, f"doc_id {kind}, code bigint, node bigint, n bigint, bands array<bigint>, {lanes}"
+        find, f"doc_id {kind}, code bigint, node bigint, n bigint, bits bigint, bands array<bigint>, {lanes}"
     )
 
 
@@ -174,6 +182,19 @@ def _promising(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return tokens.join(live, "shingle", "left_semi").select("node").distinct()
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """`a`, `b`: nodes whose fingerprints differ in at most 3 bits, those of one fingerprint by its least node.
+
+    `nodes` has `node` and `bits`.
+    """
+    firsts = settle(nodes.groupBy("bits").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "bits").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left = firsts.select(F.col("bits").alias("a"), F.col("first").alias("x"))
+    right = firsts.select(F.col("bits").alias("b"), F.col("first").alias("y"))
+    near = simhash.links(firsts).join(left, "a").join(right, "b")
+    return same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 _FACTS = ("node", "n", "root", *_SKETCH)
 
 
@@ -223,24 +244,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = settle(marks(docs))
     nodes = settle(rows.groupBy("node").agg(
-        F.min(F.struct("doc_id", "code")).alias("lead"), *[F.first(name).alias(name) for name in ("n", "bands", *_SKETCH)]
+        F.min(F.struct("doc_id", "code", "bits")).alias("lead"), *[F.first(name).alias(name) for name in ("n", "bands", *_SKETCH)]
     ))
     # Only bands that two nodes share matter from here on.
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").select("band")
     live = settle(banded.join(shared, "band", "left_semi").join(nodes.select("node", "n", *_SKETCH), "node"))
-    wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("lead.doc_id", "lead.code", "node")
+    alike = settle(_by_simhash(nodes.select("node", F.col("lead.bits").alias("bits"))))
+    compared = live.select("node").unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
+    wanted = nodes.join(compared, "node", "left_semi").select("lead.doc_id", "lead.code", "node")
     sets = settle(_sets(docs, wanted))
 
-    links, reach, before, turn = [], None, None, 0
+    links = [settle(_alike(alike, sets))]
+    reach, before, turn = settle(components(links[0])), None, 0
     while True:
-        held = live.withColumn("root", F.col("node"))
-        if reach is not None:
-            held = live.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held = settle(_mixed(held))
+        held = settle(_mixed(live.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))))
         apart = held.filter("root != main").count()
         last = before is not None and apart > (1 - WORTH) * before
-        if links and not apart:
+        if not apart:
             break
         pairs = _the_rest(held, sets) if last else _by_leaders(held, turn)
         links.append(settle(_alike(pairs, sets)))
