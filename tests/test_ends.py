@@ -78,3 +78,20 @@ def test_lines_after_the_marker(spark):
     lines = [("a", 1, 0.1, text("hi")), ("a", 2, 0.2, "data: [DONE]"), ("a", 3, 0.3, ": keep-alive"), ("a", 4, 0.4, "data: {broken"), ("a", 5, 0.5, text("late"))]
     found = readers.parse_stream_lines(spark.createDataFrame(lines, "request_id string, seq bigint, arrival_s double, line string"))
     assert [(r["seq"], r["content"], r["done"], r["parse_ok"]) for r in found.orderBy("seq").collect()] == [(1, "hi", False, True), (2, None, True, True)]
+
+
+def test_parts_of_a_response_log_grow_with_its_rows(chunks, monkeypatch):
+    """Gaps are dealt out by request in as many parts as rows ask for, and come out the same if a request is too large for that."""
+    from tidegauge.functions import segments
+
+    row = lambda r: (r["request_id"], r["since"], r["gap"], r["n"])
+    monkeypatch.setattr(segments, "PART_ROWS", 2)
+    assert segments.key_parts(chunks, ["request_id"]) == 10
+    found = rec.inter_token_gaps(chunks)
+    assert found.rdd.getNumPartitions() == 10
+    assert rec.response_facts(chunks).rdd.getNumPartitions() == 10
+    facts = sorted(map(str, rec.response_facts(chunks).collect()))
+    assert segments.key_parts(chunks, ["request_id"], 3) is None
+    monkeypatch.setattr(segments, "BLOCK_ROWS", 1)
+    assert sorted(map(row, rec.inter_token_gaps(chunks).collect())) == sorted(map(row, found.collect()))
+    assert sorted(map(str, rec.response_facts(chunks).collect())) == facts
