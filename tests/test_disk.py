@@ -1,4 +1,4 @@
-"""What queries leave on disk: compressed lines, no shuffle files behind settled tables."""
+"""What queries leave on disk: compressed lines, no shuffle files behind the records."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.functions.sizing import CLEANUP, settle, shuffles_removed
+from tidegauge.functions.sizing import CLEANUP, shuffles_removed
 from tidegauge.plans import catalog
+from tidegauge.plans.workbench import Workbench
 from tidegauge.sources import readers, writers
 
 
@@ -48,18 +49,34 @@ def shuffle_files(spark):
     return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
 
 
-def test_settled_tables_leave_no_shuffle_files(spark):
+def small_tables(spark, path):
+    """Forty requests of up to three chunks each."""
+    lines = [(o, o % 9, o % 4, n, 1.0 + n, 9.5, 0.0, 0.02, "AN"[o % 2], "O", "p") for o in range(40) for n in range(1, 2 + o % 3)]
+    rows = {
+        "lineitem": (lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_comment string"),
+        "orders": ([(o, o % 7) for o in range(40)], "o_orderkey bigint, o_custkey bigint"),
+        "region": ([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string"),
+        "part": ([(p, f"name {p}", "Brand#1", p) for p in range(7)], "p_partkey bigint, p_name string, p_brand string, p_size int"),
+    }
+    for name, (data, ddl) in rows.items():
+        table = spark.createDataFrame(data, ddl)
+        table = table.withColumn("o_orderdate", F.lit("1996-01-02").cast("timestamp")) if name == "orders" else table
+        table.write.parquet(f"{path}/{name}.parquet")
+
+
+def test_records_leave_no_shuffle_files(spark, tmp_path):
+    small_tables(spark, str(tmp_path))
     before = shuffle_files(spark)
-    sums = spark.range(20_000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("s"))
-    other = spark.range(300).select(F.col("id").alias("k")).repartition(3, "k")
-    table = settle(sums.join(other.hint("merge"), "k"))
+    bench = Workbench(spark, str(tmp_path))
+    records = bench.records
     # Removed by a message to each executor.
     for _ in range(50):
         if not (left := shuffle_files(spark) - before):
             break
         time.sleep(0.2)
     assert not left
-    assert table.count() == 100 and table.agg(F.sum("s")).first()[0] == 199_990_000
+    assert records.count() == 40 and bench.gaps.agg(F.sum("n")).first()[0] == 13 * 1 + 13 * 2
 
 
 def test_the_session_keeps_its_own_setting(spark):
